@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.byte_bpe import op9_byte_bpe
+from curatrix.llm.ngram_join import op5_ngram_join
+from curatrix.llm.topk import OP7_SQL, op7_topk
+from curatrix.llm.language_id import op4_language_id
+from curatrix.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_toxicity": op8_toxicity,
+    "op4_language_id": op4_language_id,
+    "op7_topk": op7_topk,
+    "op5_ngram_join": op5_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": OP7_SQL,
+}
