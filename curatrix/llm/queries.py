@@ -11,8 +11,10 @@ from curatrix.llm.ngram_join import op5_ngram_join
 from curatrix.llm.topk import OP7_SQL, op7_topk
 from curatrix.llm.language_id import op4_language_id
 from curatrix.llm.toxicity import op8_toxicity
+from curatrix.llm.media import op10_media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_media": op10_media,
     "op8_toxicity": op8_toxicity,
     "op4_language_id": op4_language_id,
     "op7_topk": op7_topk,
