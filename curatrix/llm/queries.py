@@ -12,8 +12,10 @@ from curatrix.llm.topk import OP7_SQL, op7_topk
 from curatrix.llm.language_id import op4_language_id
 from curatrix.llm.toxicity import op8_toxicity
 from curatrix.llm.media import op10_media
+from curatrix.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_files": op2_token_files,
     "op10_media": op10_media,
     "op8_toxicity": op8_toxicity,
     "op4_language_id": op4_language_id,
