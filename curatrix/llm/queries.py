@@ -13,8 +13,10 @@ from curatrix.llm.language_id import op4_language_id
 from curatrix.llm.toxicity import op8_toxicity
 from curatrix.llm.media import op10_media
 from curatrix.llm.token_files import op2_token_files
+from curatrix.llm.suffix_dedup import op6_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op2_token_files": op2_token_files,
     "op10_media": op10_media,
     "op8_toxicity": op8_toxicity,
