@@ -14,8 +14,12 @@ from curatrix.llm.toxicity import op8_toxicity
 from curatrix.llm.media import op10_media
 from curatrix.llm.token_files import op2_token_files
 from curatrix.llm.suffix_dedup import op6_suffix_dedup
+from curatrix.llm.mixing import op1_mixing
+from curatrix.llm.site_quality import op3_site_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_site_quality": op3_site_quality,
+    "op1_mixing": op1_mixing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op2_token_files": op2_token_files,
     "op10_media": op10_media,

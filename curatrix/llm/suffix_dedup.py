@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from curatrix.llm.common import bounded_broadcast, by_bytes, discard, staged, table
+from curatrix.llm.common import by_bytes, staged, table, without
 from curatrix.llm.induced_sort import repeated_windows
 
 #: Bytes of an anchor; more make fewer chance meetings and more spans.
@@ -288,17 +289,24 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): each document (doc_id, text) without the bytes that repeated windows cover."""
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("did"), F.xxhash64("doc_id", "text").alias("th"))
-    runs = repeats(keyed, window)
-    lists = runs.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    joined = keyed.join(lists.select(F.col("did").alias("d"), F.col("th").alias("t"), "runs"), (F.col("did") == F.col("d")) & (F.col("th") == F.col("t")), "left")
+    """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept: the text's bytes but those that repeated windows cover.
+
+    Columns with the names of new ones are replaced.
+    """
+    new = ["n_bytes", "n_removed", "n_spans", "kept"]
+    names = without(docs, new).columns
+    did, th = F.coalesce("doc_id", F.lit(-1)), F.xxhash64("doc_id", "text")
+    runs = repeats(docs.select(did.alias("did"), th.alias("th"), "text"), window)
+    lists = runs.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("__runs")).withColumnsRenamed({"did": "__did", "th": "__th"})
+    marked = without(docs, new).withColumn("__a", did).withColumn("__b", th)
+    joined = marked.join(lists, (F.col("__a") == F.col("__did")) & (F.col("__b") == F.col("__th")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text"), "__runs")
+    schema = T.StructType([*without(docs, new).schema.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole):
                 sizes, removed, pieces, kept = [], [], [], []
-                for value, listed in zip(batch.column(1), batch.column(2), strict=True):
+                for value, listed in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
                     data = (value.as_py() or "").encode("utf-8", "surrogatepass")
                     cut = 0
                     parts, at, count = [], 0, 0
@@ -310,11 +318,10 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
                     pieces.append(count)
                     kept.append(b"".join([*parts, data[at:]]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                    [*batch.columns[: len(names)], *[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary())], names=[*names, *new]
                 )
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, schema)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
