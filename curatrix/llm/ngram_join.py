@@ -5,11 +5,15 @@
    hashed into segments; a segment is indexed by the subset that falls into it (worth 1), or by the subset and all subsets
    with one element deleted (worth 2). If the worths add up to H + 1, two similar sets agree in a segment within what it
    is worth. How many segments are of which kind is the cheaper choice by the band's row count and mean size.
-3. Sets that meet in a segment form a bucket; each member is compared with the bucket's first exact member, on the exact
-   sets. What these links leave apart in a bucket of three or more is compared pair by pair, in other components only.
+3. Sets that meet in a segment form a bucket; each member is compared with the bucket's first exact member, its center,
+   on the exact sets. So a large group of copies is linked by as many pairs as it has members.
+4. Members that this leaves in other components than their center, may still be similar to each other. Of two such sets
+   x and y around a center c, the symmetric difference is that of their deltas D(x) = x ^ c and D(y) = y ^ c; as c is
+   similar to one of them at most, the deltas must overlap, and their prefixes (in an order that begins with what c lacks)
+   must meet. Prefix elements deal the members out; each meeting is again compared with one member first, and only what
+   is still in different components is compared pair by pair.
 
-Batches link what they hold of a bucket before the shuffle, so a bucket that many rows share reaches a task as a few rows
-of each batch. Buckets are read as sorted streams and never held.
+Buckets are read as sorted streams and never held.
 
 Results: null texts, empty texts and texts of white space have n = 0 and link with nothing. Rows without an id take part;
 they have the smallest id that they reach, null if none. Repeated rows each get their row. Words are split at the ASCII
@@ -131,15 +135,11 @@ def signatures(elements: np.ndarray, bands: list[Band], percent: int) -> tuple[n
     return np.concatenate(names), np.concatenate(kinds)
 
 
-_BUCKETS = "sig long, kind byte, node long, size int, center long, center_size int"
+_BUCKETS = "sig long, kind byte, node long, size int"
 
 
-def _record(sig, kind, node, size, center, center_size) -> pa.RecordBatch:
-    to = lambda x, kind: pa.array(x, kind)
-    return pa.RecordBatch.from_arrays(
-        [to(sig, pa.int64()), to(kind, pa.int8()), to(node, pa.int64()), to(size, pa.int32()), center, center_size],
-        names=["sig", "kind", "node", "size", "center", "center_size"],
-    )
+def _record(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
 
 
 def profiles(docs: DataFrame, n: int) -> DataFrame:
@@ -164,72 +164,79 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
 
 
 def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band]) -> DataFrame:
-    """Index rows. Within a batch, members of a bucket are linked to its first exact member at once; only that one goes on."""
+    """Index rows of each set of a batch: bucket, kind, node and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 4 << 20):
-                seen, sigs, kinds, owners, nodes, sizes = set(), [], [], [], [], []
+                seen, sigs, kinds, nodes, sizes = set(), [], [], [], []
                 for value in batch.column(0):
                     elements = ngram_set(value.as_py(), n)
                     if not len(elements) or (node := node_of(elements)[0]) in seen:
                         continue
                     seen.add(node)
                     sig, kind = signatures(elements, bands, percent)
-                    if len(sig):
-                        sigs.append(sig)
-                        kinds.append(kind)
-                        owners.append(np.full(len(sig), len(nodes), np.int32))
-                        nodes.append(node)
-                        sizes.append(len(elements))
-                if not sigs:
-                    continue
-                sig, kind, owner = np.concatenate(sigs).view(np.int64), np.concatenate(kinds), np.concatenate(owners)
-                node, size = np.array(nodes, np.int64)[owner], np.array(sizes, np.int32)[owner]
-                order = np.lexsort((node, kind, sig))
-                sig, kind, node, size = sig[order], kind[order], node[order], size[order]
-                start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-                head = np.repeat(start, np.diff(np.r_[start, len(sig)]))  # of each row's bucket
-                tied = (kind[head] == 0) & (head != np.arange(len(sig)))
-                mask = ~tied
-                yield _record(sig, kind, node, size, pa.array(node[head], pa.int64(), mask=mask), pa.array(size[head], pa.int32(), mask=mask))
+                    sigs.append(sig)
+                    kinds.append(kind)
+                    nodes.append(np.full(len(sig), node, np.int64))
+                    sizes.append(np.full(len(sig), len(elements), np.int32))
+                if sigs:
+                    yield _record("sig kind node size", np.concatenate(sigs).view(np.int64), np.concatenate(kinds), np.concatenate(nodes), np.concatenate(sizes))
 
     return docs.select("text").mapInArrow(run, _BUCKETS)
 
 
 def bucket_links(index: DataFrame) -> DataFrame:
-    """(sig, center, center_size, node, size, kind): every member of a bucket beside an exact member of it.
+    """(center, center_size, node, size): every member of a bucket beside the bucket's first exact member.
 
     Rows of a bucket arrive sorted, exact members first; only the first one is kept in mind.
     """
-    ordered = index.repartition("sig").sortWithinPartitions("sig", F.col("center").isNotNull(), "kind", "node")
+    ordered = index.repartition("sig").sortWithinPartitions("sig", "kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # sig, kind, node, size of the first row of the bucket that is still open
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, kind, node, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            ready = ~np.asarray(batch.column(4).is_null())
-            center = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)
-            center_size = batch.column(5).fill_null(0).to_numpy(zero_copy_only=False)
-            opens = np.r_[last is None or sig[0] != last[0], sig[1:] != sig[:-1]]
-            start = np.flatnonzero(opens)
-            at = np.searchsorted(start, np.arange(len(sig)), side="right") - 1
-            values = [np.r_[0 if last is None else last[k + 1], x[start]] for k, x in enumerate((kind, node, size))]
-            first_kind, first_node, first_size = (v[at + 1] for v in values)
+            sig, kind, node, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            start = np.flatnonzero(np.r_[last is None or sig[0] != last[0], sig[1:] != sig[:-1]])
+            at = np.searchsorted(start, np.arange(len(sig)), side="right")  # 0: the bucket that was open already
+            first_kind, first_node, first_size = (np.r_[0 if last is None else last[k], x[start]][at] for k, x in ((1, kind), (2, node), (3, size)))
             if len(start):
-                k = start[-1]
-                last = (sig[k], kind[k], node[k], size[k])
-            tied = ~ready & (first_kind == 0) & (first_node != node)
-            take = ready | tied
+                last = tuple(x[start[-1]] for x in (sig, kind, node, size))
+            take = (first_kind == 0) & (first_node != node)
             if take.any():
-                yield _record(
-                    sig[take], kind[take], node[take], size[take],
-                    pa.array(np.where(ready, center, first_node)[take], pa.int64()), pa.array(np.where(ready, center_size, first_size)[take], pa.int32()),
-                )
+                yield _record("center center_size node size", first_node[take].astype(np.int64), first_size[take].astype(np.int32), node[take], size[take])
 
-    return ordered.mapInArrow(run, _BUCKETS)
+    return ordered.mapInArrow(run, "center long, center_size int, node long, size int")
+
+
+def delta_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(center, element, place, node, size, d, comp) of members (center, node, size, comp): the first elements of each delta.
+
+    d is the delta's size. A similar set lacks at most H elements of a delta, so H + 1 places suffice; what the center
+    lacks comes first, as copies seldom share it.
+    """
+    of_center = sets.select(F.col("node").alias("center"), F.col("elements").alias("ec"))
+    of_node = sets.select("node", F.col("elements").alias("ex"))
+    most = F.floor(F.col("size") * (100 - percent) / percent).cast("int") + 1
+    added, gone = F.array_sort(F.array_except("ex", "ec")), F.array_sort(F.array_except("ec", "ex"))
+    joined = members.join(of_node, "node").join(of_center, "center").withColumn("added", added).withColumn("gone", gone)
+    rows = joined.select("center", "node", "size", "comp", (F.size("added") + F.size("gone")).alias("d"), F.posexplode(F.slice(F.concat("added", "gone"), F.lit(1), most)).alias("place", "element"))
+    return rows.withColumn("place", F.col("place") + 1)
+
+
+def prefix_meetings(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components whose delta prefixes meet as those of similar sets must."""
+    now = label.select(F.col("node").alias("labelled"), F.col("comp").alias("now"))
+    rows = rows.join(now, rows.node == now.labelled, "left").select("center", "element", "place", "node", "size", "d", F.coalesce("now", "node").alias("comp"))
+    x = rows.select("center", "element", *[F.col(c).alias(f"x_{c}") for c in ("place", "node", "size", "d", "comp")])
+    y = rows.select("center", "element", *[F.col(c).alias(f"y_{c}") for c in ("place", "node", "size", "d", "comp")])
+    h = f"({100 - percent} * (x_size + y_size) div {100 + percent})"
+    ordered = "x_comp <> y_comp and (y_d < x_d or (y_d = x_d and y_node < x_node))"
+    meet = f"y_place <= floor((y_d - x_d + {h}) / 2) + 1 and x_place <= floor((x_d - y_d + {h}) / 2) + 1"
+    condition = (x.center == y.center) & (x.element == y.element) & F.expr(ordered) & F.expr(meet) & _reachable(percent, "x_size", "y_size")
+    return x.join(y, condition).select(F.least("x_node", "y_node").alias("u"), F.greatest("x_node", "y_node").alias("v")).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -293,45 +300,41 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     for k, (low, after) in enumerate(zip(starts, starts[1:], strict=False)):
         sets, mean = (found[k].sets, found[k].mean) if k in found else (1, float(low))
         bands.append(allocate(low, after - 1, percent, sets, mean))
-    links = staged(bucket_links(bucket_rows(docs, n, percent, bands)), "ngram-links")
-
-    def edges_of(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs.distinct(), "ngram-pairs")
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = staged(classes.join(nodes, "node").select("from.doc_id", "from.tkey", "node"), "ngram-wanted")
-        sets = staged(exact_sets(docs, wanted, n), "ngram-sets")
-        edges = staged(similar(pairs, sets, percent), "ngram-edges")
-        discard(sets)
-        return edges
-
-    pair = [F.least("center", "node").alias("u"), F.greatest("center", "node").alias("v")]
-    tried = links.where(_reachable(percent, "size", "center_size")).select(*pair)
-    edges = edges_of(tried)
+    links = staged(bucket_links(bucket_rows(docs, n, percent, bands)).distinct(), "ngram-links")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = staged(classes.join(nodes.distinct(), "node").select("from.doc_id", "from.tkey", "node"), "ngram-wanted")
+        return staged(exact_sets(docs, wanted, n), "ngram-sets")
+
+    def pair(a: str, b: str) -> list:
+        return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+    tried = links.where(_reachable(percent, "size", "center_size")).select(*pair("center", "node")).distinct()
+    sets = sets_of(links.select(F.explode(F.array("center", "node")).alias("node")))
+    edges = staged(similar(tried, sets, percent), "ngram-edges")
     label = components(edges)
 
     named = label.select(F.col("node").alias("named"), "comp")
     center_named = label.select(F.col("node").alias("center_named"), F.col("comp").alias("center_comp"))
     seen = (
         links.join(named, links.node == named.named, "left").join(center_named, links.center == center_named.center_named, "left")
-        .select("sig", "kind", "node", "size", "center", "center_size", F.coalesce("comp", "node").alias("comp"), F.coalesce("center_comp", "center").alias("center_comp"))
+        .select("node", "size", "center", F.coalesce("comp", "node").alias("comp"), F.coalesce("center_comp", "center").alias("center_comp"))
     )
-    apart = seen.groupBy("sig").agg(F.count("*").alias("rows"), F.max((F.col("comp") != F.col("center_comp")).cast("int")).alias("apart")).where("rows > 1 and apart = 1")
-    rest = seen.join(apart.select("sig"), "sig")
-    members = staged(
-        rest.select("sig", "kind", "node", "size", "comp")
-        .unionByName(rest.select("sig", F.lit(0).cast("byte").alias("kind"), F.col("center").alias("node"), F.col("center_size").alias("size"), F.col("center_comp").alias("comp")))
-        .distinct(),
-        "ngram-rest",
-    )
-    if not members.isEmpty():
-        a = members.where("kind = 0").select("sig", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"))
-        b = members.select("sig", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("comp").alias("b_comp"), "kind")
-        across = a.join(b, "sig").where("a_comp <> b_comp and (kind = 1 or a < b)").where(_reachable(percent, "a_size", "b_size"))
-        pairs = across.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        more = edges_of(pairs.join(tried.distinct(), ["u", "v"], "left_anti"))
-        if not more.isEmpty():
-            label = components(edges.unionByName(more))
-    discard(links)
+    apart = seen.groupBy("center").agg(F.count("*").alias("rows"), F.max((F.col("comp") != F.col("center_comp")).cast("int")).alias("apart")).where("rows > 1 and apart = 1")
+    rest = seen.join(apart.select("center"), "center").select("center", "node", "size", "comp")
+    rows = staged(delta_prefixes(rest, sets, percent), "ngram-prefixes")
+    shared = rows.groupBy("center", "element").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1")
+    met = staged(rows.join(shared.drop("rows"), ["center", "element"]), "ngram-met")
+    discard(rows)
+    if not met.isEmpty():
+        near = met.where("first <> node").select(*pair("first", "node")).distinct()
+        edges = staged(edges.unionByName(similar(near, sets, percent)), "ngram-edges")
+        label = components(edges)
+        last = staged(similar(prefix_meetings(met, label, percent), sets, percent), "ngram-edges")
+        if not last.isEmpty():
+            label = components(edges.unionByName(last))
+    for done in (links, sets, met):
+        discard(done)
 
     least = label.join(classes.select("node", "min_id"), "node").groupBy("comp").agg(F.min("min_id").alias("component_id"))
     linked = label.join(least, "comp").select("node", "component_id")
