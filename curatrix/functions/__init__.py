@@ -1 +1 @@
-
+"""Column functions on texts, labels and scores."""
