@@ -111,12 +111,22 @@ def _linked(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     columns[8] = np.where(first & ~again, COPIED, columns[8]).astype(np.int8)
     repeats = again | first
     if repeats.any():
-        done = [c[repeats] for c in columns]
-        done[8] = np.full(len(done[8]), REPEATS, np.int8)
-        yield _batch(done)
+        yield _batch(_runs([c[repeats] for c in columns]))
     yield _batch([c[~again] for c in columns])
 
 
+def _runs(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Spans that repeat, as REPEATS rows; those that follow each other in a document become one."""
+    order = np.lexsort((columns[5], columns[4], columns[3]))
+    columns = [c[order] for c in columns]
+    did, th, pos, n = columns[3], columns[4], columns[5], columns[6]
+    start = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (pos[1:] != pos[:-1] + n[:-1])])
+    out = [c[start] for c in columns]
+    out[6] = np.add.reduceat(n, start).astype(np.int32)
+    out[8] = np.full(len(start), REPEATS, np.int8)
+    return out
+
+
 def spans(docs: DataFrame, window: int) -> DataFrame:
     """Stage 1, of documents (did, th, text)."""
 
@@ -140,9 +150,11 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
 def compared(rows: DataFrame) -> DataFrame:
     """Stage 2: REPEATS rows, and SORTS and ALONE rows, one for each of several unlike spans of an anchor.
 
-    Rows come sorted by anchor and span; a row waits for the next one, and an anchor's first span for a second one.
+    Rows come sorted by anchor and span; a row waits for the next one, and an anchor's first span for a second one. What is
+    known to repeat only passes, dealt by document.
     """
-    ordered = rows.repartition("key").sortWithinPartitions("key", F.col("role") == REPEATS, "s1", "s2", F.desc("role"))
+    deal = F.when(F.col("role") == REPEATS, F.xxhash64("did", "th", "pos")).otherwise(F.col("key"))
+    ordered = rows.repartition(deal).sortWithinPartitions("key", F.col("role") == REPEATS, "s1", "s2", F.desc("role"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, None  # rows not told yet; the first span of the open anchor while it has no second one
@@ -201,10 +213,7 @@ def compared(rows: DataFrame) -> DataFrame:
 def with_bytes(rows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """rows with the bytes of their spans: the texts that hold them are read once more."""
     cells = ["key", "pos", "n", "anchor", "role"]
-    per_text = staged(rows.groupBy("did", "th").agg(F.collect_list(F.struct(*cells)).alias("cells"), F.count("*").alias("c")), "span-lists")
-    wanted = per_text.agg(F.sum("c")).first()[0] or 0
-    listed = per_text.select(F.col("did").alias("d"), F.col("th").alias("t"), "cells")
-    listed = F.broadcast(listed) if wanted * 48 <= 8 << 20 else listed
+    listed = rows.groupBy(F.col("did").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*cells)).alias("cells"))
     found = docs.join(listed, (docs.did == listed.d) & (docs.th == listed.t)).select("did", "th", "text", "cells")
     schema = "key long, did long, th long, pos long, n int, anchor int, role byte, data binary"
 
@@ -297,7 +306,7 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     names = without(docs, new).columns
     did, th = F.coalesce("doc_id", F.lit(-1)), F.xxhash64("doc_id", "text")
     runs = repeats(docs.select(did.alias("did"), th.alias("th"), "text"), window)
-    lists = runs.distinct().groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("__runs")).withColumnsRenamed({"did": "__did", "th": "__th"})
+    lists = runs.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("__runs")).withColumnsRenamed({"did": "__did", "th": "__th"})
     marked = without(docs, new).withColumn("__a", did).withColumn("__b", th)
     joined = marked.join(lists, (F.col("__a") == F.col("__did")) & (F.col("__b") == F.col("__th")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text"), "__runs")
     schema = T.StructType([*without(docs, new).schema.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary").fields])
