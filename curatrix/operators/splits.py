@@ -1,0 +1,143 @@
+"""Splits, samples, rebalancing and mining. Random orders are hashes of ids; ranks come from bucketed prefix sums."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from curatrix.functions.labels import constants
+from curatrix.plans.ranking import hash_bucket, hash_key, ranked
+
+
+def _with_total(df: DataFrame) -> DataFrame:
+    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias("__n"))))  # one row
+
+
+def random_split(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
+    """Appends split: train up to int(n * (1 - ratio)) in hash order, else valid; a row goes over if a side were empty."""
+    placed = _with_total(ranked(rows.withColumn("__key", hash_key(F.col(key), seed)), hash_bucket(F.col("__key")), ["__key", key]))
+    cut = F.floor(F.col("__n") * (1 - ratio))
+    cut = F.when((cut == 0) & (F.col("__n") > 1), 1).when((cut == F.col("__n")) & (F.col("__n") > 1), F.col("__n") - 1).otherwise(cut)
+    return placed.withColumn("split", F.when(F.col("rank") < cut, "train").otherwise("valid")).drop("__n", "__key", "rank")
+
+
+def _by_time(rows: DataFrame, at: str, key: str) -> DataFrame:
+    """Rank by time, then key; rows without a time come with the earliest one."""
+    first = F.broadcast(rows.agg(F.min(at).alias("__first")))  # one row
+    timed = rows.crossJoin(first).withColumn("__at", F.coalesce(at, "__first", F.to_timestamp(F.lit("1970-01-01"))))
+    bucket = F.floor(F.unix_timestamp("__at") / 3600).cast("long")
+    out = timed.withColumn("__b", bucket)
+    return _with_total(ranked(out, F.col("__b"), ["__at", key]))
+
+
+def time_holdout(rows: DataFrame, at: str, key: str, ratio: float | None = None, cutoff: str | None = None) -> DataFrame:
+    """Appends split. ratio: the last part in order of time is holdout. cutoff: what is not before it; without a time, train."""
+    if cutoff is not None:
+        late = F.coalesce(F.col(at) >= F.to_timestamp(F.lit(cutoff)), F.lit(False))
+        return rows.withColumn("split", F.when(late, "holdout").otherwise("train"))
+    placed = _by_time(rows, at, key)
+    return placed.withColumn("split", F.when(F.col("rank") < F.floor(F.col("__n") * (1 - ratio)), "train").otherwise("holdout")).select(*rows.columns, "split")
+
+
+def time_split_3way(rows: DataFrame, at: str, key: str, holdout: float, calib: float) -> DataFrame:
+    """Appends split: train, then calib, then holdout, each of the last two at least one row unless its ratio is 0."""
+    placed = _by_time(rows, at, key)
+    size = lambda r: F.greatest(F.lit(1), F.floor(F.col("__n") * r)) if r > 0 else F.lit(0)
+    tail = F.col("__n") - 1 - F.col("rank")
+    split = F.when(tail < size(holdout), "holdout").when(tail < size(holdout) + size(calib), "calib").otherwise("train")
+    return placed.withColumn("split", split).select(*rows.columns, "split")
+
+
+def largest_remainder(groups: DataFrame, size: str, ratios: list[tuple[str, float]], by: list[str]) -> DataFrame:
+    """(by, split, place, quota, before): shares of each group's size, floors first, then the largest fractions; ties to the later split."""
+    parts = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(name).alias("split"), F.lit(float(r)).alias("ratio")) for k, (name, r) in enumerate(ratios)])
+    rows = groups.select(*by, size, F.explode(parts).alias("p")).select(*by, size, "p.*")
+    exact = F.round(F.col(size) * F.col("ratio"), 9)
+    rows = rows.withColumn("floor", F.floor(exact).cast("long")).withColumn("fraction", exact - F.floor(exact))
+    group = Window.partitionBy(*by)
+    left = F.col(size) - F.sum("floor").over(group)
+    turn = F.row_number().over(group.orderBy(F.desc("fraction"), F.desc("place")))
+    rows = rows.withColumn("quota", F.col("floor") + (turn <= left).cast("long"))
+    before = F.coalesce(F.sum("quota").over(group.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).select(*by, "split", "place", "quota", "before")
+
+
+def stratified_split(rows: DataFrame, labels: str, key: str, ratios: list[tuple[str, float]], seed: int = 42) -> DataFrame:
+    """Appends split: rows of each exact label set are dealt by hash order into quotas of largest remainders."""
+    named = rows.withColumn("__set", F.array_join(F.array_sort(labels), "|")).withColumn("__key", hash_key(F.col(key), seed)).withColumn("__b", hash_bucket(F.col("__key")))
+    quotas = largest_remainder(named.groupBy("__set").agg(F.count("*").alias("__size")), "__size", ratios, ["__set"])
+    placed = ranked(named, F.col("__b"), ["__key", key], keys=["__set"])
+    tiny = F.broadcast(quotas.select(F.col("__set").alias("__q"), "split", "quota", "before"))  # splits by training label sets
+    match = (F.col("__set") == F.col("__q")) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("quota"))
+    return placed.join(tiny, match).select(*rows.columns, "split")
+
+
+def split_outputs(rows: DataFrame, labels: str, training: Column) -> DataFrame:
+    """Original labels as raw_labels, training labels in their place."""
+    return rows.withColumn("raw_labels", F.col(labels)).withColumn(labels, training)
+
+
+def sample_n(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows, the first in hash order."""
+    return rows.withColumn("__key", hash_key(F.col(key), seed)).orderBy("__key", key).limit(n).drop("__key")
+
+
+def rebalance_calib(base: DataFrame, candidates: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """base and n sampled candidates; `origin` tells which."""
+    return base.withColumn("origin", F.lit("base")).unionByName(sample_n(candidates, key, n, seed).withColumn("origin", F.lit("added")))
+
+
+def oversample(train: DataFrame, hard: DataFrame, times: int = 3) -> DataFrame:
+    """train, and each hard row so many times; `copy` numbers them, 0 for train."""
+    more = hard.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    return train.withColumn("copy", F.lit(0)).unionByName(more)
+
+
+def hard_negatives(rows: DataFrame, labels: str, score: str, key: str, n: int = 0, least: float | None = None) -> DataFrame:
+    """Clean rows with the highest scores: n of them (0: all), none under `least`."""
+    found = rows.where(F.col(labels) == constants(["clean"]))
+    if least is not None:
+        found = found.where(F.col(score) >= least)
+    ordered = found.orderBy(F.desc(score), key)
+    return ordered.limit(n) if n else ordered
+
+
+def mine_errors(rows: DataFrame, gold: str, pred: str) -> DataFrame:
+    """Rows with kind: fp for clean taken for scam, fn for scam taken for clean."""
+    kind = F.when((F.col(gold) == "clean") & (F.col(pred) == "scam"), "fp").when((F.col(gold) == "scam") & (F.col(pred) == "clean"), "fn")
+    return rows.withColumn("kind", kind).where("kind is not null")
+
+
+def unlabeled_corpus(inputs: list[DataFrame], text: Column, key: str, least: int = 8) -> DataFrame:
+    """(cleaned, input_no, key): cleaned texts of all inputs once each, the first one by input and key; short ones dropped."""
+    parts = [df.select(text.alias("cleaned"), F.lit(k).alias("input_no"), key).where(F.length("cleaned") >= least) for k, df in enumerate(inputs)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    first = rows.groupBy(F.md5("cleaned").alias("digest")).agg(F.min(F.struct("input_no", key, "cleaned")).alias("f"))
+    return first.select("f.cleaned", "f.input_no", f"f.{key}")
+
+
+def latest(rows: DataFrame, by: str, at: str, values: list[str], tie: str) -> DataFrame:
+    """The latest row of each `by`, with the number of rows."""
+    return rows.groupBy(by).agg(F.max(F.struct(at, tie, *values)).alias("m"), F.count("*").alias("n_snapshots")).select(by, f"m.{at}", *[f"m.{v}" for v in values], "n_snapshots")
+
+
+def new_by_id(new: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """Rows of new whose number isn't there yet; x_<n> and <n> are the same id."""
+    number = F.regexp_replace(F.col(key), "^x_", "")
+    done = present.select(number.alias("done")).distinct()
+    return new.withColumn("number", number).join(done, F.col("number") == F.col("done"), "left_anti").dropDuplicates(["number"])
+
+
+def balanced_sample(rows: DataFrame, label: str, key: str, cap: float, seed: int = 42) -> DataFrame:
+    """Rows of each label up to cap of all rows, the first in hash order; rare labels keep all."""
+    keyed = rows.withColumn("__key", hash_key(F.col(key), seed)).withColumn("__b", hash_bucket(F.col("__key")))
+    placed = _with_total(ranked(keyed, F.col("__b"), ["__key", key], keys=[label]))
+    return placed.where(F.col("rank") < F.floor(F.col("__n") * cap)).select(*rows.columns)
+
+
+def host_split(rows: DataFrame, urls: str, ratio: float, seed: int = 42) -> DataFrame:
+    """Appends split: holdout if any of the row's hosts is held out; a host is by its hash."""
+    held = lambda u: F.conv(F.substring(hash_key(F.coalesce(F.try_parse_url(u, F.lit("HOST")), F.lit("")), seed), 1, 4), 16, 10).cast("long") < int(65536 * ratio)
+    return rows.withColumn("split", F.when(F.exists(urls, held), "holdout").otherwise("train"))

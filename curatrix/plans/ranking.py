@@ -29,15 +29,15 @@ def score_bucket(score: Column, descending: bool = True) -> Column:
 
 def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list, values: dict[str, Column]) -> DataFrame:
     """Appends, for each name in values, the sum of its column up to and with the row. bucket must ascend with the order."""
+    names = df.columns
     df = df.withColumn("__bucket", bucket).withColumns({f"__v_{n}": c for n, c in values.items()})
     offsets = df.groupBy(*keys, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(*keys, "__bucket", *[F.coalesce(F.sum(f"__o_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in values])
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in values})
-    return_ = df.join(F.broadcast(offsets), [*keys, "__bucket"])  # a row for each bucket: SCORE_BUCKETS, or hours, by key
-    names = [c for c in df.columns if not c.startswith("__")]
-    return return_.select(*names, *[(F.col(f"__r_{n}") + F.col(f"__p_{n}")).alias(n) for n in values])
+    out = df.join(F.broadcast(offsets), [*keys, "__bucket"])  # a row for each bucket: SCORE_BUCKETS, or hours, by key
+    return out.select(*names, *[(F.col(f"__r_{n}") + F.col(f"__p_{n}")).alias(n) for n in values])
 
 
 def ranked(df: DataFrame, bucket: Column, order: list, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
