@@ -9,7 +9,7 @@
    on the exact sets. So a large group of copies is linked by as many pairs as it has members.
 4. Members that this leaves in other components than their center, may still be similar to each other. Of two such sets
    x and y around a center c, the symmetric difference is that of their deltas D(x) = x ^ c and D(y) = y ^ c; as c is
-   similar to one of them at most, the deltas must overlap, and their prefixes (in an order that begins with what c lacks)
+   similar to one of them at most, the deltas must overlap, and their prefixes (in an order that begins with rare elements)
    must meet. Prefix elements deal the members out; each meeting is again compared with one member first, and only what
    is still in different components is compared pair by pair.
 
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import bounded_broadcast, by_bytes, discard, staged, table
@@ -38,8 +38,10 @@ from curatrix.llm.components import components
 _U = np.uint64
 #: Multipliers of a 64-bit finalizer (fixed values).
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
-#: What comparing a pair costs, in rows of the index.
-PAIR_COST = 4.0
+#: What comparing a pair costs, in rows of the index; and how many times the rows may grow to leave out segments of up to 0, 1 and 2 elements.
+PAIR_COST, SPARE_ROWS = 4.0, (1.6, 1.2, 1.2)
+#: Members of a center whose deltas say which elements are common. It sets an order only: results don't depend on it.
+ORDER_SAMPLE = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,6 +81,8 @@ class Band:
     most: int  # H: in how many elements two similar sets can differ, the larger of this band
     singles: int  # segments indexed by their subset
     doubles: int  # segments indexed with one-deletion neighbours as well
+    tiny: int = -1  # segments of so many elements need no index row,
+    spare: int = 0  # as long as a set has no more than so many of them
 
 
 def band_starts(percent: int, largest: int) -> list[int]:
@@ -92,16 +96,31 @@ def band_starts(percent: int, largest: int) -> list[int]:
 def allocate(low: int, high: int, percent: int, sets: int, mean_size: float) -> Band:
     """The cheapest number of segments of either kind whose worths add up to H + 1.
 
-    Cost: index rows, and pairs of sets that meet in a segment just because it is (nearly) empty in both.
+    Where it costs few rows, there are some segments more, so that a set may leave out its tiny ones, where unlike sets
+    meet. Else the cost is that of index rows, and of pairs of sets that meet in a segment that is (nearly) empty in both.
     """
     most = (100 - percent) * 2 * high // (100 + percent)
+    if not most:
+        return Band(low, high, 0, 0, 0)
+
+    def at_most(tiny: int, share: float) -> float:
+        return sum(math.exp(-share) * share**k / math.factorial(k) for k in range(tiny + 1))
+
+    for tiny in (2, 1, 0):
+        spare = 0
+        while spare <= most:
+            expected = (most + 1 + spare) * at_most(tiny, low / (most + 1 + spare))
+            if spare >= expected + 2 * math.sqrt(expected):
+                break
+            spare += 1
+        if spare <= most and (most + 1 + spare) * (1 - at_most(tiny, mean_size / (most + 1 + spare))) <= SPARE_ROWS[tiny] * (most + 1):
+            return Band(low, high, most, most + 1 + spare, 0, tiny, spare)
     best, cost = (0, 0), math.inf
-    for doubles in range((most + 1) // 2 + 1) if most else ():
+    for doubles in range((most + 1) // 2 + 1):
         singles = most + 1 - 2 * doubles
         share = mean_size / (singles + doubles)
-        empty, nearly = math.exp(-share), math.exp(-share) * (1 + share)
         rows = sets * (singles + doubles * (1 + share))
-        pairs = sets**2 / 2 * (singles * empty**2 + doubles * nearly**2)
+        pairs = sets**2 / 2 * (singles * at_most(0, share) ** 2 + doubles * at_most(1, share) ** 2)
         if rows + PAIR_COST * pairs < cost:
             best, cost = (singles, doubles), rows + PAIR_COST * pairs
     return Band(low, high, most, *best)
@@ -124,8 +143,12 @@ def signatures(elements: np.ndarray, bands: list[Band], percent: int) -> tuple[n
         total = np.zeros(segments, np.uint64)
         first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         total[segment[first]] = np.add.reduceat(value, first)
-        names.append(mixed(base + total))
-        kinds.append(np.zeros(segments, np.int8))
+        shown = np.bincount(segment, minlength=segments) > band.tiny
+        shown[: band.doubles] = True
+        if (~shown).sum() > band.spare:
+            shown[:] = True
+        names.append(mixed(base + total)[shown])
+        kinds.append(np.zeros(int(shown.sum()), np.int8))
         if band.doubles:
             within = segment < band.doubles
             names.append(mixed((base + total)[segment[within]] - value[within]))
@@ -214,15 +237,22 @@ def bucket_links(index: DataFrame) -> DataFrame:
 def delta_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(center, element, place, node, size, d, comp) of members (center, node, size, comp): the first elements of each delta.
 
-    d is the delta's size. A similar set lacks at most H elements of a delta, so H + 1 places suffice; what the center
-    lacks comes first, as copies seldom share it.
+    d is the delta's size. A similar set lacks at most H elements of a delta, so H + 1 places suffice. Elements that a
+    sample of the center's members shares come last, the most frequent at the end: any order serves that is one order for
+    all members of a center, and with this one prefixes seldom meet by chance.
     """
     of_center = sets.select(F.col("node").alias("center"), F.col("elements").alias("ec"))
     of_node = sets.select("node", F.col("elements").alias("ex"))
+    delta = F.array_sort(F.concat(F.array_except("ex", "ec"), F.array_except("ec", "ex")))
+    deltas = staged(members.join(of_node, "node").join(of_center, "center").select("center", "node", "size", "comp", delta.alias("delta")), "ngram-deltas")
+    drawn = F.row_number().over(Window.partitionBy("center").orderBy(F.xxhash64("node"), "node"))
+    sample = deltas.withColumn("drawn", drawn).where(F.col("drawn") <= ORDER_SAMPLE).select("center", F.explode("delta").alias("element"))
+    counts = sample.groupBy("center", "element").agg(F.count("*").alias("c")).where("c > 1")
+    common = counts.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "element"))), lambda s: s["element"]).alias("common"))
     most = F.floor(F.col("size") * (100 - percent) / percent).cast("int") + 1
-    added, gone = F.array_sort(F.array_except("ex", "ec")), F.array_sort(F.array_except("ec", "ex"))
-    joined = members.join(of_node, "node").join(of_center, "center").withColumn("added", added).withColumn("gone", gone)
-    rows = joined.select("center", "node", "size", "comp", (F.size("added") + F.size("gone")).alias("d"), F.posexplode(F.slice(F.concat("added", "gone"), F.lit(1), most)).alias("place", "element"))
+    common_or_none = F.coalesce("common", F.array().cast("array<bigint>"))
+    ordered = F.concat(F.array_except("delta", common_or_none), F.array_intersect(common_or_none, F.col("delta")))
+    rows = deltas.join(common, "center", "left").select("center", "node", "size", "comp", F.size("delta").alias("d"), F.posexplode(F.slice(ordered, F.lit(1), most)).alias("place", "element"))
     return rows.withColumn("place", F.col("place") + 1)
 
 
@@ -322,10 +352,9 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
     apart = seen.groupBy("center").agg(F.count("*").alias("rows"), F.max((F.col("comp") != F.col("center_comp")).cast("int")).alias("apart")).where("rows > 1 and apart = 1")
     rest = seen.join(apart.select("center"), "center").select("center", "node", "size", "comp")
-    rows = staged(delta_prefixes(rest, sets, percent), "ngram-prefixes")
+    rows = delta_prefixes(rest, sets, percent)
     shared = rows.groupBy("center", "element").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1")
     met = staged(rows.join(shared.drop("rows"), ["center", "element"]), "ngram-met")
-    discard(rows)
     if not met.isEmpty():
         near = met.where("first <> node").select(*pair("first", "node")).distinct()
         edges = staged(edges.unionByName(similar(near, sets, percent)), "ngram-edges")
