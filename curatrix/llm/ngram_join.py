@@ -42,6 +42,8 @@ _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97
 PAIR_COST, SPARE_ROWS = 4.0, (1.6, 1.2, 1.2)
 #: Members of a center whose deltas say which elements are common. It sets an order only: results don't depend on it.
 ORDER_SAMPLE = 64
+#: Bins of the counts by which pairs are told apart before their sets are compared.
+BINS = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -273,12 +275,16 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (u, v), those whose sets are similar; exact, on the sets."""
     left = sets.select(F.col("node").alias("u"), F.col("elements").alias("eu"))
     right = sets.select(F.col("node").alias("v"), F.col("elements").alias("ev"))
+    # counts by bins differ by as much as the sets do at most: most pairs end here, on a few bytes
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bins").alias(f"b{name}"))
+    apart = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
+    pairs = pairs.join(of("v"), "v").join(of("u"), "u").where(apart * (100 + percent) <= (100 - percent) * (F.col("nu") + F.col("nv"))).select("u", "v")
     both = F.size(F.array_intersect("eu", "ev"))
     return pairs.join(right, "v").join(left, "u").where(both * 100 >= percent * (F.size("eu") + F.size("ev") - both)).select("u", "v")
 
 
 def exact_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, elements) of the wanted (doc_id, tkey, node): their texts are read once more."""
+    """(node, elements, n, bins) of the wanted (doc_id, tkey, node): their texts are read once more. bins: counts by BINS bins, 127 at most."""
     want = bounded_broadcast(wanted.select(F.col("doc_id").alias("want_id"), F.col("tkey").alias("want_key"), "node"), 24)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     found = rows.join(want, rows.doc_id.eqNullSafe(F.col("want_id")) & (rows.tkey == F.col("want_key"))).select("node", "text")
@@ -286,15 +292,19 @@ def exact_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 4 << 20):
-                nodes, sets = [], []
+                nodes, sets, bins = [], [], []
                 for node, value in zip(batch.column(0), batch.column(1), strict=True):
                     elements = ngram_set(value.as_py(), n)
                     if len(elements) and node_of(elements)[0] == node.as_py():
                         nodes.append(node.as_py())
                         sets.append(elements.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
+                        bins.append(np.minimum(np.bincount((elements >> _U(20)).astype(np.int64) % BINS, minlength=BINS), 127).astype(np.int8))
+                sizes = pa.array([len(x) for x in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), sizes, pa.array(bins, pa.list_(pa.int8()))], names=["node", "elements", "n", "bins"]
+                )
 
-    return found.mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, elements array<long>, n int, bins array<byte>").dropDuplicates(["node"])
 
 
 def _reachable(percent: int, a: str, b: str):
