@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 URL = r"(https?://\S+|www\.\S+)"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _INVISIBLE = "[​-‍⁠﻿]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility normal form: Spark has no function for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -102,4 +102,6 @@ turns AS (
   FROM conversations
 )"""
 
-NO_LABELS = constants([])
+
+def no_labels() -> Column:
+    return constants([])

@@ -31,8 +31,14 @@ _SINGLE = f"""{_PRED}, cells AS (SELECT doc_id, text, lang, c.label, gold = c.la
 _COUNTS = "count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g AND p) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn, count(*) FILTER (WHERE g) AS support, count(*) AS n"
 _DIV = lambda a, b: f"coalesce(({a}) / nullif(CAST({b} AS DOUBLE), 0), 0e0)"
 _RATES = f"{_DIV('tp', 'tp + fp')} AS precision, {_DIV('tp', 'tp + fn')} AS recall, {_DIV('2 * tp', '2 * tp + fp + fn')} AS f1, {_DIV('fp', 'n - support')} AS fpr, {_DIV('fn', 'support')} AS fnr"
-_SCAM = F.col("gold_scam") == 1
-_TOPIC = F.col("gold_topic") == 1
+
+
+def _scam():
+    return F.col("gold_scam") == 1
+
+
+def _topic():
+    return F.col("gold_topic") == 1
 
 
 def rounded(df, *names, digits=9):
@@ -84,7 +90,7 @@ def confusion_matrix(spark, sf):
 
 @query("binary_metrics", f"WITH {fx.SCORED} SELECT count(*) FILTER (WHERE gold_scam = 1 AND p_scam >= 0.6e0) AS tp, count(*) FILTER (WHERE gold_scam = 0 AND p_scam >= 0.6e0) AS fp, count(*) FILTER (WHERE gold_scam = 1 AND p_scam < 0.6e0) AS fn, count(*) FILTER (WHERE gold_scam = 0 AND p_scam < 0.6e0) AS tn FROM scored")
 def binary_metrics(spark, sf):
-    return M.binary_metrics(fx.scored(spark, sf), _SCAM, F.col("p_scam"), 0.6)
+    return M.binary_metrics(fx.scored(spark, sf), _scam(), F.col("p_scam"), 0.6)
 
 
 @query("subgroup_metrics", f"""WITH {_SINGLE}, s AS (SELECT unnest(list_filter(['all', CASE WHEN length(text) < 40 THEN 'short' END, 'without_url', CASE WHEN lang = 'en' THEN 'seen_handle' ELSE 'unseen_handle' END], lambda x: x IS NOT NULL)) AS subgroup, label, g, p FROM cells),
@@ -102,7 +108,7 @@ _STEPS = """steps AS (SELECT s, sum(y) OVER (ORDER BY s DESC) AS tp, sum(c) OVER
 @query("pr_auc", f"""WITH {fx.SCORED}, {_STEPS.format(p='p_scam', y='gold_scam')}, pts AS (SELECT s, tp / (SELECT sum(gold_scam) FROM scored) AS r, tp / k AS p FROM steps)
 SELECT round(sum(a), 9) AS pr_auc FROM (SELECT (r - lag(r, 1, 0) OVER (ORDER BY s DESC)) * (p + lag(p, 1, 0) OVER (ORDER BY s DESC)) / 2 AS a FROM pts)""")
 def pr_auc(spark, sf):
-    return rounded(M.pr_auc(fx.scored(spark, sf), "p_scam", _SCAM), "pr_auc")
+    return rounded(M.pr_auc(fx.scored(spark, sf), "p_scam", _scam()), "pr_auc")
 
 
 _BIN = "CASE " + " ".join(f"WHEN p_scam < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(M.EDGES[1:10])) + " ELSE 9 END"
@@ -111,17 +117,17 @@ _BINS = f"""{fx.SCORED}, b AS (SELECT {_BIN} AS bin, count(*) AS n, avg(p_scam)
 
 @query("calibration_bins", f"WITH {_BINS} SELECT CAST(r.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, round(coalesce(mean_conf, 0e0), 9) AS mean_conf, round(coalesce(acc, 0e0), 9) AS empirical_acc FROM (SELECT range AS bin FROM range(10)) r LEFT JOIN b ON b.bin = r.bin")
 def calibration_bins(spark, sf):
-    return rounded(M.calibration_bins(fx.scored(spark, sf), "p_scam", _SCAM), "mean_conf", "empirical_acc")
+    return rounded(M.calibration_bins(fx.scored(spark, sf), "p_scam", _scam()), "mean_conf", "empirical_acc")
 
 
 @query("ece", f"WITH {_BINS} SELECT round(sum(n * abs(mean_conf - acc)) / sum(n), 9) AS ece FROM b")
 def ece(spark, sf):
-    return rounded(M.ece(M.calibration_bins(fx.scored(spark, sf), "p_scam", _SCAM)), "ece")
+    return rounded(M.ece(M.calibration_bins(fx.scored(spark, sf), "p_scam", _scam())), "ece")
 
 
 @query("brier", f"WITH {fx.SCORED} SELECT round(avg(pow(p_scam - gold_scam, 2)), 9) AS brier FROM scored")
 def brier(spark, sf):
-    return rounded(M.brier(fx.scored(spark, sf), "p_scam", _SCAM), "brier")
+    return rounded(M.brier(fx.scored(spark, sf), "p_scam", _scam()), "brier")
 
 
 _CLIP = "greatest(1e-7, least(1 - 1e-7, {p}))"
@@ -129,7 +135,7 @@ _CLIP = "greatest(1e-7, least(1 - 1e-7, {p}))"
 
 @query("nll", f"WITH {fx.SCORED}, q AS (SELECT gold_scam, {_CLIP.format(p='p_scam')} AS p FROM scored) SELECT round(avg(-CASE WHEN gold_scam = 1 THEN ln(p) ELSE ln(1 - p) END), 9) AS nll FROM q")
 def nll(spark, sf):
-    return rounded(M.nll(fx.scored(spark, sf), "p_scam", _SCAM), "nll")
+    return rounded(M.nll(fx.scored(spark, sf), "p_scam", _scam()), "nll")
 
 
 def _logits(spark, sf):
@@ -143,13 +149,13 @@ q AS (SELECT t, gold_scam, {_CLIP.format(p='1 / (1 + exp(-logit / t))')} AS p FR
 
 @query("temperature_scaling", f"WITH {_SCALED} SELECT temperature, round(nll, 9) AS nll FROM best")
 def temperature_scaling(spark, sf):
-    return rounded(M.temperature_scaling(_logits(spark, sf), "logit", _SCAM), "nll")
+    return rounded(M.temperature_scaling(_logits(spark, sf), "logit", _scam()), "nll")
 
 
 @query("calibrated_probabilities", f"WITH {_SCALED} SELECT id, round(1 / (1 + exp(-logit / temperature)), 9) AS p FROM l, best")
 def calibrated_probabilities(spark, sf):
     df = _logits(spark, sf)
-    best = M.temperature_scaling(df, "logit", _SCAM)
+    best = M.temperature_scaling(df, "logit", _scam())
     return df.crossJoin(F.broadcast(best)).select("id", F.round(M.tempered(F.col("logit"), F.col("temperature")), 9).alias("p"))  # one row
 
 
@@ -221,7 +227,7 @@ def _long(spark, sf, salts=("",)):
     """A row for each model, post and class: model, label, score, positive."""
     parts = []
     for salt in salts:
-        cells = F.array(F.struct(F.lit("scam").alias("label"), F.col("p_scam").alias("score"), _SCAM.alias("positive")), F.struct(F.lit("topic_crypto").alias("label"), F.col("p_topic").alias("score"), _TOPIC.alias("positive")))
+        cells = F.array(F.struct(F.lit("scam").alias("label"), F.col("p_scam").alias("score"), _scam().alias("positive")), F.struct(F.lit("topic_crypto").alias("label"), F.col("p_topic").alias("score"), _topic().alias("positive")))
         parts.append(fx.scored(spark, sf, salt).select("doc_id", F.lit(f"m{salt}").alias("model"), F.explode(cells).alias("c")).select("doc_id", "model", "c.*"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -200,7 +200,7 @@ _TERMS = rules.alternation(rules.CRYPTO_TERMS)
   CASE WHEN regexp_matches(text, '(?i)\\bbags?\\b') AND NOT regexp_matches(text, '(?i)\\b({"|".join(rules.PLAIN_BAGS)})\\b') THEN 'crypto_bags_slang' END) AS reason
   FROM scored WHERE gold_scam = 0 AND gold_topic = 0) SELECT id, reason FROM r WHERE reason <> ''""")
 def suggest_relabel(spark, sf):
-    df = fx.scored(spark, sf).withColumn("addresses", fx.NO_LABELS)
+    df = fx.scored(spark, sf).withColumn("addresses", fx.no_labels())
     return rules.suggest_relabel(df, labels="multi").select("id", "reason")
 
 

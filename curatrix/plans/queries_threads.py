@@ -177,7 +177,7 @@ _BAD = """bad AS (SELECT doc_id AS line, CASE WHEN doc_id % 50 = 1 THEN NULL WHE
 def _bad(spark, sf):
     m = lambda k: F.col("doc_id") % k
     number = F.col("doc_id").cast("string")
-    labels = F.when(m(29) == 0, fx.NO_LABELS).when(m(29) == 1, F.array(F.lit("scam"), F.lit("scam"))).when(m(29) == 2, F.array(F.lit("nonsense"))).otherwise(F.array(F.lit("clean")))
+    labels = F.when(m(29) == 0, fx.no_labels()).when(m(29) == 1, F.array(F.lit("scam"), F.lit("scam"))).when(m(29) == 2, F.array(F.lit("nonsense"))).otherwise(F.array(F.lit("clean")))
     return fx.table(spark, sf, "documents").select(
         F.col("doc_id").alias("line"), F.when(m(50) == 1, None).when(m(50) == 2, "odd id").when(m(50) == 3, "x_3").otherwise(F.lpad(number, 16, "1")).alias("id"), F.when(m(31) == 0, None).when(m(31) == 1, " ").otherwise(F.col("text")).alias("text"),
         labels.alias("labels"), F.when(m(23) == 0, F.lpad(number, 17, "2")).when(m(23) == 1, "abc").alias("source_id"), F.when(m(19) == 0, "fax").otherwise("x").alias("platform"), "source",

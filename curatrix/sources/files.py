@@ -10,11 +10,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curatrix.functions.labels import constants, normalize_change_labels
 
-POST = T._parse_datatype_string(
+POST = (
     "id string, platform string, source_id string, source_url string, collected_at string, text string, raw_text string, labels array<string>, label string, "
     "urls array<string>, addresses array<string>, notes string, author_handle string, label_source string, _corrupt string"
 )
