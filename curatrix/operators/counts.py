@@ -106,7 +106,9 @@ def assign_null_ids(rows: DataFrame, key: str = "id", line: str = "line", prefix
     largest = F.broadcast(rows.agg(number))  # one row
     without = rows.where(F.col(key).isNull())
     nameless = running_sums(without, [], F.floor(F.col(line) / lines_a_bucket).cast("long"), [line], {"place": F.lit(1)})
-    given = nameless.crossJoin(largest).withColumn(key, F.concat(F.lit(prefix), F.lpad((F.coalesce("largest", F.lit(0)) + F.col("place")).cast("string"), 4, "0")))
+    digits = (F.coalesce("largest", F.lit(0)) + F.col("place")).cast("string")
+    padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)  # lpad alone cuts longer ones
+    given = nameless.crossJoin(largest).withColumn(key, F.concat(F.lit(prefix), padded))
     return rows.where(F.col(key).isNotNull()).unionByName(given.select(*rows.columns))
 
 
