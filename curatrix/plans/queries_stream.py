@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from curatrix.operators import campaigns as K
@@ -73,7 +72,8 @@ def near_threshold_band(spark, sf):
 def ngram_features(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
     out = R.ngram_pipeline("text").fit(R.with_chars(docs, "text")).transform(R.with_chars(docs, "text"))
-    return out.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, b: a + b).cast("long").alias("n_grams"))
+    counts = F.unwrap_udt("features")["values"]  # of a sparse vector the buckets in use, of a dense one all
+    return out.select("doc_id", F.aggregate(counts, F.lit(0.0), lambda a, b: a + b).cast("long").alias("n_grams"))
 
 
 def _train(spark, sf):
