@@ -4,8 +4,9 @@ A document is a bag of sentences. A sentence's probability is logistic in its wo
 sentences: toxic if any sentence is. Only documents have labels; the gradient goes through the noisy-or to the sentences,
 and so the fitted model also says which sentences offend.
 
-The fit is made on a bounded, documented sample of labelled rows: SAMPLE_PER_CLASS documents of each label, of SAMPLE_CHARS
-characters at most, weighted back to the labels' shares. Every document is scored whole.
+The fit is made on a bounded, documented sample of labelled rows: SAMPLE_PER_CLASS documents of each label that have a text,
+weighted back to the labels' shares. Of a text of more than SAMPLE_CHARS characters, sentences from all over it are taken, of
+about as many characters together; a toxic sentence may be among those that are not. Every document is scored whole.
 
 Results: score is 0 for null and empty texts and texts without words. Without labelled rows of both kinds every score is
 the share of toxic labels (0 if none). Labels that are null or neither 0 nor 1 are left out; a document labelled twice
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import table, with_columns_from_batches
+from curatrix.llm.common import staged, table, with_columns_from_batches
 from curatrix.llm.language_id import held_out
 
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 20_000
@@ -57,8 +58,8 @@ class SentenceModel:
     def document(self, text: str | None) -> tuple[float, list[dict]]:
         """Noisy-or of the sentences, and the offending ones."""
         clean, offending = 0.0, []
-        for m in _SENTENCES.finditer((text or "").lower() if text and len(text.lower()) == len(text) else text or ""):
-            p = self.sentence(m.group())
+        for m in _SENTENCES.finditer(text or ""):  # lower case may be longer, so places are those of the text itself
+            p = self.sentence(m.group().lower())
             if p is not None:
                 clean += math.log1p(-min(p, 1 - 1e-12))
                 if p >= OFFENDS:
@@ -70,7 +71,7 @@ class SentenceModel:
         """share: of toxic labels among all labelled rows."""
         if len(set(labels)) < 2:
             return cls({}, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        bags = [[set(ws) for s in _SENTENCES.findall(t.lower()) if (ws := _WORDS.findall(s))] for t in texts]
+        bags = [[set(ws) for s in _SENTENCES.findall(t) if (ws := _WORDS.findall(s.lower()))] for t in texts]
         df = Counter(w for bag in bags for w in set().union(*bag))
         index = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= LEAST_DOCUMENTS))}
         doc_of, sent_of, feat = [], [], []
@@ -103,16 +104,40 @@ class SentenceModel:
         return cls({word: float(w[k]) for word, k in index.items() if abs(w[k]) > 1e-3}, float(b))
 
 
+def excerpt(text: str, most: int | None = None) -> str:
+    """The text if it has at most so many characters; else pieces of sentences at even distances, of about as many together."""
+    most = most or SAMPLE_CHARS
+    if len(text) <= most:
+        return text
+    # a sentence of any length counts as pieces of `piece` characters that end between words, so that none fills the excerpt
+    piece, pieces = max(1, most // 20), []
+    for sentence in _SENTENCES.findall(text):
+        at = 0
+        while at < len(sentence):
+            end = at + piece
+            if end < len(sentence):
+                blank = sentence.rfind(" ", at + 1, end + 1)
+                end = blank if blank > at else end
+            pieces.append(sentence[at:end])
+            at = end
+    share = most / sum(map(len, pieces))
+    step = max(1.0, 1 / share)
+    return "\n".join(pieces[int(k * step)] for k in range(int(len(pieces) / step)))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> SentenceModel:
     """Fits on the bounded sample; its texts come to the driver."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    draw = F.xxhash64("doc_id")
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(draw, "doc_id"))
-    chosen = rows.withColumn("place", place).where(F.col("place") <= SAMPLE_PER_CLASS).select("doc_id", "toxic")
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE_PER_CLASS rows at most
-    sample = sorted((r["text"], r["toxic"]) for r in texts.select("text", "toxic").collect())
+    there = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(F.length("text") >= 1)
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "th"))
+    ranked = rows.join(there.select("doc_id", "th"), "doc_id").withColumn("place", place).where(F.col("place") <= SAMPLE_PER_CLASS)
+    chosen = staged(ranked.select("doc_id", "th", "toxic"), "toxicity-draws")  # 2 * SAMPLE_PER_CLASS rows at most
+    cut = F.udf(lambda text: excerpt(text), "string")
+    texts = there.join(F.broadcast(chosen.select("doc_id", "th").distinct()), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.min("text").alias("text"))
+    known = {(r["doc_id"], r["th"]): r["text"] for r in texts.select("doc_id", "th", cut("text").alias("text")).collect()}
+    sample = sorted((known[r["doc_id"], r["th"]], r["toxic"]) for r in chosen.collect())
     return SentenceModel.fit([t for t, _ in sample], [y for _, y in sample], share)
 
 
