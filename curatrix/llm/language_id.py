@@ -5,8 +5,10 @@ sum over all ways to cut it into pieces (forward algorithm over the word's chara
 words. The probabilities are learned by expectation maximisation: the forward and backward sums of the training words
 give each piece's expected count.
 
-The fit is made on a bounded, documented sample of training rows: SAMPLE_PER_LANGUAGE whole texts for each language, of
-SAMPLE_CHARS characters at most, the first by a hash of the text. Every document is scored whole.
+The fit is made on a bounded, documented sample of training rows: SAMPLE_PER_LANGUAGE distinct texts with a letter for each
+language (fewer if there are more than MOST_TEXTS in all, one at least), the first by a hash of the text. Texts of up to
+SAMPLE_CHARS characters come first; where a language has too few, longer ones give as many characters of their beginning.
+Every language that has such a text is learned, and every document is scored whole.
 
 Results: lang_pred is a learned language; `und` with score 0 if the text is null, empty or has no letter, or if no
 language was learned. Ties go to the first language in order of names. score is the posterior of the predicted language
@@ -19,7 +21,6 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import table, with_columns_from_batches
+from curatrix.llm.common import bounded_broadcast, staged, table, with_columns_from_batches
 
-#: Bounds of the fit: training rows for each language, characters of a training row, languages.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 300, 4000, 64
+#: Bounds of the fit: distinct training texts for each language, characters of a training text, texts in all.
+SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MOST_TEXTS = 300, 4000, 300 * 64
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: Words that count fully towards a score; beyond them the mean is scaled to as many.
@@ -164,17 +165,17 @@ class PieceModel:
 
 def training_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Counter]:
     """Word counts of the bounded sample, by language. Its texts come to the driver."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1_000_000)).alias("draw"))
-    rows = rows.where("lang is not null and text is not null").where(F.length("text").between(1, SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return {}
-    # the first draws of each language; the cut leaves three times as many as are taken
-    near = reduce(lambda a, b: a | b, [(F.col("lang") == r["lang"]) & (F.col("draw") <= 3e6 * SAMPLE_PER_LANGUAGE / r["count"]) for r in counts])
-    first = Window.partitionBy("lang").orderBy("draw", "text")
-    out: dict[str, Counter] = {r["lang"]: Counter() for r in counts}
-    for r in rows.where(near).withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_PER_LANGUAGE).select("lang", "text").collect():
-        out[r["lang"]].update(w for w in _WORDS.findall(r["text"].lower()) if len(w) <= 64)
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
+    rows = rows.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    distinct = rows.select("lang", (F.length("text") > SAMPLE_CHARS).alias("long"), "draw").distinct()
+    first = Window.partitionBy("lang").orderBy("long", "draw")
+    drawn = staged(distinct.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_PER_LANGUAGE), "language-draws")
+    languages = drawn.where("place = 1").count()
+    chosen = drawn.where(F.col("place") <= max(1, min(SAMPLE_PER_LANGUAGE, MOST_TEXTS // max(1, languages)))).select("lang", "draw")
+    texts = rows.join(bounded_broadcast(chosen, 32), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    out: dict[str, Counter] = {}
+    for r in texts.select("lang", "text").collect():
+        out.setdefault(r["lang"], Counter()).update(w for w in _WORDS.findall(r["text"].lower()) if len(w) <= 64)
     return out
 
 
