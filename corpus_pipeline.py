@@ -2,7 +2,7 @@
 
 1. language_id: documents of no language go (null texts, texts without a letter, and those with no clear language).
 2. ngram_join: of each group of near duplicates (sets of five-word shingles, similarity 0.8 or more) the document with the
-   smallest id stays; documents without words stay.
+   smallest id stays, without any id one of them; documents without words stay.
 3. suffix_dedup: bytes of strings of 400 bytes or more that repeat are cut; a character that loses some of its bytes goes.
 4. mixing: sources are repeated towards flatter shares, by temperature, at most MAX_REPETITION times; none is cut.
 5. byte_bpe: ids of each text, and their digests.
@@ -27,12 +27,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay if no document with an id is near them; equal ones once. Repeated ids stay once."""
+    """One row of each component stays: the smallest id's, or without any id the first by a hash of the text. Equal rows stay once."""
     classes = staged(ngram_join.classified(docs.select("doc_id", "text"), n=5, percent=80), "pipeline-classes")
-    first = [F.min("tkey").alias("stay_key"), F.count("*").alias("rows")]
-    named = classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stay_id")).agg(*first)
-    nameless = classes.where("doc_id is null and component_id is null").groupBy(F.col("doc_id").alias("stay_id"), "tkey").agg(*first).drop("tkey")
-    stay = staged(named.unionByName(nameless), "pipeline-stay")
+    alike = classes.groupBy("comp", "doc_id", "tkey").agg(F.count("*").alias("rows"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("stay_id"), F.col("tkey").alias("stay_key"), "rows")
+    first = alike.where("comp is not null").groupBy("comp").agg(F.min(row).alias("row")).select("row.*")
+    wordless = alike.where("comp is null").select(row.alias("row")).select("row.*")
+    stay = staged(first.unionByName(wordless).drop("nameless"), "pipeline-stay")
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     out = keyed.join(bounded_broadcast(stay, 32, 16 << 20), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("__key") == F.col("stay_key")))
     if not stay.where("rows > 1").isEmpty():

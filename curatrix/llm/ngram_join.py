@@ -314,11 +314,11 @@ def _reachable(percent: int, a: str, b: str):
 
 def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text), linked where |A & B| * 100 >= percent * |A | B|."""
-    return classified(docs, n, percent).drop("tkey")
+    return classified(docs, n, percent).drop("tkey", "comp")
 
 
 def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """similarity_classes() with tkey, a hash of each row's text."""
+    """similarity_classes() with tkey, a hash of each row's text, and comp, a node of the row's component; null without words."""
     prof = staged(profiles(docs, n), "ngram-profiles")
     classes = staged(
         prof.where("node is not null").groupBy("node").agg(
@@ -376,10 +376,10 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
         discard(done)
 
     least = label.join(classes.select("node", "min_id"), "node").groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    linked = label.join(least, "comp").select("node", "component_id")
-    ids = classes.join(linked, "node", "left").select(F.col("node").alias("class"), F.coalesce("component_id", "min_id").alias("component_id"))
+    linked = label.join(least, "comp").select("node", "comp", "component_id")
+    ids = classes.join(linked, "node", "left").select(F.col("node").alias("class"), F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "min_id").alias("component_id"))
     out = prof.join(ids, prof.node == F.col("class"), "left")
-    return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
