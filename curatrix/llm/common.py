@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a folder of our own where it is unset (local runs)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -48,6 +51,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of tables that nothing refers to: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that new ones replace; names compare as Spark's do, without case."""
     new = {n.lower() for n in names}

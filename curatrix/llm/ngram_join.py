@@ -4,20 +4,27 @@
 2. Sets fall into size bands. Two sets of a band's reach that are similar differ in at most H elements. The universe is
    hashed into segments; a segment is indexed by the subset that falls into it (worth 1), or by the subset and all subsets
    with one element deleted (worth 2). If the worths add up to H + 1, two similar sets agree in a segment within what it
-   is worth. How many segments are of which kind is the cheaper choice by the band's row count and mean size.
-3. Sets that meet in a segment form a bucket; each member is compared with the bucket's first exact member, its center,
-   on the exact sets. So a large group of copies is linked by as many pairs as it has members.
-4. Members that this leaves in other components than their center, may still be similar to each other. Of two such sets
-   x and y around a center c, the symmetric difference is that of their deltas D(x) = x ^ c and D(y) = y ^ c; as c is
-   similar to one of them at most, the deltas must overlap, and their prefixes (in an order that begins with rare elements)
-   must meet. Prefix elements deal the members out; each meeting is again compared with one member first, and only what
-   is still in different components is compared pair by pair.
-
-Buckets are read as sorted streams and never held.
-
-Results: null texts, empty texts and texts of white space have n = 0 and link with nothing. Rows without an id take part;
-they have the smallest id that they reach, null if none. Repeated rows each get their row. Words are split at the ASCII
-white space, A-Z is lower-cased.
+   is worth. How many segments are of which kind, and whether there are spare ones so that a set may leave out its tiny
+   subsets, is the cheapest choice by the band's row count and mean size.
+3. Sets that meet in a segment form a bucket; each member is compared with the bucket's first exact member, its center:
+   counts by bins end most pairs, the exact sets decide the rest. So a large group of copies is linked by as many pairs
+   as it has members.
+4. Members of a bucket may be similar to each other, but not to its center c. Of two sets the symmetric difference is that
+   of their deltas D(x) = x ^ c and D(y) = y ^ c, so the deltas of two similar members overlap, and their prefixes (in an
+   order that ends with common elements) meet. If one of them is similar to c, the other is within the ring of twice H
+   around c: there both meet by the deltas from c, which are small. If neither is, both meet by prefixes of their own sets
+   (deltas from the empty set), one list for each set however many buckets it is in. Prefix elements deal the members out;
+   each meeting is again compared with one member first, and only sets outside the meeting's largest component are
+   compared pair by pair.
+
+Buckets are read as sorted streams and never held. Two sets that have one name of 64 bits are noticed by 128 bits and get
+other names. Intersections are counted on the 64-bit hashes of the n-grams: within one pair, two unlike n-grams of one
+hash would be counted as one (for sets of a thousand, a chance of about 1e-13).
+
+Results: null texts, empty texts and texts of white space have n = 0 and link with nothing; very long texts are read whole.
+Rows without an id take part; they have the smallest id that they reach, null if none. Repeated rows each get their row;
+an empty table gives none. Only doc_id and text are read, so further columns of any name do no harm. Words are split at
+the ASCII white space, A-Z is lower-cased.
 """
 
 from __future__ import annotations
@@ -29,19 +36,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import bounded_broadcast, by_bytes, discard, staged, table
+from curatrix.llm.common import bounded_broadcast, by_bytes, discard, release, staged, table
 from curatrix.llm.components import components
 
 _U = np.uint64
 #: Multipliers of a 64-bit finalizer (fixed values).
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
-#: What comparing a pair costs, in rows of the index; and how many times the rows may grow to leave out segments of up to 0, 1 and 2 elements.
-PAIR_COST, SPARE_ROWS = 4.0, (1.6, 1.2, 1.2)
-#: Members of a center whose deltas say which elements are common. It sets an order only: results don't depend on it.
-ORDER_SAMPLE = 64
+#: What comparing a pair costs, in rows of the index.
+PAIR_COST = 4.0
+#: Which elements are common is told from a sample: so many of them, or this share if that is more. The most common ones count,
+#: so many in all at most. This sets an order only: results don't depend on it.
+ORDER_SAMPLE, ORDER_SHARE, MOST_COMMON = 1 << 22, 1 / 64, 1 << 19
 #: Bins of the counts by which pairs are told apart before their sets are compared.
 BINS = 256
 
@@ -57,23 +65,22 @@ def ngram_set(text: str | None, n: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.array([digest(w) for w in words], np.uint64)
-    if len(words) < n:
-        out = np.array([len(words)], np.uint64)
-        for k in range(len(words)):
-            out = mixed(out * _STEP + h[k : k + 1])
-        return out
-    out = h[: len(h) - n + 1]
-    for k in range(1, n):
-        out = mixed(out * _STEP + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
-
-
-def node_of(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set: the node, and bits to notice that two sets have one node."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    width = min(n, len(words))
+    out = h[: len(h) - width + 1] + _U(width)
+    for k in range(1, width):
+        out = out * _STEP + h[k : len(h) - width + 1 + k]
+    out = np.sort(mixed(out))
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def node_of(elements: np.ndarray, clashing: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """The name of a set, and as many bits again: with both, sets are told apart. Names in `clashing` are those of several sets."""
     digest = xxhash.xxh3_128_digest(elements.tobytes())
-    return tuple(int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+    node, check = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
+    if node in clashing:
+        node = int.from_bytes(xxhash.xxh3_64_digest(digest, seed=len(clashing)), "little", signed=True)
+    return node, check
 
 
 @dataclass(frozen=True)
@@ -96,10 +103,10 @@ def band_starts(percent: int, largest: int) -> list[int]:
 
 
 def allocate(low: int, high: int, percent: int, sets: int, mean_size: float) -> Band:
-    """The cheapest number of segments of either kind whose worths add up to H + 1.
+    """The cheapest segments of either kind whose worths add up to H + 1.
 
-    Where it costs few rows, there are some segments more, so that a set may leave out its tiny ones, where unlike sets
-    meet. Else the cost is that of index rows, and of pairs of sets that meet in a segment that is (nearly) empty in both.
+    The cost is that of index rows, and of pairs of unlike sets that meet in a segment that is (nearly) empty in both. With
+    spare segments, a set may leave out as many tiny ones; the few sets that have more than that show all of theirs.
     """
     most = (100 - percent) * 2 * high // (100 + percent)
     if not most:
@@ -108,24 +115,24 @@ def allocate(low: int, high: int, percent: int, sets: int, mean_size: float) ->
     def at_most(tiny: int, share: float) -> float:
         return sum(math.exp(-share) * share**k / math.factorial(k) for k in range(tiny + 1))
 
-    for tiny in (2, 1, 0):
-        spare = 0
-        while spare <= most:
-            expected = (most + 1 + spare) * at_most(tiny, low / (most + 1 + spare))
-            if spare >= expected + 2 * math.sqrt(expected):
-                break
-            spare += 1
-        if spare <= most and (most + 1 + spare) * (1 - at_most(tiny, mean_size / (most + 1 + spare))) <= SPARE_ROWS[tiny] * (most + 1):
-            return Band(low, high, most, most + 1 + spare, 0, tiny, spare)
-    best, cost = (0, 0), math.inf
+    choices = []
     for doubles in range((most + 1) // 2 + 1):
         singles = most + 1 - 2 * doubles
         share = mean_size / (singles + doubles)
         rows = sets * (singles + doubles * (1 + share))
         pairs = sets**2 / 2 * (singles * at_most(0, share) ** 2 + doubles * at_most(1, share) ** 2)
-        if rows + PAIR_COST * pairs < cost:
-            best, cost = (singles, doubles), rows + PAIR_COST * pairs
-    return Band(low, high, most, *best)
+        choices.append((rows + PAIR_COST * pairs, doubles, Band(low, high, most, singles, doubles)))
+    for tiny in range(3):
+        for spare in range(most + 1):
+            segments = most + 1 + spare
+            expected = segments * at_most(tiny, low / segments)
+            if spare >= expected + 2 * math.sqrt(expected):
+                empty = at_most(tiny, mean_size / segments)
+                rows = sets * segments * (1 - empty)
+                pairs = (sets / 40) ** 2 / 2 * segments * at_most(0, mean_size / segments) ** 2
+                choices.append((rows + PAIR_COST * pairs, most + 2 + tiny, Band(low, high, most, segments, 0, tiny, spare)))
+                break
+    return min(choices, key=lambda c: c[:2])[2]
 
 
 def signatures(elements: np.ndarray, bands: list[Band], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,28 +174,30 @@ def _record(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
 
 
-def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, check, tkey): a row for each document; node is null for empty sets. tkey hashes the text."""
+def binned(elements: np.ndarray) -> bytes:
+    """Counts of a set's elements by BINS bins, 255 at most."""
+    return np.minimum(np.bincount((elements >> _U(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def profiles(docs: DataFrame, n: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """(doc_id, n_shingles, node, check, tkey, bins): a row for each document; node is null for empty sets. tkey hashes the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes, checks = [], [], []
-            for value in batch.column(1):
-                elements = ngram_set(value.as_py(), n)
-                node, check = node_of(elements) if len(elements) else (None, None)
-                sizes.append(len(elements))
-                nodes.append(node)
-                checks.append(check)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), batch.column(2)],
-                names=["doc_id", "n_shingles", "node", "check", "tkey"],
-            )
+        for whole in batches:
+            for batch in by_bytes(whole):
+                rows = []
+                for value in batch.column(1):
+                    elements = ngram_set(value.as_py(), n)
+                    rows.append((len(elements), *node_of(elements, clashing), binned(elements)) if len(elements) else (0, None, None, None))
+                cells = zip(*rows, strict=True) if rows else [[]] * 4
+                sizes, nodes, checks, bins = (pa.array(x, k) for x, k in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, nodes, checks, batch.column(2), bins], names=["doc_id", "n_shingles", "node", "check", "tkey", "bins"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, tkey long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, tkey long, bins binary")
 
 
-def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band]) -> DataFrame:
+def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band], clashing: frozenset[int] = frozenset()) -> DataFrame:
     """Index rows of each set of a batch: bucket, kind, node and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +206,7 @@ def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band]) -> Dat
                 seen, sigs, kinds, nodes, sizes = set(), [], [], [], []
                 for value in batch.column(0):
                     elements = ngram_set(value.as_py(), n)
-                    if not len(elements) or (node := node_of(elements)[0]) in seen:
+                    if not len(elements) or (node := node_of(elements, clashing)[0]) in seen:
                         continue
                     seen.add(node)
                     sig, kind = signatures(elements, bands, percent)
@@ -212,9 +221,10 @@ def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band]) -> Dat
 
 
 def bucket_links(index: DataFrame) -> DataFrame:
-    """(center, center_size, node, size): every member of a bucket beside the bucket's first exact member.
+    """(center, center_size, node, size, more): every member of a bucket beside the bucket's first exact member.
 
-    Rows of a bucket arrive sorted, exact members first; only the first one is kept in mind.
+    Rows of a bucket arrive sorted, exact members first; only the first one is kept in mind. more: the bucket has further
+    members (or may have some in the next batch).
     """
     ordered = index.repartition("sig").sortWithinPartitions("sig", "kind", "node")
 
@@ -224,113 +234,183 @@ def bucket_links(index: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             sig, kind, node, size = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            start = np.flatnonzero(np.r_[last is None or sig[0] != last[0], sig[1:] != sig[:-1]])
-            at = np.searchsorted(start, np.arange(len(sig)), side="right")  # 0: the bucket that was open already
+            opens = np.r_[last is None or sig[0] != last[0], sig[1:] != sig[:-1]]
+            start = np.flatnonzero(opens)
+            at = np.cumsum(opens)  # 0: the bucket that was open already
             first_kind, first_node, first_size = (np.r_[0 if last is None else last[k], x[start]][at] for k, x in ((1, kind), (2, node), (3, size)))
             if len(start):
                 last = tuple(x[start[-1]] for x in (sig, kind, node, size))
-            take = (first_kind == 0) & (first_node != node)
+            member = first_node != node
+            others = np.bincount(at[member & ~np.r_[False, (node[1:] == node[:-1]) & ~opens[1:]]], minlength=at[-1] + 1)
+            others[0] += 2
+            others[-1] += 2
+            take = (first_kind == 0) & member
             if take.any():
-                yield _record("center center_size node size", first_node[take].astype(np.int64), first_size[take].astype(np.int32), node[take], size[take])
+                yield _record("center center_size node size more", first_node[take].astype(np.int64), first_size[take].astype(np.int32), node[take], size[take], others[at[take]] > 1)
 
-    return ordered.mapInArrow(run, "center long, center_size int, node long, size int")
+    return ordered.mapInArrow(run, "center long, center_size int, node long, size int, more boolean")
 
 
-def delta_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(center, element, place, node, size, d, comp) of members (center, node, size, comp): the first elements of each delta.
+def _reachable(percent: int, a: str, b: str):
+    """Whether two sizes allow for similarity."""
+    return (F.least(a, b) * 100 >= percent * F.greatest(a, b)) & (F.col(a) > 0)
 
-    d is the delta's size. A similar set lacks at most H elements of a delta, so H + 1 places suffice. Elements that a
-    sample of the center's members shares come last, the most frequent at the end: any order serves that is one order for
-    all members of a center, and with this one prefixes seldom meet by chance.
-    """
-    of_center = sets.select(F.col("node").alias("center"), F.col("elements").alias("ec"))
-    of_node = sets.select("node", F.col("elements").alias("ex"))
-    delta = F.array_sort(F.concat(F.array_except("ex", "ec"), F.array_except("ec", "ex")))
-    deltas = staged(members.join(of_node, "node").join(of_center, "center").select("center", "node", "size", "comp", delta.alias("delta")), "ngram-deltas")
-    drawn = F.row_number().over(Window.partitionBy("center").orderBy(F.xxhash64("node"), "node"))
-    sample = deltas.withColumn("drawn", drawn).where(F.col("drawn") <= ORDER_SAMPLE).select("center", F.explode("delta").alias("element"))
-    counts = sample.groupBy("center", "element").agg(F.count("*").alias("c")).where("c > 1")
-    common = counts.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "element"))), lambda s: s["element"]).alias("common"))
-    most = F.floor(F.col("size") * (100 - percent) / percent).cast("int") + 1
-    common_or_none = F.coalesce("common", F.array().cast("array<bigint>"))
-    ordered = F.concat(F.array_except("delta", common_or_none), F.array_intersect(common_or_none, F.col("delta")))
-    rows = deltas.join(common, "center", "left").select("center", "node", "size", "comp", F.size("delta").alias("d"), F.posexplode(F.slice(ordered, F.lit(1), most)).alias("place", "element"))
-    return rows.withColumn("place", F.col("place") + 1)
 
+def is_near(percent: int, d: str, a: str, b: str):
+    """Whether sets of sizes a and b with d elements in one of them only are similar."""
+    return F.col(d) * (100 + percent) <= (100 - percent) * (F.col(a) + F.col(b))
 
-def prefix_meetings(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components whose delta prefixes meet as those of similar sets must."""
-    now = label.select(F.col("node").alias("labelled"), F.col("comp").alias("now"))
-    rows = rows.join(now, rows.node == now.labelled, "left").select("center", "element", "place", "node", "size", "d", F.coalesce("now", "node").alias("comp"))
-    x = rows.select("center", "element", *[F.col(c).alias(f"x_{c}") for c in ("place", "node", "size", "d", "comp")])
-    y = rows.select("center", "element", *[F.col(c).alias(f"y_{c}") for c in ("place", "node", "size", "d", "comp")])
-    h = f"({100 - percent} * (x_size + y_size) div {100 + percent})"
-    ordered = "x_comp <> y_comp and (y_d < x_d or (y_d = x_d and y_node < x_node))"
-    meet = f"y_place <= floor((y_d - x_d + {h}) / 2) + 1 and x_place <= floor((x_d - y_d + {h}) / 2) + 1"
-    condition = (x.center == y.center) & (x.element == y.element) & F.expr(ordered) & F.expr(meet) & _reachable(percent, "x_size", "y_size")
-    return x.join(y, condition).select(F.least("x_node", "y_node").alias("u"), F.greatest("x_node", "y_node").alias("v")).distinct()
-
-
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (u, v), those whose sets are similar; exact, on the sets."""
-    left = sets.select(F.col("node").alias("u"), F.col("elements").alias("eu"))
-    right = sets.select(F.col("node").alias("v"), F.col("elements").alias("ev"))
-    # counts by bins differ by as much as the sets do at most: most pairs end here, on a few bytes
-    of = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n{name}"), F.col("bins").alias(f"b{name}"))
-    apart = F.aggregate(F.zip_with("bu", "bv", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
-    pairs = pairs.join(of("v"), "v").join(of("u"), "u").where(apart * (100 + percent) <= (100 - percent) * (F.col("nu") + F.col("nv"))).select("u", "v")
-    both = F.size(F.array_intersect("eu", "ev"))
-    return pairs.join(right, "v").join(left, "u").where(both * 100 >= percent * (F.size("eu") + F.size("ev") - both)).select("u", "v")
-
-
-def exact_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, elements, n, bins) of the wanted (doc_id, tkey, node): their texts are read once more. bins: counts by BINS bins, 127 at most."""
-    want = bounded_broadcast(wanted.select(F.col("doc_id").alias("want_id"), F.col("tkey").alias("want_key"), "node"), 24)
+
+def in_ring(percent: int, d: str, a: str, b: str):
+    """Whether a set that is similar to both may exist."""
+    return F.col(d) * (100 + percent) * percent <= (100 - percent) * (percent * (F.col(a) + F.col(b)) + 200 * F.least(a, b))
+
+
+def exact_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, clashing: frozenset[int]) -> DataFrame:
+    """(node, elements) of the nodes: one text of each is read once more. A node may come twice."""
+    wanted = staged(classes.join(nodes.distinct(), "node").select(F.col("from.doc_id").alias("want_id"), F.col("from.tkey").alias("want_key"), "node"), "ngram-wanted")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    found = rows.join(want, rows.doc_id.eqNullSafe(F.col("want_id")) & (rows.tkey == F.col("want_key"))).select("node", "text")
+    found = rows.join(bounded_broadcast(wanted, 24), rows.doc_id.eqNullSafe(F.col("want_id")) & (rows.tkey == F.col("want_key"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 4 << 20):
-                nodes, sets, bins = [], [], []
-                for node, value in zip(batch.column(0), batch.column(1), strict=True):
+                nodes, sets = [], []
+                for node, value in zip(*batch.columns, strict=True):
                     elements = ngram_set(value.as_py(), n)
-                    if len(elements) and node_of(elements)[0] == node.as_py():
+                    if len(elements) and node_of(elements, clashing)[0] == node.as_py():
                         nodes.append(node.as_py())
                         sets.append(elements.view(np.int64))
-                        bins.append(np.minimum(np.bincount((elements >> _U(20)).astype(np.int64) % BINS, minlength=BINS), 127).astype(np.int8))
-                sizes = pa.array([len(x) for x in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), sizes, pa.array(bins, pa.list_(pa.int8()))], names=["node", "elements", "n", "bins"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
 
-    return found.mapInArrow(run, "node long, elements array<long>, n int, bins array<byte>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "node long, elements array<long>")
 
 
-def _reachable(percent: int, a: str, b: str):
-    """Whether two sizes allow for similarity."""
-    return (F.least(a, b) * 100 >= percent * F.greatest(a, b)) & (F.col(a) > 0)
+def maybe_near(pairs: DataFrame, classes: DataFrame, percent: int, ring: bool = False) -> DataFrame:
+    """(u, v, nu, nv): of the pairs (u, v), those that the counts by bins leave, staged. Counts differ by as much as the sets do at most."""
 
+    def of(k: str) -> DataFrame:
+        return classes.select(F.col("node").alias(k), F.col("size").cast("long").alias(f"n{k}"), F.col("from.bins").alias(f"b{k}"))
 
-def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of documents (doc_id, text), linked where |A & B| * 100 >= percent * |A | B|."""
-    return classified(docs, n, percent).drop("tkey", "comp")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64))], names=["u", "v", "nu", "nv", "least"])
 
+    both = pairs.select("u", "v").join(of("v"), "v").join(of("u"), "u").select("u", "v", "nu", "nv", "bu", "bv")
+    if not ring:
+        both = both.where(_reachable(percent, "nu", "nv"))
+    found = both.mapInArrow(run, "u long, v long, nu long, nv long, least long")
+    return staged(found.where((in_ring if ring else is_near)(percent, "least", "nu", "nv")).drop("least"), "ngram-maybe")
 
-def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """similarity_classes() with tkey, a hash of each row's text, and comp, a node of the row's component; null without words."""
-    prof = staged(profiles(docs, n), "ngram-profiles")
-    classes = staged(
-        prof.where("node is not null").groupBy("node").agg(
+
+def distances(left: DataFrame, sets: DataFrame, percent: int, ring: bool = False) -> DataFrame:
+    """(u, v, nu, nv, d) of pairs (u, v, nu, nv) that are similar, or (ring) as near as two that are similar to a third, staged; exact, on the sets."""
+    eu, ev = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"e{k}")) for k in "uv")
+    d = F.col("nu") + F.col("nv") - 2 * F.size(F.array_intersect("eu", "ev"))
+    found = left.join(ev, "v").join(eu, "u").select("u", "v", "nu", "nv", d.alias("d"))
+    return staged(found.where((in_ring if ring else is_near)(percent, "d", "nu", "nv")), "ngram-near")
+
+
+def keyed(around: int, elements: np.ndarray) -> np.ndarray:
+    """Names of elements around a center."""
+    return mixed(elements + mixed(np.array([around], np.int64).view(np.uint64)))
+
+
+def common_keys(deltas: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of elements that several of a sample of deltas share, the most common ones, and their counts; MOST_COMMON at most."""
+    total = deltas.agg(F.sum(F.size("delta"))).first()[0] or 0
+    share = min(1.0, max(ORDER_SHARE, ORDER_SAMPLE / max(1, total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for around, delta in zip(*batch.columns, strict=True):
+                yield _record("key", keyed(around.as_py(), delta.values.to_numpy().view(np.uint64)).view(np.int64))
+
+    drawn = deltas.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(1 << 20)) < int(share * (1 << 20))).where(F.size("delta") > 0)
+    counts = staged(drawn.select("around", "delta").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-common")
+    least, there = 2, 0
+    for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
+        there += r["count"]
+        if there > MOST_COMMON:
+            least = 2 << r["power"]
+            break
+    found = counts.where(F.col("c") >= least).toArrow()
+    discard(counts)
+    key, c = (found.column(k).to_numpy() for k in ("key", "c"))
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], c[order]
+
+
+def prefixes(deltas: DataFrame) -> DataFrame:
+    """(key, place, node, size, d) of deltas (around, node, size, most, delta): the first `most` elements of each delta.
+
+    Common elements come last, the most common at the end: any order serves that is one order for all deltas from one set,
+    and with this one prefixes seldom meet by chance.
+    """
+    shared = deltas.sparkSession.sparkContext.broadcast(common_keys(deltas))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            for around, node, size, most, delta in zip(*batch.columns, strict=True):
+                key = keyed(around.as_py(), delta.values.to_numpy().view(np.uint64))
+                often = np.zeros(len(key), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    often = np.where(common[at] == key, counts[at], 0)
+                first = key[np.lexsort((key, often))][: most.as_py()]
+                k = len(first)
+                yield _record("key place node size d", first.view(np.int64), np.arange(1, k + 1, dtype=np.int32), np.full(k, node.as_py()), np.full(k, size.as_py()), np.full(k, len(key)))
+
+    rows = deltas.where(F.size("delta") > 0).select("around", "node", "size", "most", "delta")
+    return rows.mapInArrow(run, "key long, place int, node long, size long, d long")
+
+
+def prefix_meetings(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components whose prefixes meet as those of similar sets must.
+
+    Of the rows that meet, those of the component that has most of them are not compared with each other.
+    """
+    now = label.select(F.col("node").alias("labelled"), "comp")
+    rows = staged(rows.join(now, rows.node == now.labelled, "left").select("key", "place", "node", "size", "d", F.coalesce("comp", "node").alias("comp")), "ngram-met")
+    sides = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"))
+    sides = sides.where("comps > 1").select("key", F.col("main.comp").alias("main"))
+    told = staged(rows.join(sides, "key"), "ngram-told")
+    x = told.where("comp <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("place", "node", "size", "d", "comp")])
+    y = told.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("place", "node", "size", "d", "comp")])
+    h = f"({100 - percent} * (x_size + y_size) div {100 + percent})"
+    apart = F.expr("x_comp <> y_comp and (y_comp = main or x_node < y_node)")
+    meet = F.expr(f"y_place <= floor((y_d - x_d + {h}) / 2) + 1 and x_place <= floor((x_d - y_d + {h}) / 2) + 1")
+    met = x.join(y, "key").where(apart & meet & _reachable(percent, "x_size", "y_size"))
+    found = staged(met.select(F.least("x_node", "y_node").alias("u"), F.greatest("x_node", "y_node").alias("v")).distinct(), "ngram-pairs")
+    for done in (rows, told):
+        discard(done)
+    return found
+
+
+def equal_classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Profiles of the documents, the classes of equal sets, and the names that several sets had (they have others now)."""
+    clashing: frozenset[int] = frozenset()
+    while True:
+        prof = staged(profiles(docs, n, clashing), "ngram-profiles")
+        grouped = prof.where("node is not null").groupBy("node").agg(
             F.min("check").alias("check"), F.max("check").alias("other"), F.min("n_shingles").alias("size"),
-            F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "tkey")).alias("from"),
-        ),
-        "ngram-classes",
-    )
-    if not classes.where("check <> other").isEmpty():
-        raise ValueError("two different sets have one node: 64 bits are too few for these data")
-    largest = classes.agg(F.max("size")).first()[0] or 0
-    starts = band_starts(percent, largest)
+            F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "tkey", "bins")).alias("from"),
+        )
+        classes = staged(grouped, "ngram-classes")
+        # about m * m / 2**65 of m sets
+        new = {r["node"] for r in classes.where("check <> other").select("node").collect()}
+        if not new:
+            return prof, classes, clashing
+        clashing |= new
+        for done in (prof, classes):
+            discard(done)
+
+
+def bands_of(classes: DataFrame, percent: int) -> list[Band]:
+    starts = band_starts(percent, classes.agg(F.max("size")).first()[0] or 0)
     number = F.lit(0)
     for start in starts[1:]:
         number = number + (F.col("size") >= start).cast("int")
@@ -340,44 +420,87 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     for k, (low, after) in enumerate(zip(starts, starts[1:], strict=False)):
         sets, mean = (found[k].sets, found[k].mean) if k in found else (1, float(low))
         bands.append(allocate(low, after - 1, percent, sets, mean))
-    links = staged(bucket_links(bucket_rows(docs, n, percent, bands)).distinct(), "ngram-links")
+    return bands
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = staged(classes.join(nodes.distinct(), "node").select("from.doc_id", "from.tkey", "node"), "ngram-wanted")
-        return staged(exact_sets(docs, wanted, n), "ngram-sets")
+
+def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents (doc_id, text), linked where |A & B| * 100 >= percent * |A | B|."""
+    return classified(docs, n, percent).drop("tkey", "comp")
+
+
+def components_of(docs: DataFrame, classes: DataFrame, n: int, percent: int, clashing: frozenset[int]) -> DataFrame:
+    """(node, comp) of the classes that have links."""
+    spark = docs.sparkSession
+    index = bucket_rows(docs, n, percent, bands_of(classes, percent), clashing)
+    links = bucket_links(index).groupBy("center", "node").agg(F.min("center_size").alias("center_size"), F.min("size").alias("size"), F.max("more").alias("more"))
+    links = staged(links, "ngram-links")
+    del index
+    release(spark)
 
     def pair(a: str, b: str) -> list:
         return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
-    tried = links.where(_reachable(percent, "size", "center_size")).select(*pair("center", "node")).distinct()
-    sets = sets_of(links.select(F.explode(F.array("center", "node")).alias("node")))
-    edges = staged(similar(tried, sets, percent), "ngram-edges")
-    label = components(edges)
+    def named(ends: DataFrame, of: str, name: str) -> DataFrame:
+        told = label.select(F.col("node").alias("__named"), F.col("comp").alias("__comp"))
+        return ends.join(told, ends[of] == told["__named"], "left").withColumn(name, F.coalesce("__comp", of)).drop("__named", "__comp")
 
-    named = label.select(F.col("node").alias("named"), "comp")
-    center_named = label.select(F.col("node").alias("center_named"), F.col("comp").alias("center_comp"))
-    seen = (
-        links.join(named, links.node == named.named, "left").join(center_named, links.center == center_named.center_named, "left")
-        .select("node", "size", "center", F.coalesce("comp", "node").alias("comp"), F.coalesce("center_comp", "center").alias("center_comp"))
-    )
-    apart = seen.groupBy("center").agg(F.count("*").alias("rows"), F.max((F.col("comp") != F.col("center_comp")).cast("int")).alias("apart")).where("rows > 1 and apart = 1")
-    rest = seen.join(apart.select("center"), "center").select("center", "node", "size", "comp")
-    rows = delta_prefixes(rest, sets, percent)
-    shared = rows.groupBy("center", "element").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1")
-    met = staged(rows.join(shared.drop("rows"), ["center", "element"]), "ngram-met")
-    if not met.isEmpty():
-        near = met.where("first <> node").select(*pair("first", "node")).distinct()
-        edges = staged(edges.unionByName(similar(near, sets, percent)), "ngram-edges")
+    ends = links.select(F.explode(F.array("center", "node")).alias("node"))
+    sets = staged(exact_sets(docs, classes, ends, n, clashing), "ngram-sets")
+    # each set and its first center: large groups of copies are told by that
+    tried = links.where(_reachable(percent, "size", "center_size")).groupBy("node").agg(F.min("center").alias("center")).select(*pair("center", "node")).distinct()
+    edges = distances(maybe_near(tried, classes, percent), sets, percent).select("u", "v")
+    label = components(edges)
+    # the rest: members of a center of which some are in other components
+    seen = staged(named(named(links, "node", "comp"), "center", "center_comp"), "ngram-seen")
+    apart = seen.where("comp <> center_comp").select("center").distinct()
+    rest = staged(seen.join(apart, "center").select("center", "node", "size", "more", "comp", "center_comp"), "ngram-rest")
+    if not rest.isEmpty():
+        around = distances(maybe_near(rest.select(F.col("center").alias("u"), F.col("node").alias("v")), classes, percent, ring=True), sets, percent, ring=True)
+        near = around.where(is_near(percent, "d", "nu", "nv"))
+        edges = staged(edges.unionByName(near.select("u", "v")).distinct(), "ngram-edges")
         label = components(edges)
-        last = staged(similar(prefix_meetings(met, label, percent), sets, percent), "ngram-edges")
-        if not last.isEmpty():
-            label = components(edges.unionByName(last))
-    for done in (links, sets, met):
+        release(spark)
+        told = rest.join(near.select(F.col("u").alias("center"), F.col("v").alias("node"), F.lit(True).alias("near")).distinct(), ["center", "node"], "left")
+        far = staged(told.where("more and near is null").select("node").distinct(), "ngram-far")
+        ring = staged(named(named(around.select(F.col("u").alias("center"), F.col("v").alias("node"), F.col("nv").alias("size"), is_near(percent, "d", "nu", "nv").alias("near")).distinct(), "node", "comp"), "center", "center_comp"), "ngram-ring")
+        split = ring.where("not near and comp <> center_comp").select("center").distinct()
+        of_center = sets.select(F.col("node").alias("center"), F.col("elements").alias("ec"))
+        delta = F.concat(F.array_except("elements", "ec"), F.array_except("ec", "elements"))
+        from_center = ring.join(split, "center").join(sets, "node").join(of_center, "center").select(
+            F.col("center").alias("around"), "node", "size", (F.floor(F.col("size") * (100 - percent) / percent) + 1).alias("most"), delta.alias("delta")
+        )
+        own = sets.join(bounded_broadcast(far, 16), "node").select(
+            F.lit(0).cast("long").alias("around"), "node", F.size("elements").cast("long").alias("size"), (F.floor(F.size("elements") * (100 - percent) / 100) + 1).alias("most"), F.col("elements").alias("delta")
+        )
+        rows = staged(prefixes(staged(from_center, "ngram-deltas")).unionByName(prefixes(own)), "ngram-prefixes")
+        shared = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1")
+        met = staged(rows.join(shared.drop("rows"), "key"), "ngram-met")
+        discard(rows)
+        release(spark)
+        if not met.isEmpty():
+            first = named(named(met.where("first <> node").select("first", "node").distinct(), "node", "comp"), "first", "first_comp")
+            first = first.where("comp <> first_comp").select(*pair("first", "node")).distinct()
+            more = distances(maybe_near(first, classes, percent), sets, percent).select("u", "v")
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                label = components(edges)
+            last = distances(maybe_near(prefix_meetings(met.drop("first"), label, percent), classes, percent), sets, percent).select("u", "v")
+            if not last.isEmpty():
+                label = components(edges.unionByName(last))
+        discard(met)
+    for done in (links, sets, rest, seen):
         discard(done)
+    release(spark)
+    return label
 
+
+def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """similarity_classes() with tkey, a hash of each row's text, and comp, a node of the row's component; null without words."""
+    prof, classes, clashing = equal_classes(docs, n)
+    label = components_of(docs, classes, n, percent, clashing)
     least = label.join(classes.select("node", "min_id"), "node").groupBy("comp").agg(F.min("min_id").alias("component_id"))
     linked = label.join(least, "comp").select("node", "comp", "component_id")
-    ids = classes.join(linked, "node", "left").select(F.col("node").alias("class"), F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "min_id").alias("component_id"))
+    ids = classes.select("node", "min_id").join(linked, "node", "left").select(F.col("node").alias("class"), F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "min_id").alias("component_id"))
     out = prof.join(ids, prof.node == F.col("class"), "left")
     return out.select("doc_id", "tkey", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "comp")
 
