@@ -50,8 +50,8 @@ PAIR_COST = 4.0
 #: Which elements are common is told from a sample: so many of them, or this share if that is more. The most common ones count,
 #: so many in all at most. This sets an order only: results don't depend on it.
 ORDER_SAMPLE, ORDER_SHARE, MOST_COMMON = 1 << 22, 1 / 64, 1 << 19
-#: Bins of the counts by which pairs are told apart before their sets are compared.
-BINS = 256
+#: Least bins of the counts by which pairs are told apart before their sets are compared; larger sets have a bin for two elements.
+BINS = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -175,8 +175,16 @@ def _record(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def binned(elements: np.ndarray) -> bytes:
-    """Counts of a set's elements by BINS bins, 255 at most."""
-    return np.minimum(np.bincount((elements >> _U(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Counts of a set's elements by bins, 255 at most. The number of bins is a power of two."""
+    bins = max(BINS, 1 << (len(elements) // 2).bit_length())
+    return np.minimum(np.bincount(((elements >> _U(20)) & _U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many elements two sets differ at least, by their bins; the finer ones are added up to the coarser ones."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int16), np.frombuffer(b, np.uint8).astype(np.int16)
+    bins = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, bins).sum(axis=0) - y.reshape(-1, bins).sum(axis=0)).sum())
 
 
 def profiles(docs: DataFrame, n: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
@@ -294,13 +302,13 @@ def maybe_near(pairs: DataFrame, classes: DataFrame, percent: int, ring: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (4, 5))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64))], names=["u", "v", "nu", "nv", "least"])
+            least = [least_difference(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(least, pa.int64())], names=["u", "v", "nu", "nv", "least"])
 
-    both = pairs.select("u", "v").join(of("v"), "v").join(of("u"), "u").select("u", "v", "nu", "nv", "bu", "bv")
-    if not ring:
-        both = both.where(_reachable(percent, "nu", "nv"))
+    sizes = [classes.select(F.col("node").alias(k), F.col("size").cast("long").alias(f"n{k}")) for k in "uv"]
+    pairs = pairs.select("u", "v").join(sizes[0], "u").join(sizes[1], "v").withColumn("least", F.abs(F.col("nu") - F.col("nv")))
+    pairs = pairs.where((in_ring if ring else is_near)(percent, "least", "nu", "nv")).select("u", "v")
+    both = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "nu", "nv", "bu", "bv")
     found = both.mapInArrow(run, "u long, v long, nu long, nv long, least long")
     return staged(found.where((in_ring if ring else is_near)(percent, "least", "nu", "nv")).drop("least"), "ngram-maybe")
 
