@@ -17,10 +17,10 @@ under equal priors, on the mean evidence of EVIDENCE_WORDS words at most, so tha
 
 from __future__ import annotations
 
-import math
+import re
 import uuid
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,21 @@ ROUNDS = 3
 #: Words that count fully towards a score; beyond them the mean is scaled to as many.
 EVIDENCE_WORDS = 50
 LONGEST_PIECE = 12
-CACHE_ENTRIES = 300_000
+#: Words of up to so many characters are scored side by side, and so many at once; longer ones by themselves.
+SIDE_BY_SIDE, WORDS_AT_ONCE = 40, 20_000
+#: Cells (words by languages) of the cache of a Python worker; when full it starts anew.
+CACHE_CELLS = 2_000_000
+#: An odd base and an odd multiplier (fixed values).
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Letters and marks make words; everything else separates them.
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
+_ASCII_WORDS = re.compile(r"[a-z]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text."""
+    text = text.lower()
+    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)
 
 
 def vocabulary(path: str) -> list[str]:
@@ -57,77 +69,116 @@ class PieceModel:
         """weights: probabilities, pieces by languages; the last row is that of any other character."""
         self.languages, self.pieces = languages, pieces
         self.weights = weights
-        self.rows: dict[str, tuple[float, ...]] = {p: tuple(w) for p, w in zip(pieces, weights.tolist(), strict=False)}
-        self.other = tuple(weights[-1].tolist())
-        self.cache: dict[str, np.ndarray] = {}
-
-    def arcs(self, word: str) -> list[list[tuple[int, str | None]]]:
-        """For each end in `_word`, the pieces that end there: (start, piece); single characters always do."""
-        text, known = "_" + word, self.rows
-        out: list[list[tuple[int, str | None]]] = [[] for _ in range(len(text) + 1)]
-        for end in range(2, len(text) + 1):
-            for start in range(max(0, end - LONGEST_PIECE), end):
-                if (piece := text[start:end]) in known and piece != "_":
-                    out[end].append((start, piece))
-            if not any(start == end - 1 for start, _ in out[end]):
-                out[end].append((end - 1, None))
-        out[1].append((0, None))
-        return out
+        self.index = {p: k for k, p in enumerate(pieces) if p != "_"}
+        # pieces by hashes: sorted, and a table of which high bits there are
+        hashes = np.array([self._hash(p) for p in self.index], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array(list(self.index.values()), np.int64)[order] if len(order) else np.empty(0, np.int64)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
+        self.there = np.zeros(1 << 20, bool)
+        self.there[(hashes * _SPREAD) >> np.uint64(44)] = True
+        self.cache: dict[str, int] = {}
+        self.most = max(1000, CACHE_CELLS // max(1, len(languages)))
+        self.table = np.empty((0, len(languages)))
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 1
+        for c in piece:
+            h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and pieces of all arcs of `_word`s (piece -1: any other character), in order of ends; the words' places; the word of each arc.
+
+        Places are counted through all words: word k has the places at[k] (its beginning) to at[k + 1] - 1 (its end).
+        """
+        codes = np.frombuffer("".join(["_" + w + "\n" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.array([len(w) + 2 for w in words])
+        at = np.r_[0, np.cumsum(sizes)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        begin = np.arange(len(codes))
+        room = at[word + 1] - 1 - begin
+        begin, room = begin[room > 0], room[room > 0]
+        h = np.ones(len(begin), np.uint64)
+        starts, ends, pieces = [], [], []
+        single = np.zeros(len(codes), bool)
+        for size in range(1, LONGEST_PIECE + 1):
+            if size > 1:
+                keep = room >= size
+                begin, room, h = begin[keep], room[keep], h[keep]
+            h = h * _BASE + codes[begin + size - 1]
+            maybe = np.flatnonzero(self.there[(h * _SPREAD) >> np.uint64(44)])
+            if len(maybe):
+                k = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+                hit = self.hashes[k] == h[maybe]
+                begins, k = begin[maybe[hit]], k[hit]
+                starts.append(begins)
+                ends.append(begins + size)
+                pieces.append(self.numbers[k])
+                if size == 1:
+                    single[begins] = True
+        begin = np.arange(len(codes))
+        alone = begin[~single & (at[word + 1] - 1 > begin)]
+        start, end, piece = np.concatenate([*starts, alone]), np.concatenate([*ends, alone + 1]), np.concatenate([*pieces, np.full(len(alone), -1)])
+        order = np.argsort(end, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        return start, end, piece, at, word[start]
+
+    @staticmethod
+    def steps(far: np.ndarray) -> list[np.ndarray]:
+        """Indices of arcs that are equally far, near ones first; in their order."""
+        order = np.argsort(far.astype(np.uint16), kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(far[order])) + 1) if len(order) else []
+
+    def forward_many(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words of up to SIDE_BY_SIDE characters, by languages: all segmentations of each are summed."""
+        start, end, piece, at, word = self.arcs(words)
+        sums = np.zeros((at[-1] + 1, len(self.languages)))
+        sums[at[:-1]] = 1.0
+        for step in self.steps(end - at[word]):
+            ends = end[step]
+            first = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+            sums[ends[first]] = np.add.reduceat(sums[start[step]] * self.weights[piece[step]], first, axis=0)
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(sums[at[1:] - 1]), -700.0)
 
     def forward(self, word: str) -> np.ndarray:
-        """Log probability of the word in each language, all segmentations summed. Long words are scaled as they go."""
-        text, rows, other = "_" + word, self.rows.get, self.other
-        count = range(len(self.languages))
-        sums: list[list[float] | tuple[float, ...]] = [[1.0] * len(self.languages), other]
-        scale = [0.0] * len(self.languages)
+        """forward_many() for one word of any length; sums are scaled as they go."""
+        text, index, other = "_" + word, self.index.get, self.weights[-1]
+        sums: list[np.ndarray] = [np.ones(len(self.languages)), other]
+        scale = np.zeros(len(self.languages))
         for end in range(2, len(text) + 1):
-            total = [0.0] * len(self.languages)
-            single = False
-            for start in range(max(0, end - LONGEST_PIECE), end):
-                weight = rows(text[start:end])
-                if weight is not None:
-                    before = sums[start]
-                    single = single or start == end - 1
-                    for k in count:
-                        total[k] += before[k] * weight[k]
-            if not single:
-                before = sums[end - 1]
-                for k in count:
-                    total[k] += before[k] * other[k]
-            sums.append(total)
+            found = [(start, k) for start in range(max(0, end - LONGEST_PIECE), end) if (k := index(text[start:end])) is not None]
+            total = sum((sums[start - end] * self.weights[k] for start, k in found), np.zeros(len(self.languages)))
+            if not any(start == end - 1 for start, _ in found):
+                total = total + sums[-1] * other
+            sums = [*sums[1 - LONGEST_PIECE :], total]
             if end % 24 == 0:
-                for k in count:
-                    top = max(s[k] for s in sums[-LONGEST_PIECE:])
-                    if top > 0:
-                        scale[k] += math.log(top)
-                        for at in range(max(0, len(sums) - LONGEST_PIECE), len(sums)):
-                            sums[at] = list(sums[at])
-                            sums[at][k] /= top
-        return np.array([math.log(s) + c if s > 0 else -700.0 + c for s, c in zip(sums[-1], scale, strict=True)])
+                top = np.maximum(np.max(sums, axis=0), 1e-300)
+                scale += np.log(top)
+                sums = [s / top for s in sums]
+        with np.errstate(divide="ignore"):
+            return np.maximum(np.log(sums[-1]), -700.0) + scale
 
     def expected(self, counts: list[Counter]) -> np.ndarray:
         """Expected piece counts of each language's words: forward and backward sums over the arcs."""
-        index = {p: k for k, p in enumerate(self.pieces)}
         out = np.zeros_like(self.weights)
         for language, words in enumerate(counts):
-            weight = {p: w[language] for p, w in self.rows.items()}
-            other = self.other[language]
-            for word, times in words.items():
-                arcs = self.arcs(word)
-                n = len(arcs)
-                alpha, beta = [0.0] * n, [0.0] * n
-                alpha[0] = beta[-1] = 1.0
-                for end in range(1, n):
-                    alpha[end] = sum(alpha[s] * (other if p is None else weight[p]) for s, p in arcs[end])
-                if alpha[-1] <= 0:
-                    continue
-                for end in range(n - 1, 0, -1):
-                    for s, p in arcs[end]:
-                        beta[s] += beta[end] * (other if p is None else weight[p])
-                for end in range(1, n):
-                    for s, p in arcs[end]:
-                        share = times * alpha[s] * beta[end] * (other if p is None else weight[p]) / alpha[-1]
-                        out[-1 if p is None else index[p], language] += share
+            weights, listed = self.weights[:, language], sorted(w for w in words if len(w) <= 64)
+            for k in range(0, len(listed), WORDS_AT_ONCE):
+                part = listed[k : k + WORDS_AT_ONCE]
+                start, end, piece, at, word = self.arcs(part)
+                alpha, beta = np.zeros(at[-1] + 1), np.zeros(at[-1] + 1)
+                alpha[at[:-1]] = beta[at[1:] - 1] = 1.0
+                for step in self.steps(end - at[word]):
+                    np.add.at(alpha, end[step], alpha[start[step]] * weights[piece[step]])
+                for step in self.steps(at[word + 1] - 1 - end):
+                    np.add.at(beta, start[step], beta[end[step]] * weights[piece[step]])
+                whole, times = alpha[at[1:] - 1], np.array([words[w] for w in part], float)
+                share = np.where(whole > 0, times / np.where(whole > 0, whole, 1), 0)
+                np.add.at(out[:, language], piece, share[word] * alpha[start] * beta[end] * weights[piece])
         return out
 
     @classmethod
@@ -142,25 +193,69 @@ class PieceModel:
             model = cls(languages, pieces, found / found.sum(axis=0))
         return model
 
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words, by languages; new words join the cache."""
+        new = set(words).difference(self.cache)
+        if len(self.cache) + len(new) > self.most:
+            self.cache.clear()
+            new = set(words)
+        if len(self.cache) + len(new) > len(self.table):
+            table = np.empty((max(len(self.cache) + len(new), min(self.most, 2 * len(self.table))), len(self.languages)))
+            table[: len(self.cache)] = self.table[: len(self.cache)]
+            self.table = table
+        listed = sorted(new)
+        at = len(self.cache)
+        self.cache.update(zip(listed, range(at, at + len(listed)), strict=True))
+        for k in range(0, len(listed), WORDS_AT_ONCE):
+            part = listed[k : k + WORDS_AT_ONCE]
+            short = [w for w in part if len(w) <= SIDE_BY_SIDE]
+            found = np.empty((len(part), len(self.languages)))
+            is_short = np.array([len(w) <= SIDE_BY_SIDE for w in part])
+            if short:
+                found[is_short] = self.forward_many(short)
+            for j in np.flatnonzero(~is_short):
+                found[j] = self.forward(part[j])
+            self.table[at + k : at + k + len(part)] = found
+        return self.table[np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))]
+
+    def scores(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        texts = list(texts)
+        total, counts, held, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), [], 0
+
+        def add() -> None:
+            nonlocal held, n
+            if held:
+                rows = self.rows_of([w for _, words in held for w in words])
+                starts = np.cumsum([0, *[len(words) for _, words in held[:-1]]])
+                np.add.at(total, [k for k, _ in held], np.add.reduceat(rows, starts, axis=0))
+            held, n = [], 0
+
+        most = min(WORDS_AT_ONCE, self.most)
+        for k, text in enumerate(texts):
+            words = words_of(text or "") if self.languages else []
+            if words and (text.isascii() or regex.search(r"\p{L}", text)):
+                counts[k] = len(words)
+                for at in range(0, len(words), most):
+                    part = words[at : at + most]
+                    if n + len(part) > most:
+                        add()
+                    held.append((k, part))
+                    n += len(part)
+        add()
+        out = []
+        for found, count in zip(total, counts, strict=True):
+            if not count:
+                out.append(("und", 0.0))
+                continue
+            found = found * min(1.0, EVIDENCE_WORDS / count)
+            odds = np.exp(found - found.max())
+            k = int(np.argmax(found))
+            out.append((self.languages[k], float(odds[k] / odds.sum())))
+        return out
+
     def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS.findall((text or "").lower())
-        if not words or not self.languages or not regex.search(r"\p{L}", text):
-            return "und", 0.0
-        cache, rows = self.cache, []
-        for word in words:
-            known = cache.get(word)
-            if known is None:
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                known = self.forward(word)
-                if len(word) <= 40:
-                    cache[word] = known
-            rows.append(known)
-        total = np.add.reduce(rows)
-        total = total * min(1.0, EVIDENCE_WORDS / len(rows))
-        odds = np.exp(total - total.max())
-        k = int(np.argmax(total))
-        return self.languages[k], float(odds[k] / odds.sum())
+        return self.scores([text])[0]
 
 
 def training_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Counter]:
@@ -175,7 +270,7 @@ def training_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> d
     texts = rows.join(bounded_broadcast(chosen, 32), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     out: dict[str, Counter] = {}
     for r in texts.select("lang", "text").collect():
-        out.setdefault(r["lang"], Counter()).update(w for w in _WORDS.findall(r["text"].lower()) if len(w) <= 64)
+        out.setdefault(r["lang"], Counter()).update(words_of(r["text"]))
     return out
 
 
@@ -187,10 +282,10 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFram
     def make() -> Callable:
         if _models.get("key") != key:
             _models.update(key=key, model=PieceModel(*shared.value))
-        score = _models["model"].score
+        scores = _models["model"].scores
 
         def step(texts: pa.Array) -> list[pa.Array]:
-            found = [score(t.as_py()) for t in texts]
+            found = scores(t.as_py() for t in texts)
             return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
 
         return step
