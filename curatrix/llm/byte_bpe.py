@@ -3,14 +3,18 @@
 Encoded pieces form a monoid: encode(x + y) = join(encode(x), encode(y)). A piece is cut in half until it is short; going
 up, two neighbours are joined by encoding a window around the boundary anew. The window grows until the tokens on both
 its edges fit what lies outside: for a rank-ordered vocabulary a token sequence is the encoding of its bytes exactly if
-each pair of neighbours is the encoding of its own bytes, so nothing outside such a window can change.
+each pair of neighbours is the encoding of its own bytes, so nothing outside such a window can change. Decoding concatenates
+the bytes of leaves of ids, and neighbours up the tree.
 
-Results: a null text counts as empty; an empty text has no ids. Bytes of a text are its UTF-8 bytes.
+Results: a null text counts as empty; an empty text has no ids. Bytes of a text are its UTF-8 bytes. Very long texts, and
+very long matches of the pattern, are encoded whole. An empty table gives no rows, repeated rows each get theirs; columns
+that have the name of a new one (token_ids, decoded) are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,10 @@ from curatrix.llm.common import table, with_columns_from_batches
 
 #: Pieces up to this many bytes are encoded without a tree.
 LEAF_BYTES = 16
+#: Ids that are decoded without a tree.
+LEAF_IDS = 1 << 16
+#: Strings up to this many bytes are merged by looking through all pairs, longer ones by a heap of pairs.
+SHORT_BYTES = 64
 #: Entries of the piece cache of a Python worker; when full it starts anew.
 CACHE_ENTRIES = 400_000
 
@@ -31,6 +39,7 @@ class TreeCodec:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.longest = max(map(len, ranks), default=0)
         self.fits_cache: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -40,6 +49,8 @@ class TreeCodec:
 
     def merge(self, data: bytes) -> list[int]:
         """Merges the leftmost pair of least rank until none is left."""
+        if len(data) > SHORT_BYTES:
+            return self.merge_long(data)
         rank = self.ranks.get
         parts = [data[k : k + 1] for k in range(len(data))]
         scores = [rank(parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]
@@ -57,6 +68,30 @@ class TreeCodec:
             if at:
                 scores[at - 1] = rank(parts[at - 1] + parts[at])
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """merge() with a heap of pairs: about linear in the length."""
+        rank, n = self.ranks.get, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins here; end 0: merged into the one before
+        heap = [(r, k, k + 2) for k in range(n - 1) if (r := rank(data[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, at, stop = heapq.heappop(heap)
+            middle = end[at]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # one of the two parts is another by now
+            end[at], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = at
+                if (after := end[stop]) - at <= self.longest and (r := rank(data[at:after])) is not None:
+                    heapq.heappush(heap, (r, at, after))
+            if (start := before[at]) >= 0 and stop - start <= self.longest and (r := rank(data[start:stop])) is not None:
+                heapq.heappush(heap, (r, start, stop))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[data[at : end[at]]])
+            at = end[at]
+        return out
+
     def fits(self, left: int, right: int) -> bool:
         """Whether two tokens stay two tokens when they are neighbours."""
         known = self.fits_cache.get((left, right))
@@ -90,13 +125,15 @@ class TreeCodec:
     def encode_tree(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
             return self.merge(data)
-        half = len(data) // 2
+        half = LEAF_BYTES << (((len(data) - 1) // LEAF_BYTES).bit_length() - 1)  # in runs of one character, the halves' tokens stay
         return self.join(self.encode_tree(data[:half]), self.encode_tree(data[half:]))
 
     def decode(self, ids: list[int]) -> bytes:
         token = self.bytes_of
-        level = [b"".join([token[t] for t in ids[k : k + 4096]]) for k in range(0, len(ids), 4096)]
-        return b"".join(level)
+        level = [b"".join([token[t] for t in ids[k : k + LEAF_IDS]]) for k in range(0, len(ids), LEAF_IDS)]
+        while len(level) > 1:
+            level = [b"".join(level[k : k + 2]) for k in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 _codecs: dict[str, tuple[TreeCodec, dict[str, bytes]]] = {}
