@@ -63,6 +63,30 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
 
 
+def masked(df: DataFrame, keep: list[str]) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
+    """df with all columns but those in keep under names that no operator uses, and the function that gives them their names back.
+
+    back(out, new) has the columns of df, but those that new ones replace, and then the new ones.
+    """
+    names = {c: f"__user{k}" for k, c in enumerate(df.columns) if c not in keep}
+
+    def back(out: DataFrame, new: list[str]) -> DataFrame:
+        gone = {n.lower() for n in new}
+        return out.select([F.col(f"`{names.get(c, c)}`").alias(c) for c in df.columns if c.lower() not in gone] + [F.col(f"`{n}`") for n in new])
+
+    return df.select([F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]), back
+
+
+def drawn_by_class(rows: DataFrame, label: str, classes: list[int], most: int, keys: list[str]) -> DataFrame:
+    """Of the distinct rows, `most` of each class at most: the first by a hash of keys. Each task keeps its own first ones, so no task sees a whole class."""
+    rows = rows.distinct()
+    out = None
+    for c in classes:
+        first = rows.where(F.col(label) == c).orderBy(F.xxhash64(*keys), *keys).limit(most)
+        out = first if out is None else out.unionByName(first)
+    return out
+
+
 def with_columns_from_batches(
     df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list]], fields: list[T.StructField]
 ) -> DataFrame:

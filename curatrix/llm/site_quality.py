@@ -8,7 +8,8 @@
 The classifier is fitted on a bounded, documented sample of labelled rows (SAMPLE_PER_CLASS of each label, weighted back);
 rates and strengths come from all documents. Results: null and empty texts count as texts without characters; a null host
 or path is a group of its own; a label that is null or not 0 or 1 is left out. Without labels of both kinds p is the share
-of good labels (a half if none). score is in 0..1, keep is score >= 0.5. Repeated rows each count.
+of good labels (a half if none). score is in 0..1, keep is score >= 0.5. Repeated rows each count (a repeated label once in
+the sample); an empty table gives no rows. Columns that have the name of a new one are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import staged, table, with_columns_from_batches, without
+from curatrix.llm.common import bounded_broadcast, drawn_by_class, masked, staged, table, with_columns_from_batches, without
 from curatrix.llm.language_id import held_out
 
 SAMPLE_PER_CLASS = 4000
@@ -87,8 +88,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier | float:
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
     counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.withColumn("place", place).where(F.col("place") <= SAMPLE_PER_CLASS).select("doc_id", "quality")
+    chosen = staged(drawn_by_class(rows.select("doc_id", "quality"), "quality", [0, 1], SAMPLE_PER_CLASS, ["doc_id"]), "quality-draws")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE_PER_CLASS rows at most
 
     def make() -> Callable:
@@ -139,7 +139,9 @@ def _logit(c):
 
 def site_quality(docs: DataFrame, host: str, path: str, p: str = "p") -> DataFrame:
     """Appends host_rate, path_rate (without the document's own p), score and keep; columns of these names are replaced."""
-    rows = staged(without(docs, ["host_rate", "path_rate", "score", "keep"]), "quality-evidence")
+    docs, back = masked(docs, [host, path, p])
+    rows = staged(docs.withColumnsRenamed({host: "__host", path: "__path", p: "__p"}), "quality-evidence")
+    given, (host, path, p) = (host, path, p), ("__host", "__path", "__p")
     by_path = staged(rows.groupBy(F.col(host).alias("h"), F.col(path).alias("q")).agg(F.count("*").alias("n"), F.sum(p).alias("good")), "quality-paths")
     by_host = staged(by_path.groupBy("h").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")), "quality-hosts")
     whole = by_host.agg(F.sum("host_good") / F.sum("host_n")).first()[0]
@@ -149,13 +151,13 @@ def site_quality(docs: DataFrame, host: str, path: str, p: str = "p") -> DataFra
     hosts = by_host.select(F.col("h").alias("hh"), rate.alias("host_rate"))
     paths = by_path.join(hosts, by_path.h.eqNullSafe(F.col("hh"))).drop("hh")
     path_strength = strength(paths, "n", "good", "host_rate")
-    out = rows.join(paths, F.col(host).eqNullSafe(F.col("h")) & F.col(path).eqNullSafe(F.col("q")))
+    out = rows.join(bounded_broadcast(staged(paths, "quality-rates"), 64), F.col(host).eqNullSafe(F.col("h")) & F.col(path).eqNullSafe(F.col("q")))
     own = F.least(F.greatest(F.col(p), F.lit(1e-5)), F.lit(1 - 1e-5))
     out = out.withColumn("path_rate", (F.col("good") - F.col(p) + path_strength * F.col("host_rate")) / (F.col("n") - 1 + path_strength))
     bounded = F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = _logit(own) - _logit(F.lit(mean)) + _logit(bounded)
     out = out.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("score") >= 0.5)
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "host_rate", "path_rate", "score", "keep")
+    return back(out.withColumnsRenamed(dict(zip((host, path, p), given, strict=True))), ["host_rate", "path_rate", "score", "keep"])
 
 
 def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

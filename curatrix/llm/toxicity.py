@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in its words; a document's is the noisy-or of its
-sentences: toxic if any sentence is. Only documents have labels; the gradient goes through the noisy-or to the sentences,
+A document is a bag of sentences. A sentence's probability is logistic in its words and their beginnings (words that share a
+stem are known by it even where they are new); a document's is the noisy-or of its sentences: toxic if any sentence is. Only documents have labels; the gradient goes through the noisy-or to the sentences,
 and so the fitted model also says which sentences offend.
 
 The fit is made on a bounded, documented sample of labelled rows: SAMPLE_PER_CLASS documents of each label that have a text,
@@ -9,8 +9,9 @@ weighted back to the labels' shares. Of a text of more than SAMPLE_CHARS charact
 about as many characters together; a toxic sentence may be among those that are not. Every document is scored whole.
 
 Results: score is 0 for null and empty texts and texts without words. Without labelled rows of both kinds every score is
-the share of toxic labels (0 if none). Labels that are null or neither 0 nor 1 are left out; a document labelled twice
-counts twice.
+the share of toxic labels (0 if none). Labels that are null or neither 0 nor 1 are left out; equal labels of a document
+count once in the sample. An empty table gives no rows, repeated rows each get theirs; columns that have the name of a new
+one are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import staged, table, with_columns_from_batches
+from curatrix.llm.common import drawn_by_class, staged, table, with_columns_from_batches
 from curatrix.llm.language_id import held_out
 
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 20_000
-#: Words of at least so many sampled documents are features.
-LEAST_DOCUMENTS = 4
+#: Words, and beginnings of words of so many letters, are features if so many sampled documents have them at least, and if they
+#: are so many times as frequent in toxic ones.
+BEGINNINGS, LEAST_DOCUMENTS, LEAST_LIFT = (4, 5, 6, 7), 4, 1.25
+#: Words whose weights a Python worker keeps; when full it starts anew.
+CACHE_ENTRIES = 300_000
 STEPS, RATE, SHRINK = 160, 0.15, 2e-5
 #: A sentence offends from this probability on.
 OFFENDS = 0.5
@@ -40,19 +44,32 @@ _SENTENCES = re.compile(r"[^.!?\n]+")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def features_of(word: str) -> list[str]:
+    """The word itself, and its beginnings, marked by a hyphen."""
+    return [word, *[word[:n] + "-" for n in BEGINNINGS if len(word) >= n]]
+
+
 class SentenceModel:
     def __init__(self, weights: dict[str, float], bias: float):
+        """weights: of words and of beginnings of words."""
         self.weights, self.bias = weights, bias
-        self.known = frozenset(weights)
+        self.cache: dict[str, float] = {}
 
     def sentence(self, text: str) -> float | None:
-        words = _WORDS.findall(text)
+        words = set(_WORDS.findall(text))
         if not words:
             return None
-        weights = self.weights
-        z = self.bias
-        for w in self.known.intersection(words):
-            z += weights[w]
+        cache, known, found = self.cache, self.weights.get, [self.bias]
+        for w in words:
+            weight = cache.get(w)
+            if weight is None:
+                weight = math.fsum(known(f, 0.0) for f in features_of(w))
+                if len(cache) >= CACHE_ENTRIES:
+                    cache.clear()
+                cache[w] = weight
+            if weight:
+                found.append(weight)
+        z = math.fsum(found)  # the same in whatever order
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
     def document(self, text: str | None) -> tuple[float, list[dict]]:
@@ -72,17 +89,24 @@ class SentenceModel:
         if len(set(labels)) < 2:
             return cls({}, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         bags = [[set(ws) for s in _SENTENCES.findall(t) if (ws := _WORDS.findall(s.lower()))] for t in texts]
-        df = Counter(w for bag in bags for w in set().union(*bag))
-        index = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= LEAST_DOCUMENTS))}
+        y = np.array(labels, float)
+        df = (Counter(), Counter())
+        for bag, label in zip(bags, labels, strict=True):
+            df[label].update({f for word in set().union(*bag) for f in features_of(word)})
+        lift = LEAST_LIFT * (y.sum() + 1) / (len(y) - y.sum() + 1)
+        index = {f: k for k, f in enumerate(sorted(f for f, n in df[1].items() if n + df[0][f] >= LEAST_DOCUMENTS and n + 0.5 >= lift * (df[0][f] + 0.5)))}
+        of_word: dict[str, list[int]] = {}
         doc_of, sent_of, feat = [], [], []
         for d, bag in enumerate(bags):
             for words in bag:
-                found = [index[w] for w in words if w in index]
-                sent_of += [len(doc_of)] * len(found)
-                feat += found
+                for word in words:
+                    found = of_word.get(word)
+                    if found is None:
+                        found = of_word[word] = [index[f] for f in features_of(word) if f in index]
+                    sent_of += [len(doc_of)] * len(found)
+                    feat += found
                 doc_of.append(d)
         doc_of, sent_of, feat = np.array(doc_of, np.int64), np.array(sent_of, np.int64), np.array(feat, np.int64)
-        y = np.array(labels, float)
         weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / len(y)
         w, b = np.zeros(len(index)), -4.0
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -131,9 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> SentenceModel:
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     there = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where(F.length("text") >= 1)
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "th"))
-    ranked = rows.join(there.select("doc_id", "th"), "doc_id").withColumn("place", place).where(F.col("place") <= SAMPLE_PER_CLASS)
-    chosen = staged(ranked.select("doc_id", "th", "toxic"), "toxicity-draws")  # 2 * SAMPLE_PER_CLASS rows at most
+    labelled = rows.join(there.select("doc_id", "th"), "doc_id").select("doc_id", "th", "toxic")
+    chosen = staged(drawn_by_class(labelled, "toxic", [0, 1], SAMPLE_PER_CLASS, ["doc_id", "th"]), "toxicity-draws")  # 2 * SAMPLE_PER_CLASS rows at most
     cut = F.udf(lambda text: excerpt(text), "string")
     texts = there.join(F.broadcast(chosen.select("doc_id", "th").distinct()), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.min("text").alias("text"))
     known = {(r["doc_id"], r["th"]): r["text"] for r in texts.select("doc_id", "th", cut("text").alias("text")).collect()}

@@ -32,7 +32,8 @@ def test_forward_sums_all_segmentations():
     model = language_id.PieceModel(["x", "y"], pieces, rng.random((len(pieces) + 1, 2)))
     for word in ("a", "ab", "abab", "zab", "abazb", "bbbbba"):
         for k in range(2):
-            assert np.isclose(model.forward(word)[k], np.log(segmentations(word, model.rows, model.other, k)))
+            want = np.log(segmentations(word, {p: model.weights[i] for p, i in model.index.items()}, model.weights[-1], k))
+            assert np.isclose(model.forward(word)[k], want) and np.isclose(model.forward_many(["b", word, "zz"])[1, k], want)
     assert np.isfinite(model.forward("ab" * 20_000)).all()
 
 
