@@ -9,7 +9,9 @@ order of their hashes, until it has its tokens: a source misses its budget by le
 
 Tokens are fields between blanks and line ends. Results: null and empty texts have 0 tokens and go with their block; a null
 source counts as the source ''; rows with a null id take part; repeated rows are documents of their own, and equal rows
-are cut together. Without tokens, every row is returned once. position (0 to 1) orders the mixture; rows of one source
+are cut together. Very long texts are counted whole, and miss no budget by more than themselves. Without tokens, every row
+is returned once; an empty table gives no rows. Columns that have the name of a new one (n_tokens, epoch, block, position)
+are replaced, others of any name are kept. position (0 to 1) orders the mixture; rows of one source
 keep their share of any stretch of it.
 """
 
@@ -21,12 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import bounded_broadcast, staged, table, without
+from curatrix.llm.common import bounded_broadcast, masked, staged, table
 
-#: A row of each source comes to the driver; more sources than this are refused.
-MOST_SOURCES = 100_000
 #: Least tokens of a block, and blocks in all at most.
 BLOCK_TOKENS, MOST_BLOCKS = 1 << 16, 1 << 17
+#: Ranges of hashes that a source's opened block is summed up by, as a power of two.
+RANGE_BITS = 12
 
 
 def token_count(text: str = "text") -> Column:
@@ -80,9 +82,8 @@ class Plan:
 
 
 def plan(docs: DataFrame, source: str, tokens: str, target_entropy: float | None, max_repetition: float | None, budget: float | None) -> Plan:
-    totals = docs.groupBy(source).agg(F.sum(tokens).alias("t")).orderBy(source).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    # a row of each source comes to the driver: sources are what a person gives weights to
+    totals = docs.groupBy(source).agg(F.sum(tokens).alias("t")).orderBy(source).collect()
     names, counts = [r[0] for r in totals], [int(r["t"]) for r in totals]
     exponent = bisected(counts, target_entropy, max_repetition)
     weights = tempered(counts, exponent) if any(counts) else [0.0] * len(counts)
@@ -95,7 +96,10 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
         seed: int = 0, source: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with n_tokens, epoch, block and position, as often as the plan has each row; columns of these names are replaced."""
     spark = docs.sparkSession
-    rows = without(docs, ["n_tokens", "epoch", "block", "position"]).withColumn("n_tokens", token_count(text)).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    given = [c.lower() for c in docs.columns]
+    docs, back = masked(docs, [])
+    source, text, key = (f"__user{given.index(c.lower())}" for c in (source, text, key))
+    rows = docs.withColumn("n_tokens", token_count(text)).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     p = plan(rows, "__source", "n_tokens", target_entropy, max_repetition, budget)
     total = sum(p.tokens.values())
     size = max(BLOCK_TOKENS, math.ceil(total / MOST_BLOCKS))
@@ -106,14 +110,14 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
         rest = max(0.0, want - whole * t) if t else 0.0
         passes.append((name, float(t), math.ceil(t / size) or 1, whole, rest if rest > 0.5 else 0.0, max(want, 1.0)))
     schema = "__source string, __t double, __blocks int, __whole int, __rest double, __want double"
-    sources = F.broadcast(spark.createDataFrame(passes, schema))  # MOST_SOURCES rows at most
+    sources = bounded_broadcast(spark.createDataFrame(passes, schema), 96)
     hash_ = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     dealt = rows.join(sources, "__source").withColumn("__hash", hash_).withColumn("block", F.pmod("__hash", F.col("__blocks").cast("long")).cast("int"))
 
     sizes = staged(dealt.groupBy("__source", "block").agg(F.sum("n_tokens").alias("tokens")), "mix-blocks")
     epochs = sizes.join(sources, "__source").withColumn("epoch", F.explode(F.expr("sequence(0, __whole)")))
     turn = Window.partitionBy("__source", "epoch").orderBy(F.xxhash64(F.lit(seed), "__source", "epoch", "block"), "block")
-    # MOST_BLOCKS blocks and one for each source at most
+    # MOST_BLOCKS blocks, and one more for each source, at most
     placed = epochs.withColumn("before", F.sum("tokens").over(turn.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.coalesce("before", F.lit(0)))
     left = F.when(F.col("epoch") < F.col("__whole"), F.lit(float("inf"))).otherwise(F.col("__rest") - F.col("before"))
     placed = placed.withColumn("left", left).where("left > 0").select(
@@ -125,15 +129,24 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     match = lambda t: (dealt["__source"] == t["s"]) & (dealt["block"] == t["b"])
     # the one block of a source that its rest doesn't take whole: documents by hash, until the tokens are reached
     opened = dealt.join(turns.where("cut is not null"), match(turns)).select("__source", "block", "__hash", "n_tokens", "cut")
+    # first the range of hashes in which they are reached, then the document in that range
+    range_of = F.shiftright("__hash", 64 - RANGE_BITS)
+    ranges = staged(opened.groupBy("__source", range_of.alias("range")).agg(F.sum("n_tokens").alias("tokens"), F.max("cut").alias("cut")), "mix-ranges")
+    by_range = Window.partitionBy("__source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 2 ** RANGE_BITS rows for each source
+    reached = (
+        ranges.withColumn("before", F.coalesce(F.sum("tokens").over(by_range), F.lit(0))).where("before < cut")
+        .groupBy("__source").agg(F.max(F.struct("range", "before")).alias("r")).select(F.col("__source").alias("r"), F.col("r.range").alias("range"), F.col("r.before").alias("before_range"))
+    )
     by_hash = Window.partitionBy("__source").orderBy("__hash").rowsBetween(Window.unboundedPreceding, -1)
     edge = (
-        opened.groupBy("__source", "block", "__hash", "cut").agg(F.sum("n_tokens").alias("n_tokens"))
-        .withColumn("before", F.coalesce(F.sum("n_tokens").over(by_hash), F.lit(0)))
+        opened.join(bounded_broadcast(staged(reached, "mix-reached"), 48), (F.col("__source") == F.col("r")) & (range_of == F.col("range")))
+        .groupBy("__source", "__hash", "cut", "before_range").agg(F.sum("n_tokens").alias("n_tokens"))
+        .withColumn("before", F.col("before_range") + F.coalesce(F.sum("n_tokens").over(by_hash), F.lit(0)))
         .where("before < cut").groupBy("__source").agg(F.max("__hash").alias("last")).select(F.col("__source").alias("e"), "last")
     )
-    out = dealt.join(turns, match(turns)).join(F.broadcast(edge), F.col("__source") == F.col("e"), "left")
+    out = dealt.join(turns, match(turns)).join(bounded_broadcast(staged(edge, "mix-edges"), 32), F.col("__source") == F.col("e"), "left")
     out = out.where(F.col("cut").isNull() | (F.col("__hash") <= F.col("last")))
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__source"], "epoch", "block", "position")
+    return back(out, ["n_tokens", "epoch", "block", "position"])
 
 
 #: No source is read more than so many times as often as the least repeated one.
