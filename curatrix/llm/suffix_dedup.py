@@ -14,8 +14,12 @@ span. The stages:
 5. each document's covered bytes are cut out.
 
 A batch links what it holds of a span before the shuffle. Anchor hashes only deal out; digests of 128 bits and the sorted
-bytes decide. Results: null counts as empty; texts shorter than the window keep all; equal rows (id and text) are
-documents of their own, so they remove each other. Null ids are allowed.
+bytes decide. Windows of two sizes cost little more than those of the smaller one: a larger window repeats only where all
+smaller ones in it do, so just those pieces are looked at again.
+
+Results: null counts as empty; texts shorter than the window keep all; very long texts are read in chunks, but judged whole;
+equal rows (id and text) are documents of their own, so they remove each other. Null ids are allowed; an empty table gives
+no rows. Columns that have the name of a new one are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import by_bytes, staged, table, without
+from curatrix.llm.common import by_bytes, masked, staged, table
 from curatrix.llm.induced_sort import repeated_windows
 
-#: Bytes of an anchor; more make fewer chance meetings and more spans.
-ANCHOR = 128
+#: Bytes of an anchor by bytes of a window; more make fewer chance meetings and more spans.
+ANCHOR, LONG_ANCHOR, LONG_WINDOW = 64, 128, 320
+#: Passages of over 50 words have so many bytes at least (words of some four bytes and a blank).
+PASSAGE_BYTES = 250
 #: Unlike spans of an anchor from which on its windows are dealt anew, and how many windows go together then.
 HOT, GRIDS = 64, (17, 1)
 #: Bytes that a shard sorts at once.
@@ -71,24 +77,62 @@ def substring_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return _mixed((sums[size:] - sums[: n + 1 - size]) * _powers["up"][: n + 1 - size])
 
 
-def spans_of(data: bytes, window: int, size: int) -> list[tuple[int, int, int, int]]:
-    """(anchor's hash, first window, number of windows, anchor's place after the first window) of each span of a text."""
-    out = []
-    for base in range(0, len(data) - window + 1, _CHUNK):
-        part = np.frombuffer(data, np.uint8, min(_CHUNK + window - 1, len(data) - base), base)
-        hashes = substring_hashes(part, size)
-        width, n = window - size + 1, len(part) - window + 1
-        order = (hashes & ~_U(0xFFFFF)) | np.arange(len(hashes), dtype=_U)  # ties go to the first
-        padded = np.full(-(-len(order) // width) * width, ~_U(0), _U)
-        padded[: len(order)] = order
-        blocks = padded.reshape(-1, width)
-        upto = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-        onwards = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        place = (np.minimum(onwards[:n], upto[width - 1 : width - 1 + n]) & _U(0xFFFFF)).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        count = np.diff(np.r_[start, n])
-        out += zip(hashes[place[start]].view(np.int64).tolist(), (base + start).tolist(), count.tolist(), (place[start] - start).tolist(), strict=True)
-    return out
+def anchor_size(window: int) -> int:
+    return min(window, LONG_ANCHOR if window >= LONG_WINDOW else ANCHOR)
+
+
+def spans_of(texts: list[bytes], window: int, size: int) -> list[np.ndarray]:
+    """Of each span of the texts: its text, anchor's hash, digest (two columns), first window, number of windows, anchor's place after the first window.
+
+    Texts are cut into chunks that overlap by a window, and several chunks are worked through together.
+    """
+    out: list[list[np.ndarray]] = []
+    chunks, held = [], 0  # of texts: number, base, bytes
+
+    def told() -> None:
+        nonlocal chunks, held
+        if chunks:
+            out.append(_chunk_spans(chunks, window, size))
+        chunks, held = [], 0
+
+    for number, data in enumerate(texts):
+        for base in range(0, len(data) - window + 1, _CHUNK):
+            part = data[base : base + _CHUNK + window - 1]
+            if held + len(part) > _CHUNK + window - 1:
+                told()
+            chunks.append((number, base, part))
+            held += len(part)
+    told()
+    if not out:
+        return [np.empty(0, np.int64) for _ in range(7)]
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def _chunk_spans(chunks: list[tuple[int, int, bytes]], window: int, size: int) -> list[np.ndarray]:
+    whole = b"".join([c[2] for c in chunks])
+    hashes = substring_hashes(np.frombuffer(whole, np.uint8), size)
+    width, n = window - size + 1, len(whole) - window + 1
+    order = (hashes & ~_U(0xFFFFF)) | np.arange(len(hashes), dtype=_U)  # ties go to the first
+    padded = np.full(-(-len(order) // width) * width, ~_U(0), _U)
+    padded[: len(order)] = order
+    blocks = padded.reshape(-1, width)
+    upto = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    onwards = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    place = (np.minimum(onwards[:n], upto[width - 1 : width - 1 + n]) & _U(0xFFFFF)).astype(np.int64)
+    opens, inside = np.r_[True, place[1:] != place[:-1]], np.zeros(n, bool)
+    at = np.cumsum([0, *[len(c[2]) for c in chunks]])
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):  # windows that stay in their chunk
+        inside[begin : end - window + 1] = True
+        opens[begin] = True
+    start = np.flatnonzero(opens & inside)
+    stops = np.r_[np.flatnonzero(opens | ~inside), n]
+    count = stops[np.searchsorted(stops, start, side="right")] - start
+    digest = xxhash.xxh3_128_digest
+    digests = b"".join([digest(whole[a:b]) for a, b in zip(start.tolist(), (start + count - 1 + window).tolist(), strict=True)])
+    s1, s2 = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+    chunk = np.searchsorted(at, start, side="right") - 1
+    number, base = (np.array([c[k] for c in chunks], np.int64)[chunk] for k in (0, 1))
+    return [number, hashes[place[start]].view(np.int64), s1, s2, base + start - at[chunk], count, place[start] - start]
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -128,23 +172,18 @@ def _runs(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def spans(docs: DataFrame, window: int) -> DataFrame:
-    """Stage 1, of documents (did, th, text)."""
+    """Stage 1, of documents (did, th, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 8 << 20):
-                rows = []
-                for did, th, value in zip(*batch.columns, strict=True):
-                    data = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                    if len(data) < window:
-                        continue
-                    did, th = did.as_py(), th.as_py()
-                    for key, start, n, anchor in spans_of(data, window, ANCHOR):
-                        rows.append((key, *_digest(data[start : start + n - 1 + window]), did, th, start, n, anchor, WAITS))
-                if rows:
-                    yield from _linked([np.array(c, k.to_pandas_dtype()) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)])
+                did, th = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                number, key, s1, s2, pos, n, anchor = spans_of([x or b"" for x in batch.column(2).to_pylist()], window, anchor_size(window))
+                if len(number):
+                    columns = [key, s1, s2, did[number], th[number], pos, n, anchor, np.full(len(number), WAITS)]
+                    yield from _linked([c.astype(k.to_pandas_dtype()) for c, k in zip(columns, _KINDS, strict=True)])
 
-    return docs.select("did", "th", "text").mapInArrow(run, _ROWS)
+    return docs.select("did", "th", "data").mapInArrow(run, _ROWS)
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -213,8 +252,8 @@ def compared(rows: DataFrame) -> DataFrame:
 def with_bytes(rows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """rows with the bytes of their spans: the texts that hold them are read once more."""
     cells = ["key", "pos", "n", "anchor", "role"]
-    listed = rows.groupBy(F.col("did").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct(*cells)).alias("cells"))
-    found = docs.join(listed, (docs.did == listed.d) & (docs.th == listed.t)).select("did", "th", "text", "cells")
+    listed = rows.groupBy(F.col("did").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct(*cells)).alias("cells"))
+    found = docs.join(listed, (docs.did == listed.d) & (docs.th == listed.t)).select("did", "th", "data", "cells")
     schema = "key long, did long, th long, pos long, n int, anchor int, role byte, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +261,7 @@ def with_bytes(rows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
             for batch in by_bytes(whole, 4 << 20):
                 rows = []
                 for did, th, value, listed in zip(*batch.columns, strict=True):
-                    data, did, th = value.as_py().encode("utf-8", "surrogatepass"), did.as_py(), th.as_py()
+                    data, did, th = value.as_py(), did.as_py(), th.as_py()
                     rows += [(c["key"], did, th, c["pos"], c["n"], c["anchor"], c["role"], data[c["pos"] : c["pos"] + c["n"] - 1 + window]) for c in listed.as_py()]
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.int8(), pa.binary()]
                 columns = zip(*rows, strict=True) if rows else [[]] * 8
@@ -270,7 +309,7 @@ def sorted_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int) -> DataFrame:
-    """(did, th, pos, n): runs of n windows from pos on that occur twice or more, of documents (did, th, text)."""
+    """(did, th, pos, n): runs of n windows from pos on that occur twice or more, of documents (did, th, data)."""
     found, rows = [], spans(docs, window)
     for level in range(len(GRIDS) + 1):
         told = staged(compared(rows), "span-told")
@@ -297,26 +336,74 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     return out
 
 
-def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
+def runs_of(repeated: DataFrame) -> DataFrame:
+    """(did, th, runs): the runs (pos, n) of each document; equal rows share theirs."""
+    return repeated.groupBy("did", "th").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))
+
+
+def longer_repeats(docs: DataFrame, runs: DataFrame, window: int, longer: int) -> DataFrame:
+    """repeats() of a longer window, from the runs of a shorter one: only in pieces that runs cover can longer windows repeat."""
+    listed = runs.select(F.col("did").alias("d"), F.col("th").alias("t"), "runs")
+    found = docs.join(listed, (docs.did == listed.d) & (docs.th == listed.t)).select("did", "th", "data", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, 4 << 20):
+                rows = []
+                for did, th, data, listed in zip(*batch.columns, strict=True):
+                    did, th, data = did.as_py(), th.as_py(), data.as_py()
+                    rows += [(did, th, pos, data[pos:end]) for pos, end in joined(listed, window) if end - pos >= longer]
+                columns = zip(*rows, strict=True) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["did", "th", "base", "data"])
+
+    pieces = found.mapInArrow(run, "did long, th long, base long, data binary").withColumn("piece", F.xxhash64("th", "base"))
+    pieces = staged(pieces, "span-pieces")
+    inner = repeats(pieces.select("did", F.col("piece").alias("th"), "data"), longer).select(F.col("did").alias("d"), F.col("th").alias("t"), "pos", "n")
+    bases = pieces.select("did", "th", "piece", "base").distinct()
+    return inner.join(bases, (F.col("did") == F.col("d")) & (F.col("piece") == F.col("t"))).select("did", "th", (F.col("base") + F.col("pos")).alias("pos"), "n")
+
+
+def joined(listed: pa.Scalar, window: int) -> list[tuple[int, int]]:
+    """The byte ranges of runs of windows that follow each other without a gap between windows."""
+    out: list[tuple[int, int]] = []
+    for pos, n in sorted((r["pos"], r["n"]) for r in listed.as_py() or ()):
+        if out and pos <= out[-1][1] - window + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], pos + n - 1 + window))
+        else:
+            out.append((pos, pos + n - 1 + window))
+    return out
+
+
+def without_repeats(docs: DataFrame, window: int = 400, shorter: int | None = None) -> DataFrame:
     """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept: the text's bytes but those that repeated windows cover.
 
-    Columns with the names of new ones are replaced.
+    With `shorter`, n_repeated as well: how many bytes repeated windows of that size cover.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept"]
-    names = without(docs, new).columns
+    new = ["n_bytes", "n_removed", "n_spans", "kept", *(["n_repeated"] if shorter else [])]
+    if shorter and shorter > window:
+        raise ValueError("shorter must not exceed the window")
+    docs, back = masked(docs, ["doc_id", "text"])
+    names = docs.columns
     did, th = F.coalesce("doc_id", F.lit(-1)), F.xxhash64("doc_id", "text")
-    runs = repeats(docs.select(did.alias("did"), th.alias("th"), "text"), window)
-    lists = runs.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "n")).alias("__runs")).withColumnsRenamed({"did": "__did", "th": "__th"})
-    marked = without(docs, new).withColumn("__a", did).withColumn("__b", th)
-    joined = marked.join(lists, (F.col("__a") == F.col("__did")) & (F.col("__b") == F.col("__th")), "left").select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text"), "__runs")
-    schema = T.StructType([*without(docs, new).schema.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary").fields])
+    rows = docs.select(did.alias("did"), th.alias("th"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
+    runs = runs_of(repeats(rows, shorter or window))
+    if shorter:
+        small = staged(runs, "span-runs")
+        lists = small.select("did", "th", F.col("runs").alias("__small")).join(runs_of(longer_repeats(rows, small, shorter, window)), ["did", "th"], "left")
+    else:
+        lists = runs.withColumn("__small", F.lit(None).cast(runs.schema["runs"].dataType))
+    lists = lists.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("runs").alias("__runs"), "__small")
+    marked = docs.withColumn("__a", did).withColumn("__b", th)
+    joins = marked.join(lists, (F.col("__a") == F.col("__did")) & (F.col("__b") == F.col("__th")), "left")
+    cells = joins.select(*names, F.col("text").cast("binary").alias("__data"), "__runs", "__small")
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary" + (", n_repeated long" if shorter else "")).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole):
-                sizes, removed, pieces, kept = [], [], [], []
-                for value, listed in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-                    data = (value.as_py() or "").encode("utf-8", "surrogatepass")
+                sizes, removed, pieces, kept, repeated = [], [], [], [], []
+                for value, listed, small in zip(*batch.columns[len(names) :], strict=True):
+                    data = value.as_py() or b""
                     cut = 0
                     parts, at, count = [], 0, 0
                     for pos, end in merged([(r["pos"], r["pos"] + r["n"] - 1 + window) for r in listed.as_py() or ()]):
@@ -326,11 +413,11 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
                     removed.append(cut)
                     pieces.append(count)
                     kept.append(b"".join([*parts, data[at:]]))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(names)], *[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary())], names=[*names, *new]
-                )
+                    repeated.append(sum(end - pos for pos, end in merged([(r["pos"], r["pos"] + r["n"] - 1 + shorter) for r in small.as_py() or ()])) if shorter else 0)
+                columns = [*[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary()), *([pa.array(repeated, pa.int64())] if shorter else [])]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *new])
 
-    return joined.mapInArrow(run, schema)
+    return back(cells.mapInArrow(run, schema), new)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -345,5 +432,6 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """With n_repeated, the bytes that repeated strings of PASSAGE_BYTES cover: shorter passages that documents share show there."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400, PASSAGE_BYTES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

@@ -25,7 +25,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
 
     cut = corpus_pipeline.cut_repeats(spark, near, sf_dir)
     assert cut.columns == columns
-    digests = {i: (n - removed, digest) for i, n, removed, _, digest in brute_suffix([r[:2] for r in want], 400)}
+    digests = {i: (n - removed, digest) for i, n, removed, _, digest in brute_suffix([r[:2] for r in want], corpus_pipeline.PASSAGE_BYTES)}
     got = {r.doc_id: r for r in cut.collect()}
     assert got.keys() == digests.keys()
     for i, (n, digest) in digests.items():
@@ -58,3 +58,29 @@ def test_edge_cases(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
     assert corpus_pipeline.keep_languages(spark, docs, "").count() <= len(rows)
+
+
+def test_columns_of_any_name_pass_all_stages(spark):
+    names = ["cut", "e", "last", "s", "b", "n", "h", "q", "good", "rows", "stay_id", "score", "lang_pred", "kept", "n_bytes", "n_tokens", "position", "epoch", "block", "node", "comp", "d", "t"]
+    passage = " ".join(f"shared{k} words" for k in range(60))
+    texts = [" ".join(f"alone{k}x{j} word" for j in range(40)) + (" " + passage if k % 2 else "") for k in range(12)] + [None, ""]
+    rows = [(k, t, "en", f"s{k % 2}", 7, *[f"{c}{k}" for c in names]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+        if stage is corpus_pipeline.cut_repeats:
+            assert not any(passage in (r.text or "") for r in got) and len(got) == len(rows)
+    assert corpus_pipeline.encode(spark, docs, "").count() == len(rows)
+
+
+def test_passages_of_51_words_are_cut(spark):
+    passage = " ".join(f"word{k}" for k in range(51))
+    assert 250 <= len(passage) < 400
+    rows = [(k, f"begin {k} {'x' * k} {passage} end {k}", "en", "s", 1) for k in range(3)] + [(9, "clean text " * 10, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert all(passage not in got[k].text and got[k].text.startswith("begin") and got[k].n_chars == len(got[k].text) for k in range(3))
+    assert got[9].text == "clean text " * 10 and got[9].n_chars == 1

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from curatrix.llm import suffix_dedup
@@ -22,9 +23,11 @@ def brute(rows, window):
     return sorted(out, key=str)
 
 
-def check(spark, rows, window=400, partitions=5):
+def check(spark, rows, window=400, partitions=5, shorter=None):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
-    got = suffix_dedup.without_repeats(df, window).collect()
+    got = suffix_dedup.without_repeats(df, window, shorter).collect()
+    if shorter:
+        assert sorted(((r.doc_id, r.n_bytes, r.n_repeated) for r in got), key=str) == sorted((r[:3] for r in brute(rows, shorter)), key=str)
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got), key=str) == brute(rows, window)
 
 
@@ -45,6 +48,7 @@ def test_equals_brute_force(spark, monkeypatch, hot):
         texts.append(" ".join(parts))
     texts += texts[:10] + [t[:-7] for t in texts[10:20]] + [t[:500] + "#" + t[500:] for t in texts[20:40]]
     check(spark, list(enumerate(texts)))
+    check(spark, list(enumerate(texts)), shorter=250)
 
 
 def test_edge_cases(spark):
@@ -54,6 +58,7 @@ def test_edge_cases(spark):
             (9, "e" * 400), (None, "f" * 450), (None, "f" * 450), (10, "é" * 250), (11, "xyz" * 300)]
     check(spark, rows)
     check(spark, [(1, long[:60_000]), (2, long[30_000:61_000])])
+    check(spark, rows, shorter=250)
     empty = spark.createDataFrame([], "doc_id long, text string, did string")
     assert suffix_dedup.without_repeats(empty).count() == 0
 
@@ -61,8 +66,9 @@ def test_edge_cases(spark):
 def test_chunks_of_very_long_texts(monkeypatch):
     rng = random.Random(2)
     data = words(rng, 3000).encode()
-    whole = suffix_dedup.spans_of(data, 400, 128)
+    texts = [b"short", data, data[:5000], b"", data[300:700]]
+    whole = suffix_dedup.spans_of(texts, 400, 128)
     monkeypatch.setattr(suffix_dedup, "_CHUNK", 1000)
-    parts = suffix_dedup.spans_of(data, 400, 128)
-    anchor = lambda spans: {start + k: (key, start + at) for key, start, n, at in spans for k in range(n)}
-    assert anchor(whole) == anchor(parts) and len(anchor(whole)) == len(data) - 399
+    parts = suffix_dedup.spans_of(texts, 400, 128)
+    anchor = lambda spans: {(number, start + k): (key, start + at) for number, key, _, _, start, n, at in np.array(spans).T.tolist() for k in range(n)}
+    assert anchor(whole) == anchor(parts) and len(anchor(whole)) == len(data) - 399 + 5000 - 399 + 1
