@@ -32,7 +32,7 @@ LEAF_IDS = 1 << 16
 #: Strings up to this many bytes are merged by looking through all pairs, longer ones by a heap of pairs.
 SHORT_BYTES = 64
 #: Entries of the piece cache of a Python worker; when full it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 
 
 class TreeCodec:

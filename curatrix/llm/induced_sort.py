@@ -17,7 +17,7 @@ import tempfile
 import numpy as np
 
 #: Bytes of tuples that a queue keeps in memory.
-QUEUE_BYTES = 8 << 20
+QUEUE_BYTES = 4 << 20
 
 
 class DiskQueue:

@@ -41,7 +41,7 @@ LONGEST_PIECE = 12
 #: Words of up to so many characters are scored side by side, and so many at once; longer ones by themselves.
 SIDE_BY_SIDE, WORDS_AT_ONCE = 40, 20_000
 #: Cells (words by languages) of the cache of a Python worker; when full it starts anew.
-CACHE_CELLS = 2_000_000
+CACHE_CELLS = 400_000
 #: An odd base and an odd multiplier (fixed values).
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Letters and marks make words; everything else separates them.

@@ -315,7 +315,8 @@ def maybe_near(pairs: DataFrame, classes: DataFrame, percent: int, ring: bool =
 
 def distances(left: DataFrame, sets: DataFrame, percent: int, ring: bool = False) -> DataFrame:
     """(u, v, nu, nv, d) of pairs (u, v, nu, nv) that are similar, or (ring) as near as two that are similar to a third, staged; exact, on the sets."""
-    eu, ev = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"e{k}")) for k in "uv")
+    # only the sets of these pairs are dealt out
+    eu, ev = (sets.join(bounded_broadcast(staged(left.select(F.col(k).alias("node")).distinct(), "ngram-ends"), 16), "node").select(F.col("node").alias(k), F.col("elements").alias(f"e{k}")) for k in "uv")
     d = F.col("nu") + F.col("nv") - 2 * F.size(F.array_intersect("eu", "ev"))
     found = left.join(ev, "v").join(eu, "u").select("u", "v", "nu", "nv", d.alias("d"))
     return staged(found.where((in_ring if ring else is_near)(percent, "d", "nu", "nv")), "ngram-near")
@@ -454,6 +455,7 @@ def components_of(docs: DataFrame, classes: DataFrame, n: int, percent: int, cla
 
     ends = links.select(F.explode(F.array("center", "node")).alias("node"))
     sets = staged(exact_sets(docs, classes, ends, n, clashing), "ngram-sets")
+    release(spark)
     # each set and its first center: large groups of copies are told by that
     tried = links.where(_reachable(percent, "size", "center_size")).groupBy("node").agg(F.min("center").alias("center")).select(*pair("center", "node")).distinct()
     edges = distances(maybe_near(tried, classes, percent), sets, percent).select("u", "v")
@@ -472,9 +474,12 @@ def components_of(docs: DataFrame, classes: DataFrame, n: int, percent: int, cla
         far = staged(told.where("more and near is null").select("node").distinct(), "ngram-far")
         ring = staged(named(named(around.select(F.col("u").alias("center"), F.col("v").alias("node"), F.col("nv").alias("size"), is_near(percent, "d", "nu", "nv").alias("near")).distinct(), "node", "comp"), "center", "center_comp"), "ngram-ring")
         split = ring.where("not near and comp <> center_comp").select("center").distinct()
-        of_center = sets.select(F.col("node").alias("center"), F.col("elements").alias("ec"))
+        about = ring.join(split, "center")
+        about = bounded_broadcast(staged(about.select(F.explode(F.array("center", "node")).alias("node")).distinct(), "ngram-ends"), 16)
+        in_rings = sets.join(about, "node")
+        of_center = in_rings.select(F.col("node").alias("center"), F.col("elements").alias("ec"))
         delta = F.concat(F.array_except("elements", "ec"), F.array_except("ec", "elements"))
-        from_center = ring.join(split, "center").join(sets, "node").join(of_center, "center").select(
+        from_center = ring.join(split, "center").join(in_rings, "node").join(of_center, "center").select(
             F.col("center").alias("around"), "node", "size", (F.floor(F.col("size") * (100 - percent) / percent) + 1).alias("most"), delta.alias("delta")
         )
         own = sets.join(bounded_broadcast(far, 16), "node").select(

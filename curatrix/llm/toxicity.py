@@ -36,7 +36,7 @@ SAMPLE_PER_CLASS, SAMPLE_CHARS = 2500, 20_000
 #: are so many times as frequent in toxic ones.
 BEGINNINGS, LEAST_DOCUMENTS, LEAST_LIFT = (4, 5, 6, 7), 4, 1.25
 #: Words whose weights a Python worker keeps; when full it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 STEPS, RATE, SHRINK = 160, 0.15, 2e-5
 #: A sentence offends from this probability on.
 OFFENDS = 0.5
