@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch: whole texts ride in them, and a Python worker holds several.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session has no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +47,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -68,6 +81,7 @@ def masked(df: DataFrame, keep: list[str]) -> tuple[DataFrame, Callable[[DataFra
 
     back(out, new) has the columns of df, but those that new ones replace, and then the new ones.
     """
+    bounded_batches(df.sparkSession)
     names = {c: f"__user{k}" for k, c in enumerate(df.columns) if c not in keep}
 
     def back(out: DataFrame, new: list[str]) -> DataFrame:
@@ -95,6 +109,7 @@ def with_columns_from_batches(
     make() runs once in each task and returns the function from the input arrays to the new arrays.
     Columns of df that have a new column's name are replaced.
     """
+    bounded_batches(df.sparkSession)
     keep = without(df, [f.name for f in fields])
     marked = keep.select("*", *[df[f"`{c}`"].alias(f"__in{k}") for k, c in enumerate(inputs)])
     names, extra = keep.columns, len(inputs)
@@ -111,7 +126,7 @@ def with_columns_from_batches(
     return marked.mapInArrow(run, schema)
 
 
-def by_bytes(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes, one row at least: very long texts don't pile up."""
     if batch.nbytes <= most or batch.num_rows <= 1:
         yield batch

@@ -45,7 +45,7 @@ PASSAGE_BYTES = 250
 HOT, GRIDS = 64, (17, 1)
 #: Bytes that a shard sorts at once.
 SHARD_BYTES = 2 << 20
-_CHUNK = (1 << 20) - 4096
+_CHUNK = (1 << 18) - 4096
 _U = np.uint64
 #: Multipliers of a 64-bit finalizer, and an odd base (fixed values).
 _M1, _M2, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), 0x9E3779B97F4A7C15
