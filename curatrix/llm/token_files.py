@@ -18,6 +18,7 @@ repeated ids by a hash of the text). Ids must be below 65,536.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import fresh_path, staged, table
+from curatrix.llm.common import fresh_path, staged, table, trimmed
 
 BLOCK_IDS = 4096
 #: A file is closed once it holds so many ids; so many of its blocks are coded side by side.
@@ -286,22 +287,25 @@ def from_file(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 #: Words of the tokenizer's cache of a Python worker; when full it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """text -> ids as 16-bit integers, by the tokenizers library.
 
-    Its normalizer and pre-tokenizer work inside what blanks and line ends separate, so the library encodes each such word
-    once and its ids are kept.
+    Its normalizer, its pre-tokenizer and its search for added tokens (such as an end of text that a text spells out) work
+    inside what blanks and line ends separate, so the library encodes each such word once and its ids are kept.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         tokenizer, cache = Tokenizer.from_file(path), {}
-        tokenizer.encode_special_tokens = True
+        # added tokens are found before anything else; where one could reach beyond a word, texts that hold its content go whole
+        wide = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.lstrip or t.rstrip or re.search(r"\s", t.content)]
 
         def encode(text: str) -> bytes:
+            if any(t in text for t in wide):
+                return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
             words = text.replace("\n", " ").split(" ")
             found = [cache.get(w) for w in words]
             if None in found:
@@ -354,7 +358,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cells, kinds, strict=True)], names=["part", "seq", "path", "n_ids"])
 
-    return staged(ordered.mapInArrow(run, "part int, seq int, path string, n_ids long"), "token-files")
+    return staged(ordered.mapInArrow(trimmed(run), "part int, seq int, path string, n_ids long"), "token-files")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
@@ -378,7 +382,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return spread.select("path", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.select("path", "first").mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,7 @@ def tokenizer():
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def brute(tokenizer, rows):
@@ -54,7 +52,7 @@ def test_words_are_encoded_as_the_library_does(tokenizer):
     import public_tokenizers
 
     encode = token_files.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
-    for text in ("", " ", "It's 'tis  x's\n\nNEW\tline\r\n", "é ́a ΑΣ ΑΣ. ΣΑ", "<|endoftext|> a<|startoftext|>b", "\x1c\x1d a b c　d", "日本 123 4٣ ½", "\U0001f600" * 40, "İI ß ſ ffi"):
+    for text in ("", " ", "It's 'tis  x's\n\nNEW\tline\r\n", "é ́a ΑΣ ΑΣ. ΣΑ", "<|endoftext|> a<|startoftext|>b", "x <|endoftext|> y", "x<|endoftext|>y", "<|endoftext|><|startoftext|>", "a<|endoftext|", "Don't<|endoftext|>'s 's<|startoftext|> 12<|endoftext|>3", "<|ENDOFTEXT|>", "\x1c\x1d a b c　d", "日本 123 4٣ ½", "\U0001f600" * 40, "İI ß ſ ffi"):
         assert np.frombuffer(encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
