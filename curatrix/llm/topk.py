@@ -7,7 +7,8 @@ that a tile's memory doesn't depend on the input.
 
 Components become floor(scale * x), x as double; scores are exact integers (float products are used only where no sum
 can leave the range of exact integers, else integer products). Vectors that are null or hold a null or non-finite
-component take no part, neither do rows with a null id. Vectors of unlike length are compared on the components that both
+component take no part, neither do rows with a null id. Only the id and the vector are read, so further columns of any name
+do no harm; empty tables give no rows. Vectors of unlike length are compared on the components that both
 have. A candidate with the query's own id is never a result. Ties go to the smaller id; repeated rows each take a rank.
 """
 
@@ -22,11 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import staged, table
+from curatrix.llm.common import staged, table, trimmed
 
 _MATRIX = "block int, ids binary, width int, cells binary"
+#: Components are held to this range; scores beyond 64 bits wrap around, as longs do.
+_LARGEST = float(1 << 62)
 #: Integers up to here are exact as doubles.
 _EXACT = float(1 << 53)
+#: Query matrices of up to so many bytes are sent to all tasks; groups of shards by which tiles are dealt out and merged.
+QUERY_BYTES, PARTS = 16 << 20, 64
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -57,7 +62,7 @@ def packed(rows: DataFrame, scale: int, block_rows: int) -> DataFrame:
                 keys = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 lists = part.column(1)
                 lengths = np.diff(lists.offsets.to_numpy())
-                flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+                flat = np.clip(np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)), -_LARGEST, _LARGEST).astype(np.int64)
                 width = int(lengths.max(initial=0))
                 cells = np.zeros((len(keys), width), np.int64)
                 cells[np.arange(width) < lengths[:, None]] = flat
@@ -70,7 +75,7 @@ def packed(rows: DataFrame, scale: int, block_rows: int) -> DataFrame:
         if held:
             yield emit(ids, vecs)
 
-    return rows.mapInArrow(run, _MATRIX)
+    return rows.mapInArrow(trimmed(run), _MATRIX)
 
 
 def tile_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -104,8 +109,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     # round robin spreads the queries evenly, repeated ids included
     asked = staged(packed(asked.repartition(blocks), scale, 2 * query_rows), "topk-queries")
     shards = packed(usable(vectors, key, vector), scale, shard_rows).select(F.col("ids").alias("c_ids"), F.col("width").alias("c_width"), F.col("cells").alias("c_cells"))
-    spread = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = spread.join(asked, "block").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(64)))
+    spread = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(PARTS)))
+    held = asked.agg(F.sum(F.octet_length("cells") + F.octet_length("ids"))).first()[0] or 0
+    if held <= QUERY_BYTES:
+        tiles = spread.join(F.broadcast(asked), "block")
+    else:  # each block goes to PARTS tasks, so that its shards are not all in one
+        tiles = spread.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long")), ["block", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
                         names=["query_id", "block", "row", "part", "vec_id", "score"],
                     )
 
-    found = tiles.select("ids", "width", "cells", "c_ids", "c_width", "c_cells", "part", "block").mapInArrow(run, "query_id long, block long, row long, part long, vec_id long, score long")
+    found = tiles.select("ids", "width", "cells", "c_ids", "c_width", "c_cells", "part", "block").mapInArrow(trimmed(run), "query_id long, block long, row long, part long, vec_id long, score long")
 
     def merged(df: DataFrame, *by: str) -> DataFrame:
         order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("lower"), "vec_id")))
