@@ -7,7 +7,8 @@ header alone; features by range reads of the image.
 
 A shard gets its final name when it is complete; a task that is run again writes shards of its own, and only shards named
 in the staged rows are read. Results: null counts as empty, an empty text is ROW samples of 255; repeated rows each get a
-row. Columns with the names of new ones are replaced.
+row; an empty table gives none. Very long texts are images of many rows. Columns that have the name of a new one are
+replaced, others of any name are kept.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import by_bytes, fresh_path, staged, table, with_columns_from_batches, without
+from curatrix.llm.common import by_bytes, fresh_path, staged, table, trimmed, with_columns_from_batches, without
 
 #: Samples of an image row.
 ROW = 576
 #: A shard is closed once it holds so many bytes.
 SHARD_BYTES = 128 << 20
+#: Bytes of stored images that a task reads back.
+READ_BYTES = 16 << 20
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Magic, and the IHDR chunk with its length, name and checksum.
 HEADER_BYTES = 33
@@ -152,7 +155,13 @@ def store(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(x, k) for x, k in zip(cells, kinds, strict=True)]], names=[*names, *new])
         writer.close()
 
-    return staged(marked.mapInArrow(run, schema), "media-rows")
+    return staged(marked.mapInArrow(trimmed(run), schema), "media-rows")
+
+
+def by_place(rows: DataFrame) -> DataFrame:
+    """rows dealt out by shard and offset, READ_BYTES of stored images to a task: the rows' own size says nothing about theirs."""
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    return rows.repartitionByRange(max(1, -(-total // READ_BYTES)), "shard", "offset", *[F.xxhash64(c) for c in rows.columns if c in ("doc_id",)])
 
 
 def with_metadata(rows: DataFrame, folder: str) -> DataFrame:
@@ -210,5 +219,5 @@ def with_features(rows: DataFrame, folder: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "media")
     rows = store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
-    found = with_features(with_metadata(rows, folder), folder)
+    found = with_features(with_metadata(by_place(rows), folder), folder)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "width", "height", "bits")
