@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -123,7 +124,7 @@ def with_columns_from_batches(
                 new = step(*columns[len(columns) - extra :])
                 yield pa.RecordBatch.from_arrays([*columns[: len(columns) - extra], *new], names=[*names, *[f.name for f in fields]])
 
-    return marked.mapInArrow(run, schema)
+    return marked.mapInArrow(trimmed(run), schema)
 
 
 def by_bytes(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -136,6 +137,23 @@ def by_bytes(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.Reco
         yield batch.slice(at, step)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving free memory back to the system at a task's end: workers stay, idle, beside those of later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # other C libraries have no such call
+                pass
+
+    return wrapped
+
+
 def small_enough(df: DataFrame, row_bytes: int, most: int = 8 << 20) -> bool:
     """Whether a staged table of rows of a known width stays under a bound, so that it may be broadcast."""
     return df.limit(most // row_bytes + 1).count() * row_bytes <= most

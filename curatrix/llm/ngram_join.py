@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import bounded_broadcast, by_bytes, discard, release, staged, table
+from curatrix.llm.common import bounded_broadcast, by_bytes, discard, release, staged, table, trimmed
 from curatrix.llm.components import components
 
 _U = np.uint64
@@ -202,7 +202,7 @@ def profiles(docs: DataFrame, n: int, clashing: frozenset[int] = frozenset()) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), sizes, nodes, checks, batch.column(2), bins], names=["doc_id", "n_shingles", "node", "check", "tkey", "bins"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, tkey long, bins binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, node long, check long, tkey long, bins binary")
 
 
 def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band], clashing: frozenset[int] = frozenset()) -> DataFrame:
@@ -225,7 +225,7 @@ def bucket_rows(docs: DataFrame, n: int, percent: int, bands: list[Band], clashi
                 if sigs:
                     yield _record("sig kind node size", np.concatenate(sigs).view(np.int64), np.concatenate(kinds), np.concatenate(nodes), np.concatenate(sizes))
 
-    return docs.select("text").mapInArrow(run, _BUCKETS)
+    return docs.select("text").mapInArrow(trimmed(run), _BUCKETS)
 
 
 def bucket_links(index: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def bucket_links(index: DataFrame) -> DataFrame:
             if take.any():
                 yield _record("center center_size node size more", first_node[take].astype(np.int64), first_size[take].astype(np.int32), node[take], size[take], others[at[take]] > 1)
 
-    return ordered.mapInArrow(run, "center long, center_size int, node long, size int, more boolean")
+    return ordered.mapInArrow(trimmed(run), "center long, center_size int, node long, size int, more boolean")
 
 
 def _reachable(percent: int, a: str, b: str):
@@ -291,7 +291,7 @@ def exact_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, cl
                         sets.append(elements.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
 
-    return found.mapInArrow(run, "node long, elements array<long>")
+    return found.mapInArrow(trimmed(run), "node long, elements array<long>")
 
 
 def maybe_near(pairs: DataFrame, classes: DataFrame, percent: int, ring: bool = False) -> DataFrame:
@@ -309,7 +309,7 @@ def maybe_near(pairs: DataFrame, classes: DataFrame, percent: int, ring: bool =
     pairs = pairs.select("u", "v").join(sizes[0], "u").join(sizes[1], "v").withColumn("least", F.abs(F.col("nu") - F.col("nv")))
     pairs = pairs.where((in_ring if ring else is_near)(percent, "least", "nu", "nv")).select("u", "v")
     both = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "nu", "nv", "bu", "bv")
-    found = both.mapInArrow(run, "u long, v long, nu long, nv long, least long")
+    found = both.mapInArrow(trimmed(run), "u long, v long, nu long, nv long, least long")
     return staged(found.where((in_ring if ring else is_near)(percent, "least", "nu", "nv")).drop("least"), "ngram-maybe")
 
 
@@ -338,7 +338,7 @@ def common_keys(deltas: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield _record("key", keyed(around.as_py(), delta.values.to_numpy().view(np.uint64)).view(np.int64))
 
     drawn = deltas.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(1 << 20)) < int(share * (1 << 20))).where(F.size("delta") > 0)
-    counts = staged(drawn.select("around", "delta").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-common")
+    counts = staged(drawn.select("around", "delta").mapInArrow(trimmed(run), "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-common")
     least, there = 2, 0
     for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
         there += r["count"]
@@ -374,7 +374,7 @@ def prefixes(deltas: DataFrame) -> DataFrame:
                 yield _record("key place node size d", first.view(np.int64), np.arange(1, k + 1, dtype=np.int32), np.full(k, node.as_py()), np.full(k, size.as_py()), np.full(k, len(key)))
 
     rows = deltas.where(F.size("delta") > 0).select("around", "node", "size", "most", "delta")
-    return rows.mapInArrow(run, "key long, place int, node long, size long, d long")
+    return rows.mapInArrow(trimmed(run), "key long, place int, node long, size long, d long")
 
 
 def prefix_meetings(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curatrix.llm.common import by_bytes, masked, staged, table
+from curatrix.llm.common import by_bytes, masked, staged, table, trimmed
 from curatrix.llm.induced_sort import repeated_windows
 
 #: Bytes of an anchor by bytes of a window; more make fewer chance meetings and more spans.
@@ -183,7 +183,7 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
                     columns = [key, s1, s2, did[number], th[number], pos, n, anchor, np.full(len(number), WAITS)]
                     yield from _linked([c.astype(k.to_pandas_dtype()) for c, k in zip(columns, _KINDS, strict=True)])
 
-    return docs.select("did", "th", "data").mapInArrow(run, _ROWS)
+    return docs.select("did", "th", "data").mapInArrow(trimmed(run), _ROWS)
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def compared(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from told(held, (None, None, None))
 
-    return ordered.mapInArrow(run, _ROWS)
+    return ordered.mapInArrow(trimmed(run), _ROWS)
 
 
 def with_bytes(rows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
@@ -267,7 +267,7 @@ def with_bytes(rows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "did", "th", "pos", "n", "anchor", "role", "data"])
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(trimmed(run), schema)
 
 
 def dealt_anew(rows: DataFrame, window: int, grid: int) -> DataFrame:
@@ -288,7 +288,7 @@ def dealt_anew(rows: DataFrame, window: int, grid: int) -> DataFrame:
                 if out:
                     yield from _linked([np.array(c, k.to_pandas_dtype()) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)])
 
-    return rows.mapInArrow(run, _ROWS)
+    return rows.mapInArrow(trimmed(run), _ROWS)
 
 
 def sorted_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
@@ -356,7 +356,7 @@ def longer_repeats(docs: DataFrame, runs: DataFrame, window: int, longer: int) -
                 columns = zip(*rows, strict=True) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["did", "th", "base", "data"])
 
-    pieces = found.mapInArrow(run, "did long, th long, base long, data binary").withColumn("piece", F.xxhash64("th", "base"))
+    pieces = found.mapInArrow(trimmed(run), "did long, th long, base long, data binary").withColumn("piece", F.xxhash64("th", "base"))
     pieces = staged(pieces, "span-pieces")
     inner = repeats(pieces.select("did", F.col("piece").alias("th"), "data"), longer).select(F.col("did").alias("d"), F.col("th").alias("t"), "pos", "n")
     bases = pieces.select("did", "th", "piece", "base").distinct()
@@ -417,7 +417,7 @@ def without_repeats(docs: DataFrame, window: int = 400, shorter: int | None = No
                 columns = [*[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary()), *([pa.array(repeated, pa.int64())] if shorter else [])]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *new])
 
-    return back(cells.mapInArrow(run, schema), new)
+    return back(cells.mapInArrow(trimmed(run), schema), new)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
