@@ -374,12 +374,13 @@ def joined(listed: pa.Scalar, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, window: int = 400, shorter: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, shorter: int | None = None, as_text: bool = False) -> DataFrame:
     """docs (doc_id, text, others) with n_bytes, n_removed, n_spans and kept: the text's bytes but those that repeated windows cover.
 
-    With `shorter`, n_repeated as well: how many bytes repeated windows of that size cover.
+    With `shorter`, n_repeated as well: how many bytes repeated windows of that size cover. With `as_text`, kept_text: null
+    texts stay null, and a character that loses some of its bytes goes.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept", *(["n_repeated"] if shorter else [])]
+    new = ["n_bytes", "n_removed", "n_spans", "kept", *(["n_repeated"] if shorter else []), *(["kept_text"] if as_text else [])]
     if shorter and shorter > window:
         raise ValueError("shorter must not exceed the window")
     docs, back = masked(docs, ["doc_id", "text"])
@@ -396,12 +397,12 @@ def without_repeats(docs: DataFrame, window: int = 400, shorter: int | None = No
     marked = docs.withColumn("__a", did).withColumn("__b", th)
     joins = marked.join(lists, (F.col("__a") == F.col("__did")) & (F.col("__b") == F.col("__th")), "left")
     cells = joins.select(*names, F.col("text").cast("binary").alias("__data"), "__runs", "__small")
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary" + (", n_repeated long" if shorter else "")).fields])
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept binary" + (", n_repeated long" if shorter else "") + (", kept_text string" if as_text else "")).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole):
-                sizes, removed, pieces, kept, repeated = [], [], [], [], []
+                sizes, removed, pieces, kept, repeated, texts = [], [], [], [], [], []
                 for value, listed, small in zip(*batch.columns[len(names) :], strict=True):
                     data = value.as_py() or b""
                     cut = 0
@@ -412,9 +413,11 @@ def without_repeats(docs: DataFrame, window: int = 400, shorter: int | None = No
                     sizes.append(len(data))
                     removed.append(cut)
                     pieces.append(count)
-                    kept.append(b"".join([*parts, data[at:]]))
+                    kept.append(b"".join([*parts, data[at:]]) if cut else data)
+                    if as_text:
+                        texts.append(kept[-1].decode("utf-8", "ignore") if value.is_valid else None)
                     repeated.append(sum(end - pos for pos, end in merged([(r["pos"], r["pos"] + r["n"] - 1 + shorter) for r in small.as_py() or ()])) if shorter else 0)
-                columns = [*[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary()), *([pa.array(repeated, pa.int64())] if shorter else [])]
+                columns = [*[pa.array(x, pa.int64()) for x in (sizes, removed, pieces)], pa.array(kept, pa.binary()), *([pa.array(repeated, pa.int64())] if shorter else []), *([pa.array(texts, pa.string())] if as_text else [])]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], names=[*names, *new])
 
     return back(cells.mapInArrow(trimmed(run), schema), new)
