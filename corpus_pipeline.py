@@ -16,10 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curatrix.llm import byte_bpe, language_id, mixing, ngram_join, suffix_dedup
-from curatrix.llm.common import bounded_broadcast, masked, staged, table, with_columns_from_batches
+from curatrix.llm.common import bounded_broadcast, masked, staged, table
 from curatrix.llm.suffix_dedup import PASSAGE_BYTES
 
 #: A document's language must have this posterior at least.
@@ -54,18 +53,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays; null texts stay null. n_chars is counted anew where bytes are cut."""
     docs, back = masked(docs, OWN)
-    found = suffix_dedup.without_repeats(docs, PASSAGE_BYTES)
-
-    def make():
-        import pyarrow as pa
-
-        return lambda kept: [pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())]
-
-    cut = with_columns_from_batches(found.where("n_removed > 0"), ["kept"], make, [T.StructField("cut", T.StringType())])
-    cut = cut.withColumn("text", F.col("cut"))
+    found = suffix_dedup.without_repeats(docs, PASSAGE_BYTES, as_text=True)
+    changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
-    return back(found.where("n_removed = 0").select(*docs.columns).unionByName(cut.select(*docs.columns)), [])
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return back(found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns]), [])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
