@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.labels import CLASSES, feature_tokens
@@ -70,26 +70,31 @@ def merge_duplicates(rows: DataFrame, populated: list[str], lists: list[str], te
     """One row for each key, from its richest row (ties: the first line) and then the others in order of lines.
 
     Lists: ordered union. Texts: a strictly longer trimmed value replaces. Time: the earliest. Other fields: the first that is
-    there. Rows without a key pass as they are. `merged` counts the rows.
+    there. Rows without a key pass as they are. `merged` counts the rows. Rows of a key are summed up where they are; what meets
+    in a task is the distinct elements of a key's lists.
     """
-    best = Window.partitionBy(key).orderBy(F.desc("__rich"), line)
-    named = rows.where(F.col(key).isNotNull()).withColumn("__rich", richness(populated, lists, texts)).withColumn("__canonical", F.row_number().over(best) == 1)
-    order = (~F.col("__canonical")).cast("int")
-    present = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
-    fold = []
+    size = lambda c: F.length(F.trim(F.coalesce(c, F.lit(""))))
+    present = lambda c: F.when(F.trim(c) != "", c)
+    named = rows.where(F.col(key).isNotNull()).withColumn("__rich", richness(populated, lists, texts))
+    fold = [F.max_by(F.struct(*lists, *texts, *others), F.struct("__rich", -F.col(line))).alias("__best")]
+    fold += [F.max_by(c, F.struct(size(F.col(c)), -F.col(line))).alias(f"__long_{c}") for c in texts]
+    fold += [F.min_by(present(F.col(c)), F.when(present(F.col(c)).isNotNull(), F.col(line))).alias(f"__first_{c}") for c in others]
+    merged = named.groupBy(key).agg(*fold, F.min(time).alias(time), F.min(line).alias(line), F.count("*").alias("merged"))
+    out = {c: F.col(f"__best.{c}") for c in [*lists, *texts, *others]}
     for c in lists:
-        ordered = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(line).alias("l"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("v"))))
-        fold.append(F.array_distinct(F.flatten(F.transform(ordered, lambda s: s["v"]))).alias(c))
+        # elements by the line and the place that they come first at
+        elements = named.select(key, line, F.posexplode(c).alias("__at", "__e")).groupBy(key, "__e").agg(F.min(F.struct(line, "__at")).alias("__first"))
+        union = F.transform(F.array_sort(F.collect_list(F.struct("__first", "__e"))), lambda s: s["__e"])
+        merged = merged.join(elements.groupBy(key).agg(union.alias(f"__all_{c}")), key, "left")
+        none = F.array().cast(rows.schema[c].dataType)
+        out[c] = F.array_distinct(F.concat(F.coalesce(out[c], none), F.coalesce(f"__all_{c}", none)))
     for c in texts:
-        rank = F.struct(F.length(F.trim(F.coalesce(F.col(c), F.lit("")))).alias("n"), (-order).alias("o"), (-F.col(line)).alias("l"))
-        fold.append(F.max_by(c, rank).alias(c))
-    fold.append(F.min(time).alias(time))
+        out[c] = F.when(size(out[c]) == size(F.col(f"__long_{c}")), out[c]).otherwise(F.col(f"__long_{c}"))
     for c in others:
-        fold.append(F.min_by(present(c), F.when(present(c).isNotNull(), F.struct(order.alias("o"), F.col(line).alias("l")))).alias(c))
-    merged = named.groupBy(key).agg(*fold, F.min(line).alias(line), F.count("*").alias("merged"))
+        out[c] = F.coalesce(present(out[c]), F.col(f"__first_{c}"))
     names = [key, line, *lists, *texts, time, *others]
     nameless = rows.where(F.col(key).isNull()).select(*names).withColumn("merged", F.lit(1).cast("long"))
-    return merged.select(*names, "merged").unionByName(nameless)
+    return merged.select(*[out.get(c, F.col(c)).alias(c) for c in names], "merged").unionByName(nameless)
 
 
 def duplicate_report(rows: DataFrame, fields: list[str], populated: list[str], lists: list[str], texts: list[str], key: str = "id", line: str = "line") -> DataFrame:
@@ -100,12 +105,12 @@ def duplicate_report(rows: DataFrame, fields: list[str], populated: list[str], l
     return out.where("n > 1")
 
 
-def assign_null_ids(rows: DataFrame, key: str = "id", line: str = "line", prefix: str = "x_auto_", lines_a_bucket: int = 100_000) -> DataFrame:
+def assign_null_ids(rows: DataFrame, key: str = "id", line: str = "line", prefix: str = "x_auto_") -> DataFrame:
     """Rows without a key get prefix + number, in order of lines, after the largest number of keys x_<n>."""
     number = F.max(F.when(F.col(key).rlike(r"^x_(auto_)?\d+$"), F.regexp_extract(key, r"(\d+)$", 1).cast("long"))).alias("largest")
     largest = F.broadcast(rows.agg(number))  # one row
     without = rows.where(F.col(key).isNull())
-    nameless = running_sums(without, [], F.floor(F.col(line) / lines_a_bucket).cast("long"), [line], {"place": F.lit(1)})
+    nameless = running_sums(without, [], [line], {"place": F.lit(1)})
     digits = (F.coalesce("largest", F.lit(0)) + F.col("place")).cast("string")
     padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)  # lpad alone cuts longer ones
     given = nameless.crossJoin(largest).withColumn(key, F.concat(F.lit(prefix), padded))

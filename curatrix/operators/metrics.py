@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.labels import CLASSES
 from curatrix.functions.scores import safe_div
-from curatrix.plans.ranking import running_sums, score_bucket
+from curatrix.plans.ranking import running_sums
 
 #: Edges of the calibration bins: multiples of the float 0.1, not decimal tenths.
 EDGES = [i * 0.1 for i in range(11)]
@@ -75,9 +75,9 @@ def subgroup_metrics(rows: DataFrame, subgroups: str, names: list[str], gold: st
 
 
 def score_steps(rows: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    """(keys, score, tp, k): of the rows at or above each score, the positives and all. Buckets of scores keep it distributed."""
+    """(keys, score, tp, k): of the rows at or above each score, the positives and all. Ranges of scores keep it distributed."""
     steps = rows.groupBy(*keys, score).agg(F.sum(positive.cast("long")).alias("pos"), F.count("*").alias("all"))
-    return running_sums(steps, keys, score_bucket(F.col(score)), [F.desc(score)], {"tp": F.col("pos"), "k": F.col("all")})
+    return running_sums(steps, keys, [F.desc(score)], {"tp": F.col("pos"), "k": F.col("all")})
 
 
 def pr_auc(rows: DataFrame, score: str, positive: Column, start_precision: float = 0.0, keys: list[str] | None = None) -> DataFrame:
@@ -86,16 +86,11 @@ def pr_auc(rows: DataFrame, score: str, positive: Column, start_precision: float
     steps = score_steps(rows, keys, score, positive)
     total = rows.groupBy(*keys).agg(F.sum(positive.cast("long")).alias("total"))
     joined = steps.join(F.broadcast(total), keys) if keys else steps.crossJoin(F.broadcast(total))  # a row for each key
-    points = joined.withColumn("r", safe_div(F.col("tp"), F.col("total"))).withColumn("p", safe_div(F.col("tp"), F.col("k"))).withColumn("bucket", score_bucket(F.col(score)))
-    # the point before: inside the bucket by lag, else the last point of the bucket before
-    inside = Window.partitionBy(*keys, "bucket").orderBy(F.desc(score))
-    ends = points.groupBy(*keys, "bucket").agg(F.max(F.struct("k", "r", "p")).alias("end"))
-    across = Window.partitionBy(*keys).orderBy("bucket")
-    ends = ends.select(*keys, "bucket", F.lag("end").over(across).alias("before"))
-    points = points.join(F.broadcast(ends), [*keys, "bucket"])  # SCORE_BUCKETS rows for each key
-    last_r = F.coalesce(F.lag("r").over(inside), F.col("before.r"), F.lit(0.0))
-    last_p = F.coalesce(F.lag("p").over(inside), F.col("before.p"), F.lit(start_precision))
-    area = points.withColumn("area", (F.col("r") - last_r) * (F.col("p") + last_p) / 2)
+    # the point before has all that this score does not add
+    tp, k, total = F.col("tp"), F.col("k"), F.col("total")
+    last_tp, last_k = tp - F.col("pos"), k - F.col("all")
+    last_p = F.when(last_k > 0, safe_div(last_tp, last_k)).otherwise(F.lit(start_precision))
+    area = joined.withColumn("area", (safe_div(tp, total) - safe_div(last_tp, total)) * (safe_div(tp, k) + last_p) / 2)
     return area.groupBy(*keys).agg(F.sum("area").alias("pr_auc"))
 
 

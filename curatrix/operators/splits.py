@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.labels import constants
-from curatrix.plans.ranking import hash_bucket, hash_key, ranked
+from curatrix.plans.ranking import hash_key, ranked
 
 
 def _with_total(df: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def _with_total(df: DataFrame) -> DataFrame:
 
 def random_split(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """Appends split: train up to int(n * (1 - ratio)) in hash order, else valid; a row goes over if a side were empty."""
-    placed = _with_total(ranked(rows.withColumn("__key", hash_key(F.col(key), seed)), hash_bucket(F.col("__key")), ["__key", key]))
+    placed = _with_total(ranked(rows.withColumn("__key", hash_key(F.col(key), seed)), ["__key", key]))
     cut = F.floor(F.col("__n") * (1 - ratio))
     cut = F.when((cut == 0) & (F.col("__n") > 1), 1).when((cut == F.col("__n")) & (F.col("__n") > 1), F.col("__n") - 1).otherwise(cut)
     return placed.withColumn("split", F.when(F.col("rank") < cut, "train").otherwise("valid")).drop("__n", "__key", "rank")
@@ -25,9 +25,7 @@ def _by_time(rows: DataFrame, at: str, key: str) -> DataFrame:
     """Rank by time, then key; rows without a time come with the earliest one."""
     first = F.broadcast(rows.agg(F.min(at).alias("__first")))  # one row
     timed = rows.crossJoin(first).withColumn("__at", F.coalesce(at, "__first", F.to_timestamp(F.lit("1970-01-01"))))
-    bucket = F.floor(F.unix_timestamp("__at") / 3600).cast("long")
-    out = timed.withColumn("__b", bucket)
-    return _with_total(ranked(out, F.col("__b"), ["__at", key]))
+    return _with_total(ranked(timed, ["__at", key]))
 
 
 def time_holdout(rows: DataFrame, at: str, key: str, ratio: float | None = None, cutoff: str | None = None) -> DataFrame:
@@ -64,12 +62,12 @@ def largest_remainder(groups: DataFrame, size: str, ratios: list[tuple[str, floa
 
 def stratified_split(rows: DataFrame, labels: str, key: str, ratios: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """Appends split: rows of each exact label set are dealt by hash order into quotas of largest remainders."""
-    named = rows.withColumn("__set", F.array_join(F.array_sort(labels), "|")).withColumn("__key", hash_key(F.col(key), seed)).withColumn("__b", hash_bucket(F.col("__key")))
+    named = rows.withColumn("__set", F.array_join(F.array_sort(labels), "|")).withColumn("__key", hash_key(F.col(key), seed))
     quotas = largest_remainder(named.groupBy("__set").agg(F.count("*").alias("__size")), "__size", ratios, ["__set"])
-    placed = ranked(named, F.col("__b"), ["__key", key], keys=["__set"])
-    tiny = F.broadcast(quotas.select(F.col("__set").alias("__q"), "split", "quota", "before"))  # splits by training label sets
+    placed = ranked(named, ["__key", key], keys=["__set"])
+    shares = quotas.select(F.col("__set").alias("__q"), "split", "quota", "before")  # splits by label sets: broadcast if measured to be small
     match = (F.col("__set") == F.col("__q")) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("quota"))
-    return placed.join(tiny, match).select(*rows.columns, "split")
+    return placed.join(shares, match).select(*rows.columns, "split")
 
 
 def split_outputs(rows: DataFrame, labels: str, training: Column) -> DataFrame:
@@ -132,8 +130,8 @@ def new_by_id(new: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 def balanced_sample(rows: DataFrame, label: str, key: str, cap: float, seed: int = 42) -> DataFrame:
     """Rows of each label up to cap of all rows, the first in hash order; rare labels keep all."""
-    keyed = rows.withColumn("__key", hash_key(F.col(key), seed)).withColumn("__b", hash_bucket(F.col("__key")))
-    placed = _with_total(ranked(keyed, F.col("__b"), ["__key", key], keys=[label]))
+    keyed = rows.withColumn("__key", hash_key(F.col(key), seed))
+    placed = _with_total(ranked(keyed, ["__key", key], keys=[label]))
     return placed.where(F.col("rank") < F.floor(F.col("__n") * cap)).select(*rows.columns)
 
 

@@ -23,8 +23,12 @@ def findings(rows: DataFrame, key: str, rules: list[tuple[str, str, Column]]) ->
     return rows.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
-def repeated(key: Column) -> Column:
-    return key.isNotNull() & (F.count("*").over(Window.partitionBy(key)) > 1)
+def with_repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Appends `repeated`: whether other rows have the key too. Keys are counted where they are; rows without one don't move."""
+    again = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
+    there = rows.where(F.col(key).isNotNull()).join(again, F.col(key) == F.col("__again"), "left")
+    nameless = rows.where(F.col(key).isNull()).withColumn("repeated", F.lit(False))
+    return there.withColumn("repeated", F.col("__again").isNotNull()).drop("__again").unionByName(nameless)
 
 
 def post_rules(taxonomy: list[str]) -> list[tuple[str, str, Column]]:
@@ -45,7 +49,7 @@ def post_rules(taxonomy: list[str]) -> list[tuple[str, str, Column]]:
 
 
 def validate_posts(rows: DataFrame, taxonomy: list[str], line: str = "line") -> DataFrame:
-    return findings(rows.withColumn("repeated", repeated(F.col("id"))), line, post_rules(taxonomy))
+    return findings(with_repeated(rows, "id"), line, post_rules(taxonomy))
 
 
 def json_types(lines: DataFrame, value: str, line: str) -> DataFrame:
@@ -103,7 +107,7 @@ def validate_schema(rows: DataFrame, taxonomy: list[str], by: str) -> DataFrame:
 def validate_manifests(files: DataFrame, stated: DataFrame) -> DataFrame:
     """(run_id, rule) of manifests (run_id, file_count, total_bytes) against their files (run_id, size_bytes, sha256)."""
     actual = files.groupBy(F.col("run_id").alias("r")).agg(F.count("*").alias("c"), F.sum("size_bytes").alias("b"), F.count_if(~F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("bad"))
-    joined = stated.withColumn("repeated", repeated(F.col("run_id"))).join(actual, F.col("run_id") == F.col("r"), "left")
+    joined = with_repeated(stated, "run_id").join(actual, F.col("run_id") == F.col("r"), "left")
     return findings(joined, "run_id", [
         ("error", "file count", ~F.col("file_count").eqNullSafe(F.col("c"))), ("error", "total bytes", ~F.col("total_bytes").eqNullSafe(F.col("b"))),
         ("error", "form of digest", F.col("bad") > 0), ("error", "duplicate run", F.col("repeated")),

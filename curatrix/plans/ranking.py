@@ -1,16 +1,19 @@
 """Ranks and running sums over a whole table without a task that sees all of it.
 
-Rows are grouped into ordered buckets; sums by bucket give each bucket's offset; ranks and running sums inside a bucket
-are added to it. Only the table of buckets is windowed as a whole.
+Rows are dealt into ranges of the order; sums by range give each range's offset; ranks and running sums inside a range are
+added to it. Ranges are drawn from the rows themselves, so scores, times or ids that crowd together are split as well as
+others: only rows that are equal in the whole order share a range by force. The table of ranges has a row for each
+partition and one for each key more, and only it is windowed by keys alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets for scores in 0..1.
-SCORE_BUCKETS = 4096
+from curatrix.sources.files import staged
 
 
 def hash_key(value: Column, seed: str | int) -> Column:
@@ -18,28 +21,22 @@ def hash_key(value: Column, seed: str | int) -> Column:
     return F.md5(F.concat(value.cast("string"), F.lit(f":{seed}")))
 
 
-def hash_bucket(key: Column) -> Column:
-    return F.substring(key, 1, 3)
-
-
-def score_bucket(score: Column, descending: bool = True) -> Column:
-    bucket = F.floor(score * SCORE_BUCKETS).cast("long")
-    return -bucket if descending else bucket
-
-
-def running_sums(df: DataFrame, keys: list[str], bucket: Column, order: list, values: dict[str, Column]) -> DataFrame:
-    """Appends, for each name in values, the sum of its column up to and with the row. bucket must ascend with the order."""
+def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column]) -> DataFrame:
+    """Appends, for each name in values, the sum of its column up to and with the row, in the order. Null keys are keys of their own."""
     names = df.columns
-    df = df.withColumn("__bucket", bucket).withColumns({f"__v_{n}": c for n, c in values.items()})
-    offsets = df.groupBy(*keys, "__bucket").agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in values])
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select(*keys, "__bucket", *[F.coalesce(F.sum(f"__o_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in values])
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    valued = df.withColumns({f"__v_{n}": c for n, c in values.items()})
+    # ranges come from a sample, so that a second run may cut elsewhere: written once, they hold
+    df = staged(valued.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sums = df.groupBy(*keys, "__range").agg(*[F.sum(f"__v_{n}").alias(f"__o_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"), *[F.coalesce(F.sum(f"__o_{n}").over(before), F.lit(0)).alias(f"__p_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in values})
-    out = df.join(F.broadcast(offsets), [*keys, "__bucket"])  # a row for each bucket: SCORE_BUCKETS, or hours, by key
-    return out.select(*names, *[(F.col(f"__r_{n}") + F.col(f"__p_{n}")).alias(n) for n in values])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], F.col("__range") == F.col("__r"))
+    # no hint: Spark broadcasts the offsets if they are measured to be small
+    return df.join(offsets, same).select(*names, *[(F.col(f"__r_{n}") + F.col(f"__p_{n}")).alias(n) for n in values])
 
 
-def ranked(df: DataFrame, bucket: Column, order: list, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: list, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
     """Appends the 0-based rank in the whole order (by keys)."""
-    return running_sums(df, keys or [], bucket, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
+    return running_sums(df, keys or [], order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)

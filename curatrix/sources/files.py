@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.labels import constants, normalize_change_labels
@@ -23,11 +23,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares; in a folder of our own where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: what was drawn stays as it is, whatever executors are lost."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank ones give no row, broken ones a row with _corrupt."""
     return spark.read.schema(POST).option("columnNameOfCorruptRecord", "_corrupt").json(path)
@@ -73,17 +83,17 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line_no): numbers ascend with the lines of a file, without being dense."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
+    """(value, line_no): line_no ascends with the lines of a file, and with files by name; it is a struct, not a dense number."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select("value", place.alias("line_no"))
 
 
 def read_change_list(spark: SparkSession, path: str) -> DataFrame:
     """(id, new_labels, valid) of lines `id label[ ,label]`; # begins a comment; the last line of an id holds."""
     lines = numbered_lines(spark, path).withColumn("value", F.trim(F.regexp_replace("value", "#.*$", ""))).where("value <> ''")
     parts = F.filter(F.split("value", r"[\s,]+"), lambda x: x != "")
-    rows = lines.select(parts.alias("p"), "line_no").select(F.col("p")[0].alias("id"), F.slice("p", 2, 1000).alias("new_labels"), "line_no")
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("line_no")))
-    kept = rows.withColumn("place", last).where("place = 1").drop("place", "line_no")
+    rows = lines.select(parts.alias("p"), "line_no").select(F.col("p")[0].alias("id"), F.slice("p", F.lit(2), F.size("p")).alias("new_labels"), "line_no")
+    kept = rows.groupBy("id").agg(F.max_by("new_labels", "line_no").alias("new_labels"))
     return kept.withColumn("valid", F.size(normalize_change_labels(F.col("new_labels"))) > 0)
 
 
