@@ -194,7 +194,7 @@ def duplicate_report(spark, sf):
 
 @query("assign_null_ids", f"""WITH n AS (SELECT doc_id AS line, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'x_' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents),
 k AS (SELECT max(CAST(substr(id, 3) AS BIGINT)) AS largest FROM n WHERE id LIKE 'x_%')
-SELECT line, coalesce(id, 'x_auto_' || CASE WHEN k.largest + r < 10000 THEN lpad(CAST(k.largest + r AS VARCHAR), 4, '0') ELSE substr(CAST(k.largest + r AS VARCHAR), 1, 4) END) AS id FROM (SELECT *, row_number() OVER (PARTITION BY id IS NULL ORDER BY line) AS r FROM n), k""")
+SELECT line, coalesce(id, 'x_auto_' || CASE WHEN k.largest + r < 10000 THEN lpad(CAST(k.largest + r AS VARCHAR), 4, '0') ELSE CAST(k.largest + r AS VARCHAR) END) AS id FROM (SELECT *, row_number() OVER (PARTITION BY id IS NULL ORDER BY line) AS r FROM n), k""")
 def assign_null_ids(spark, sf):
     key = F.when(F.col("doc_id") % 9 == 0, None).when(F.col("doc_id") % 4 == 0, F.concat(F.lit("x_"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
     return C.assign_null_ids(fx.table(spark, sf, "documents").select(F.col("doc_id").alias("line"), key.alias("id")))

@@ -43,19 +43,19 @@ def read_labeled_text_classes(spark, sf):
     return S.read_labeled_text(spark, path, CLASSES).select(F.md5("text").alias("digest"), F.concat_ws(",", "labels").alias("labels"))
 
 
-@query("read_id_list", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 5 < 2")
+@query("read_id_list", "SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents")
 def read_id_list(spark, sf):
     path = S.shared_path(spark, "ids")
     id_ = F.col("doc_id").cast("string")
-    docs = fx.table(spark, sf, "documents").where("doc_id % 5 < 2")
+    docs = fx.table(spark, sf, "documents")
     docs.select(F.when(F.col("doc_id") % 5 == 0, F.to_json(F.struct(id_.alias("id"), "lang"))).otherwise(F.concat(F.lit("  "), id_, F.lit(" ")))).write.text(path)
     return S.read_id_list(spark, path)
 
 
-@query("read_change_list", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'promo,scam' ELSE 'bogus' END AS new_labels, doc_id % 2 = 0 AS valid FROM documents WHERE doc_id % 7 = 0")
+@query("read_change_list", "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'promo,scam' ELSE 'bogus' END AS new_labels, doc_id % 2 = 0 AS valid FROM documents")
 def read_change_list(spark, sf):
     path = S.shared_path(spark, "changes")
-    docs = fx.table(spark, sf, "documents").where("doc_id % 7 = 0")
+    docs = fx.table(spark, sf, "documents")
     last = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, " promo ,scam # seen").otherwise(" bogus"))
     lines = F.array(F.concat(F.col("doc_id").cast("string"), F.lit(" clean")), F.lit("# a comment"), F.lit(""), last)
     docs.select(F.explode(lines)).write.text(path)
