@@ -191,11 +191,11 @@ def sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarr
     """Suffixes of the reduced string in order of their first `depth` names, by doubling; ranks by depths 1, 2, 4, ..."""
     levels, width, n = [names.astype(np.int64)], 1, len(names)
     rank = levels[0]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)  # equal ones may come in any order, so sorts need not be stable
     while width < depth:
         key = rank * (n + 1)
         key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
         rank = np.empty(n, np.int64)
