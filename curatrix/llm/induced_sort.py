@@ -188,23 +188,29 @@ def induce(text: np.ndarray, small: np.ndarray, stars: np.ndarray, star_lcp: np.
 
 
 def sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes of the reduced string in order of their first `depth` names, by doubling; ranks by depths 1, 2, 4, ..."""
-    levels, width, n = [names.astype(np.int64)], 1, len(names)
-    rank = levels[0]
-    order = np.argsort(rank)  # equal ones may come in any order, so sorts need not be stable
-    while width < depth:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+    """Suffixes of the reduced string in order of their first `depth` names, by doubling; ranks by depths 1, 2, 4, ...
+
+    A rank is the place of the first suffix of those that are equal so far; only places that equal ones share are sorted on.
+    """
+    n, width = len(names), 1
+    order = np.argsort(names)  # equal ones may come in any order, so sorts need not be stable
+    key, at, shared, rank, levels = names[order], order, np.arange(n), np.empty(n, np.int64), []
+    while True:
+        head = np.r_[True, key[1:] != key[:-1]]
+        rank = rank.copy()
+        rank[at] = np.maximum.accumulate(np.where(head, shared, 0))
         levels.append(rank)
+        shared = shared[~(head & np.r_[head[1:], True])]
+        if width >= depth or not len(shared):
+            return order, levels
+        at = order[shared]
+        key = rank[at] * (n + 1)
+        inside = at + width < n
+        key[inside] += rank[at[inside] + width] + 1
+        turn = np.argsort(key)
+        key, at = key[turn], at[turn]
+        order[shared] = at
         width *= 2
-        if new[-1] == n - 1:
-            break
-    return order, levels
 
 
 def suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +250,7 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray
     names = np.empty(len(star), np.int64)
     names[place[ordered]] = np.cumsum(np.r_[0, ~same])
     # the reduced string; an S* substring advances by one symbol at least
-    order, levels = sort_names(names, depth)
+    order, levels = sort_names(names, depth // 2 + 1)  # S* suffixes are two symbols apart at least
     sorted_stars = star[order]
     # common prefixes of neighbours: equal names first, the rest symbol by symbol
     i, j = order[:-1].copy(), order[1:].copy()
