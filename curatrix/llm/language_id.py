@@ -33,6 +33,8 @@ from curatrix.llm.common import bounded_broadcast, staged, table, with_columns_f
 
 #: Bounds of the fit: distinct training texts for each language, characters of a training text, texts in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MOST_TEXTS = 300, 4000, 300 * 64
+#: Parts that a language's texts are drawn from side by side.
+PARTS = 16
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: Words that count fully towards a score; beyond them the mean is scaled to as many.
@@ -263,8 +265,11 @@ def training_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> d
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("draw"))
     rows = rows.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
     distinct = rows.select("lang", (F.length("text") > SAMPLE_CHARS).alias("long"), "draw").distinct()
+    # a frequent language is drawn from in PARTS tasks, and the one that joins them sees PARTS * SAMPLE_PER_LANGUAGE rows at most
+    part = Window.partitionBy("lang", "part").orderBy("long", "draw")
+    parts = distinct.withColumn("part", F.pmod("draw", F.lit(PARTS))).withColumn("place", F.row_number().over(part)).where(F.col("place") <= SAMPLE_PER_LANGUAGE)
     first = Window.partitionBy("lang").orderBy("long", "draw")
-    drawn = staged(distinct.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_PER_LANGUAGE), "language-draws")
+    drawn = staged(parts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_PER_LANGUAGE).drop("part"), "language-draws")
     languages = drawn.where("place = 1").count()
     chosen = drawn.where(F.col("place") <= max(1, min(SAMPLE_PER_LANGUAGE, MOST_TEXTS // max(1, languages)))).select("lang", "draw")
     texts = rows.join(bounded_broadcast(chosen, 32), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
