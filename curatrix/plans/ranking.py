@@ -21,6 +21,11 @@ def hash_key(value: Column, seed: str | int) -> Column:
     return F.md5(F.concat(value.cast("string"), F.lit(f":{seed}")))
 
 
+def hash_bucket(key: Column) -> Column:
+    """The first three digits of a hash_key: it ascends with the key, so ranking by both is ranking by the key."""
+    return F.substring(key, 1, 3)
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str, Column]) -> DataFrame:
     """Appends, for each name in values, the sum of its column up to and with the row, in the order. Null keys are keys of their own."""
     names = df.columns
@@ -37,6 +42,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list, values: dict[str,
     return df.join(offsets, same).select(*names, *[(F.col(f"__r_{n}") + F.col(f"__p_{n}")).alias(n) for n in values])
 
 
-def ranked(df: DataFrame, order: list, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
-    """Appends the 0-based rank in the whole order (by keys)."""
-    return running_sums(df, keys or [], order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
+def ranked(df: DataFrame, *order: Column | list, name: str = "rank", keys: list[str] | None = None) -> DataFrame:
+    """Appends the 0-based rank in the whole order (by keys): columns or lists of them, one after the other."""
+    columns = [c for part in order for c in (part if isinstance(part, list) else [part])]
+    return running_sums(df, keys or [], columns, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
