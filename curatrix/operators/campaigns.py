@@ -23,6 +23,11 @@ def follower_ratio(followers: Column, following: Column) -> Column:
     return followers / F.greatest(following, F.lit(1))
 
 
+def account_age(created: Column, at: Column) -> Column:
+    """Whole days from the account's first day on; 0 for one that begins later."""
+    return F.greatest(F.date_diff(at, created), F.lit(0))
+
+
 def risk_fusion(scores: dict[str, tuple[Column, float]]) -> Column:
     """Weighted mean of the scores that are there; null if none is."""
     total, weight = F.lit(0.0), F.lit(0.0)

@@ -216,11 +216,13 @@ def top_error_tokens(spark, sf):
     return M.top_error_tokens(df, "kind", _words())
 
 
-@query("release_gates", f"""WITH {_SINGLE}, c AS (SELECT label, {_COUNTS} FROM cells GROUP BY 1), r AS (SELECT *, {_RATES} FROM c), s AS (SELECT * FROM r WHERE label = 'scam')
-SELECT 'scam_fpr' AS gate, fpr <= 0.02e0 AS ok FROM s UNION ALL SELECT 'scam_precision', precision >= 0.9e0 FROM s UNION ALL SELECT 'scam_recall', true FROM s UNION ALL SELECT 'topic_f1', true FROM s""")
+@query("release_gates", f"""WITH {_SINGLE}, {fx.scored_sql('B', 'second')}, cells0 AS (SELECT c.label, gold = c.label AS g, CASE WHEN p_scam >= 0.55e0 THEN 'scam' WHEN p_topic >= 0.6e0 THEN 'topic_crypto' ELSE 'clean' END = c.label AS p FROM second, (VALUES ('clean'), ('topic_crypto'), ('scam')) c(label)),
+c AS (SELECT 1 AS now, label, {_COUNTS} FROM cells GROUP BY ALL UNION ALL SELECT 0, label, {_COUNTS} FROM cells0 GROUP BY ALL), r AS (SELECT *, {_RATES} FROM c),
+s AS (SELECT n.fpr, n.precision, n.recall, o.recall AS recall0, t.f1, u.f1 AS f10 FROM r n, r o, r t, r u WHERE n.now = 1 AND n.label = 'scam' AND o.now = 0 AND o.label = 'scam' AND t.now = 1 AND t.label = 'topic_crypto' AND u.now = 0 AND u.label = 'topic_crypto')
+SELECT 'scam_fpr' AS gate, fpr <= 0.02e0 AS ok FROM s UNION ALL SELECT 'scam_precision', precision >= 0.9e0 FROM s UNION ALL SELECT 'scam_recall', recall >= recall0 - 0.02e0 FROM s UNION ALL SELECT 'topic_f1', f1 >= f10 FROM s""")
 def release_gates(spark, sf):
-    now = M.single_label_metrics(predicted(spark, sf), "gold", "label")
-    return M.release_gates(now, now)
+    now, baseline = (M.single_label_metrics(predicted(spark, sf, salt), "gold", "label") for salt in ("", "B"))
+    return M.release_gates(now, baseline)
 
 
 def _long(spark, sf, salts=("",)):
@@ -300,14 +302,16 @@ def hyperparam_sweep_table(spark, sf):
 
 
 @query("bakeoff_rank", f"""WITH {_long_sql(('', 'B', 'C'))}, c AS (SELECT model, count(*) FILTER (WHERE label = 'scam' AND y = 1 AND score >= 0.5e0) AS stp, count(*) FILTER (WHERE label = 'scam' AND y = 0 AND score >= 0.5e0) AS sfp, count(*) FILTER (WHERE label = 'scam' AND y = 1) AS pos, count(*) FILTER (WHERE label = 'scam' AND y = 0) AS neg,
-  count(*) FILTER (WHERE y = 1 AND score >= 0.5e0) AS tp, count(*) FILTER (WHERE score >= 0.5e0) AS hits, sum(y) AS ys FROM long GROUP BY 1)
-SELECT model AS name, CASE WHEN model = 'm' THEN 'linear' ELSE 'tree' END AS model_type, CAST(row_number() OVER (ORDER BY {_DIV('sfp', 'neg')}, {_DIV('stp', 'pos')} DESC, {_DIV('2 * tp', 'hits + ys')} DESC, model) AS INTEGER) AS place,
-  CAST(row_number() OVER (PARTITION BY model = 'm' ORDER BY {_DIV('sfp', 'neg')}, {_DIV('stp', 'pos')} DESC, {_DIV('2 * tp', 'hits + ys')} DESC, model) AS INTEGER) AS place_in_kind FROM c""")
+  count(*) FILTER (WHERE y = 1 AND score >= 0.5e0) AS tp, count(*) FILTER (WHERE score >= 0.5e0) AS hits, sum(y) AS ys FROM long GROUP BY 1),
+k AS (SELECT *, ({_DIV('2 * stp', 'stp + sfp + pos')} + {_DIV('2 * (tp - stp)', 'hits - stp - sfp + ys - pos')}) / 2 AS macro FROM c)
+SELECT model AS name, CASE WHEN model = 'm' THEN 'linear' ELSE 'tree' END AS model_type, CAST(row_number() OVER (ORDER BY {_DIV('sfp', 'neg')}, {_DIV('stp', 'pos')} DESC, {_DIV('2 * tp', 'hits + ys')} DESC, macro DESC, model) AS INTEGER) AS place,
+  CAST(row_number() OVER (PARTITION BY model = 'm' ORDER BY {_DIV('sfp', 'neg')}, {_DIV('stp', 'pos')} DESC, {_DIV('2 * tp', 'hits + ys')} DESC, macro DESC, model) AS INTEGER) AS place_in_kind, round(macro, 9) AS macro_f1 FROM k""")
 def bakeoff_rank(spark, sf):
     scam, hit, pos = F.col("label") == "scam", F.col("score") >= 0.5, F.col("positive")
+    f1 = lambda of: S.safe_div(2 * F.count_if(of & pos & hit), F.count_if(of & hit) + F.count_if(of & pos))
     out = _long(spark, sf, ("", "B", "C")).groupBy(F.col("model").alias("name")).agg(
         S.safe_div(F.count_if(scam & ~pos & hit), F.count_if(scam & ~pos)).alias("scam_fpr"), S.safe_div(F.count_if(scam & pos & hit), F.count_if(scam & pos)).alias("scam_recall"),
-        S.safe_div(2 * F.count_if(pos & hit), F.count_if(hit) + F.count_if(pos)).alias("micro_f1"),
+        f1(F.lit(True)).alias("micro_f1"), ((f1(scam) + f1(~scam)) / 2).alias("macro_f1"),
     )
-    out = out.withColumn("macro_f1", F.col("micro_f1")).withColumn("model_type", F.when(F.col("name") == "m", "linear").otherwise("tree"))
-    return T.bakeoff_rank(out).select("name", "model_type", "place", "place_in_kind")
+    out = out.withColumn("model_type", F.when(F.col("name") == "m", "linear").otherwise("tree"))
+    return rounded(T.bakeoff_rank(out), "macro_f1").select("name", "model_type", "place", "place_in_kind", "macro_f1")
