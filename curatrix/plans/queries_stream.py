@@ -76,23 +76,23 @@ def ngram_features(spark, sf):
     return out.select("doc_id", F.aggregate(counts, F.lit(0.0), lambda a, b: a + b).cast("long").alias("n_grams"))
 
 
-def _train(spark, sf):
-    docs = fx.with_split(fx.scored(spark, sf).select("doc_id", "text", "gold"))
-    return docs, R.train_one_vs_rest(docs.where("split = 'train'"), "text", "gold")
+def _labelled(spark, sf):
+    return fx.with_split(fx.scored(spark, sf).select("doc_id", "text", "gold", "multi"))
 
 
 @query("train_ova_classifier")
 def train_ova_classifier(spark, sf):
-    docs, trained = _train(spark, sf)
+    docs = _labelled(spark, sf)
+    trained = R.train_one_vs_rest(docs.where("split = 'train'"), "text", "multi")
     return R.score_posts(docs, "text", trained).select("doc_id", "gold", "split", "p_clean", "p_topic_crypto", "p_scam")
 
 
 @query("two_stage_classifier")
 def two_stage_classifier(spark, sf):
-    docs, trained = _train(spark, sf)
-    out = R.score_posts(docs, "text", trained)
-    clean = 1 - F.greatest("p_scam", "p_topic_crypto")
-    return out.select("doc_id", "p_scam", "p_topic_crypto", clean.alias("p_clean"), F.when(F.col("p_scam") >= 0.5, "scam").when(F.col("p_topic_crypto") >= 0.5, "topic_crypto").otherwise("clean").alias("label"))
+    docs = _labelled(spark, sf)
+    stages = R.train_two_stage(docs.where("split = 'train'"), "text", "multi")
+    out = R.score_two_stage(docs, "text", stages)
+    return out.select("doc_id", "p_scam", "p_topic_crypto", "p_clean", F.when(F.col("p_scam") >= 0.5, "scam").when(F.col("p_topic_crypto") >= 0.5, "topic_crypto").otherwise("clean").alias("label"))
 
 
 @query("encode_batch")
@@ -116,9 +116,10 @@ def shared_infrastructure(spark, sf):
     return K.shared_hosts(fx.table(spark, sf, "pages").withColumn("account", F.col("page_id") % 50), "url", "account")
 
 
-@query("profile_signals", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS followers, count(*) AS following, round(count(*) FILTER (WHERE event_type = 'purchase') / greatest(count(*), 1), 9) AS ratio FROM events GROUP BY 1")
+@query("profile_signals", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS followers, count(*) AS following, round(count(*) FILTER (WHERE event_type = 'purchase') / greatest(count(*), 1), 9) AS ratio, greatest(date_diff('day', CAST(min(ts) AS DATE), DATE '2024-02-01'), 0) AS age_days FROM events GROUP BY 1")
 def profile_signals(spark, sf):
-    rows = fx.table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("followers"), F.count("*").alias("following"))
+    rows = fx.table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("followers"), F.count("*").alias("following"), F.to_date(F.min("ts")).alias("since"))
+    rows = rows.withColumn("age_days", K.account_age(F.col("since"), F.lit("2024-02-01").cast("date"))).drop("since")
     return rows.withColumn("ratio", F.round(K.follower_ratio(F.col("followers"), F.col("following")), 9))
 
 
