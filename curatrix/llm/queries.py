@@ -16,6 +16,7 @@ from curatrix.llm.token_files import op2_token_files
 from curatrix.llm.suffix_dedup import op6_suffix_dedup
 from curatrix.llm.mixing import op1_mixing
 from curatrix.llm.site_quality import op3_site_quality
+from curatrix.llm.whitening import op13_whitening
 from curatrix.llm.piece_bpe import op12_piece_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op12_piece_bpe": op12_piece_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
