@@ -15,6 +15,7 @@ from curatrix.llm.media import op10_media
 from curatrix.llm.token_files import op2_token_files
 from curatrix.llm.suffix_dedup import op6_suffix_dedup
 from curatrix.llm.mixing import op1_mixing
+from curatrix.llm.ranked_search import OP11_SQL, op11_ranked_search
 from curatrix.llm.site_quality import op3_site_quality
 from curatrix.llm.whitening import op13_whitening
 from curatrix.llm.piece_bpe import op12_piece_bpe
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk": op7_topk,
     "op5_ngram_join": op5_ngram_join,
     "op9_byte_bpe": op9_byte_bpe,
+    "op11_ranked_search": op11_ranked_search,
     "op12_piece_bpe": op12_piece_bpe,
     "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": OP7_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
