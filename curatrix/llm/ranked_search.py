@@ -41,7 +41,7 @@ ITEM_BYTES, ITEM_GROUP = 1 << 20, 256
 #: A shard has so many documents or entries of vectors at most (one document at least).
 SHARD_ROWS, SHARD_ENTRIES = 8192, 2_000_000
 #: Branches of up to so many documents are not split any more; small neighbours share a bucket of up to so many.
-SMALL, BUCKET = 16, 64
+SMALL, BUCKET = 8, 16
 #: Parts by which the tasks' lists are merged first.
 PARTS = 64
 _NO_ID = (1 << 63) - 1
