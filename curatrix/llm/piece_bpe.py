@@ -32,10 +32,12 @@ from curatrix.llm.common import table, with_columns_from_batches
 
 #: What a space becomes (fixed value), and what unknown ids decode to (fixed value).
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
+#: No piece.
+NONE = -1
 #: Kinds of pieces in a model file (fixed values).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Entries of a Python worker's caches of encoded parts and of neighbours; when full, a cache starts anew.
-CACHE_ENTRIES = 500_000
+#: Entries of a Python worker's cache of neighbours, which starts anew when full, and of each of its two generations of encoded parts.
+CACHE_ENTRIES = 600_000
 #: Parts up to so many characters are cached.
 CACHED_PART = 48
 
@@ -69,22 +71,28 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class MergeCodec:
     def __init__(self, pieces: list[tuple[str, float, int]]):
         """pieces: (text, score, kind) of each id."""
+        self.texts = [p for p, _, _ in pieces]
         self.ids = {p: k for k, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.score = {p: score for p, score, kind in pieces if kind == NORMAL}
         self.byte_ids = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((k for k, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
+        for p, k in self.ids.items():
             if len(p) > 1:  # any character may stand alone
-                self.automaton.add_word(p, len(p))
+                self.automaton.add_word(p, k)
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.shorter = {p: next(p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.ids) for p in self.ids if len(p) > 1}
+        # a code is a piece's id, or, beyond the ids, a character that is no piece
+        self.sizes = list(map(len, self.texts))
+        self.shorter = [NONE] * len(pieces)
+        for p, k in self.ids.items():
+            if len(p) > 1:
+                self.shorter[k] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), len(pieces) + ord(p[0]))
         plain = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: UNKNOWN_TEXT.encode(), CONTROL: lambda p: b""}
         self.bytes_of = [plain[kind](p) for p, _, kind in pieces]
         self.is_byte = [kind == BYTE for _, _, kind in pieces]
         self.opens_with_space = [kind == NORMAL and p.startswith(SPACE) for p, _, kind in pieces]
-        self.together: dict[tuple[str | None, str], bool] = {}
+        self.together: dict[int, bool] = {}
         self.parts = self.cuts()
 
     @classmethod
@@ -128,57 +136,65 @@ class MergeCodec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, before: str | None, piece: str) -> bool:
+    def text_of(self, code: int) -> str:
+        return self.texts[code] if code < len(self.texts) else chr(code - len(self.texts))
+
+    def fits(self, before: int, code: int) -> bool:
         """Whether the two, merged anew, are themselves again; what is found is remembered."""
         if len(self.together) >= CACHE_ENTRIES:
             self.together.clear()
-        fits = self.merge(piece) == [piece] if before is None else self.merge(before + piece) == [before, piece]
-        self.together[before, piece] = fits
+        parts = [self.text_of(c) for c in (before, code) if c != NONE]
+        fits = self.merge("".join(parts)) == parts
+        self.together[before << 21 | code] = fits
         return fits
 
-    def pieces_of(self, text: str) -> list[str]:
-        stops = list(range(1, len(text) + 1))  # of the longest piece that begins at each place
+    def codes(self, text: str) -> list[int]:
+        n, total = len(text), len(self.texts)
+        sizes, shorter, known, single = self.sizes, self.shorter, self.together.get, self.ids.get
+        longest = [NONE] * n  # the longest piece that begins at each place: matches come by their ends, so the last one is it
         if len(self.automaton):
-            for last, size in self.automaton.iter(text):
-                if last >= stops[last - size + 1]:
-                    stops[last - size + 1] = last + 1
-        failed = bytearray((len(text) >> 3) + 1)
-        found: list[str] = []
-        known, shorter = self.together.get, self.shorter.get
-        at, end, before = 0, len(text), None
-        piece = text[: stops[0]] if text else None
-        while at < end:
-            while piece is not None:
-                stop = at + len(piece)
+            for last, code in self.automaton.iter(text):
+                longest[last + 1 - sizes[code]] = code
+        for at in range(n):
+            if longest[at] == NONE:
+                longest[at] = single(text[at], total + ord(text[at]))
+        failed = bytearray((n >> 3) + 1)
+        found: list[int] = []
+        at, before = 0, NONE
+        code = longest[0] if n else NONE
+        while at < n:
+            while code != NONE:
+                stop = at + (sizes[code] if code < total else 1)
                 if not failed[stop >> 3] >> (stop & 7) & 1:
-                    fits = known((before, piece))
-                    if self.fits(before, piece) if fits is None else fits:
+                    fits = known(before << 21 | code)
+                    if self.fits(before, code) if fits is None else fits:
                         break
-                piece = shorter(piece)
-            if piece is not None:
-                found.append(piece)
-                at, before = stop, piece
-                piece = text[at : stops[at]] if at < end else None
+                code = shorter[code] if code < total else NONE
+            if code != NONE:
+                found.append(code)
+                at, before = stop, code
+                code = longest[at] if at < n else NONE
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                piece = found.pop()
-                at -= len(piece)
-                before = found[-1] if found else None
-                piece = shorter(piece)
+                code = found.pop()
+                at -= sizes[code] if code < total else 1
+                before = found[-1] if found else NONE
+                code = shorter[code] if code < total else NONE
         return found
 
+    def pieces_of(self, text: str) -> list[str]:
+        return [self.text_of(code) for code in self.codes(text)]
+
     def encode_part(self, part: str) -> list[int]:
-        pieces = self.pieces_of(part)
-        out = list(map(self.ids.get, pieces))
-        if None not in out:
-            return out
+        codes, total = self.codes(part), len(self.texts)
+        if not codes or max(codes) < total:
+            return codes
         out = []
-        for piece in pieces:
-            own = self.ids.get(piece)
-            if own is not None:
-                out.append(own)
+        for code in codes:
+            if code < total:
+                out.append(code)
             elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in piece.encode())
+                out.extend(self.byte_ids[b] for b in chr(code - total).encode())
             else:
                 out.append(self.unknown)
         return out
@@ -221,13 +237,33 @@ class MergeCodec:
             at += size
 
 
-_codecs: dict[str, tuple[MergeCodec, dict[str, bytes]]] = {}
+class Parts(dict):
+    """Encodes a part when it is first asked for. When a generation is full, it becomes the old one, and what is used of that one moves on."""
+
+    def __init__(self, codec: MergeCodec):
+        super().__init__()
+        self.codec, self.old = codec, {}
 
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = np.array(self.codec.encode_part(part), "<i4").tobytes()
+        if len(part) <= CACHED_PART:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
 
-def _codec(path: str) -> tuple[MergeCodec, dict[str, bytes]]:
+
+_codecs: dict[str, tuple[MergeCodec, Parts]] = {}
+
+
+def _codec(path: str) -> tuple[MergeCodec, Parts]:
     """The codec and the cache of encoded parts of this Python worker."""
     if path not in _codecs:
-        _codecs[path] = (MergeCodec.load(path), {})
+        codec = MergeCodec.load(path)
+        _codecs[path] = (codec, Parts(codec))
     return _codecs[path]
 
 
@@ -235,27 +271,13 @@ def encode_and_decode(df: DataFrame, model_path: str, text: str = "text") -> Dat
     """Appends piece_ids (array<int>, without begin and end) and decoded (the text that the ids give back)."""
 
     def make():
-        codec, cache = _codec(model_path)
-        cut, lookup = codec.parts.findall, cache.get
-
-        def encoded(part: str) -> bytes:
-            ids = np.array(codec.encode_part(part), "<i4").tobytes()
-            if len(part) <= CACHED_PART:
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                cache[part] = ids
-            return ids
+        codec, parts = _codec(model_path)
+        cut, lookup = codec.parts.findall, parts.__getitem__
 
         def step(texts: pa.Array) -> list[pa.Array]:
             data, decoded, ends = [], [], [0]
             for value in texts.to_pylist():
-                found = []
-                if value:
-                    parts = cut(SPACE + value.replace(" ", SPACE))
-                    found = [lookup(p) for p in parts]
-                    if None in found:
-                        found = [encoded(p) if c is None else c for p, c in zip(parts, found, strict=True)]
-                ids = b"".join(found)
+                ids = b"".join(map(lookup, cut(SPACE + value.replace(" ", SPACE)))) if value else b""
                 data.append(ids)
                 ends.append(ends[-1] + len(ids) // 4)
                 decoded.append(codec.decode(np.frombuffer(ids, "<i4").tolist()))
