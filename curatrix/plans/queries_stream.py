@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from curatrix.operators import campaigns as K
 from curatrix.operators import training as R
+from curatrix.operators import wordpiece as W
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
+from curatrix.sources.files import staged
 from curatrix.streaming import flags as G
 
 _U = fx.uniform_sql("doc_id", "scam")
@@ -97,11 +99,8 @@ def two_stage_classifier(spark, sf):
 
 @query("encode_batch")
 def encode_batch(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("length(w) between 1 and 6").groupBy("w").count().orderBy(F.desc("count"), "w").limit(2000)
-    vocabulary = [r[0] for r in words.collect()]  # 2,000 words at most
-    vocabulary += [p + c for c in "abcdefghijklmnopqrstuvwxyz" for p in ("", "##") if p + c not in vocabulary]
-    out = R.encode_batch(docs, "doc_id", "text", vocabulary)
+    vocabulary = staged(W.vocabulary_from(fx.table(spark, sf, "benchmark"), "text"), "vocabulary")
+    out = W.encode_batch(fx.table(spark, sf, "documents"), "doc_id", "text", vocabulary)
     return out.select("doc_id", F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string"))).alias("ids"), F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("n"))
 
 
