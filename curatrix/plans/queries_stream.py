@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.operators import campaigns as K
+from curatrix.operators import near_duplicates as near
 from curatrix.operators import training as R
 from curatrix.operators import wordpiece as W
 from curatrix.plans import fixtures as fx
@@ -104,6 +105,19 @@ def encode_batch(spark, sf):
     return out.select("doc_id", F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string"))).alias("ids"), F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("n"))
 
 
+_NEAR = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * i >= 4 * (a.n + b.n - i)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id), c AS (SELECT doc_id, min(root) AS cluster FROM r GROUP BY 1)
+SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS n FROM c"""
+
+
+@query("near_duplicate_clusters", _NEAR)
+def near_duplicate_clusters(spark, sf):
+    return near.near_duplicate_clusters(fx.table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query("coordinated_bursts", """SELECT md5(text) AS digest, count(*) AS n_posts, count(DISTINCT source) AS n_handles FROM documents GROUP BY md5(text), doc_id // 10 HAVING count(DISTINCT source) >= 2""")
 def coordinated_bursts(spark, sf):
     posts = fx.table(spark, sf, "documents").withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60))
