@@ -61,6 +61,22 @@ def stream_scored_metrics(spark, sf):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+_DRIFT = """WITH b AS (SELECT event_type, count(*) / (SELECT count(*) FROM events) AS baseline FROM events GROUP BY 1), d AS (SELECT date_trunc('day', ts) AS day, event_type FROM events),
+w AS (SELECT day, count(*) AS total FROM d GROUP BY 1 HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)), c AS (SELECT day, event_type, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT strftime(day, '%Y-%m-%d') AS day, event_type, coalesce(n, 0) AS n, total, round(coalesce(n, 0) / total, 9) AS rate, round(baseline, 9) AS baseline, abs(coalesce(n, 0) / total - baseline) > 0.01 AS drifted
+FROM w CROSS JOIN b LEFT JOIN c USING (day, event_type)"""
+
+
+@query("stream_rate_drift", _DRIFT)
+def stream_rate_drift(spark, sf):
+    table = fx.table(spark, sf, "events")
+    total = table.agg(F.count("*").alias("total"))
+    baseline = table.groupBy("event_type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("event_type", F.col("n") / F.col("total"))
+    events = G.read_table_stream(spark, f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    out = G.run_by_batches(G.rate_drift(events, "at", "event_type", "1 day", "1 hour", baseline, 0.01), "stream-drift")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total", F.round("rate", 9).alias("rate"), F.round("baseline", 9).alias("baseline"), "drifted")
+
+
 @query("policy_actions", f"WITH {fx.SCORED} SELECT CASE WHEN p_scam >= 0.9e0 THEN 'hide' WHEN p_scam >= 0.6e0 THEN 'warn' WHEN p_scam >= 0.4e0 THEN 'badge' ELSE 'none' END AS action, count(*) AS n FROM scored GROUP BY 1")
 def policy_actions(spark, sf):
     return fx.scored(spark, sf).groupBy(G.policy_action(F.col("p_scam"), [("hide", 0.9), ("warn", 0.6), ("badge", 0.4)]).alias("action")).agg(F.count("*").alias("n"))
