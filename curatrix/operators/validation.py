@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.labels import constants
@@ -85,8 +85,9 @@ def validate_threads(threads: DataFrame, key: str) -> DataFrame:
 
 def validate_accounts(accounts: DataFrame, line: str) -> DataFrame:
     """On (line, handle, category, followers, priority): the second and later rows of a handle are duplicates."""
-    place = F.row_number().over(Window.partitionBy(F.lower("handle")).orderBy(line))
-    rows = accounts.withColumn("again", F.col("handle").isNotNull() & (place > 1))
+    named = accounts.where(F.col("handle").isNotNull())
+    first = named.groupBy(F.lower("handle").alias("__key")).agg(F.min(line).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    rows = accounts.join(first, F.lower("handle") == F.col("__key"), "left").withColumn("again", F.col(line) > F.col("__first"))
     return findings(rows, line, [
         ("error", "no handle", F.coalesce(F.trim("handle"), F.lit("")) == ""), ("error", "handle with @", F.col("handle").startswith("@")),
         ("error", "unknown category", ~F.coalesce(F.col("category"), F.lit("")).isin(CATEGORIES)), ("error", "negative followers", F.col("followers") < 0),
