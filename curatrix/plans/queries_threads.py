@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.labels import CLASSES, TAXONOMY
 from curatrix.operators import threads as H
+from curatrix.operators import snapshots as N
 from curatrix.operators import validation as V
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
@@ -81,6 +82,44 @@ def snapshot_to_posts(spark, sf):
     return S.snapshot_to_posts(S.read_snapshots(_snapshot_lines(spark, sf))).select("id", "text", "handle", "likes")
 
 
+_CHAIN = "event_id % 20 < 1 + (event_id // 20) % 20"
+
+
+@query("snapshot_edit_chains", f"""WITH e AS (SELECT event_id, CASE WHEN {_CHAIN} THEN event_id // 20 * 20 ELSE event_id END AS root, CASE WHEN {_CHAIN} THEN event_id % 20 + 1 ELSE 1 END AS version, (event_id * 37) % 101 AS likes FROM events WHERE event_id IS NOT NULL)
+SELECT CAST(event_id AS VARCHAR) AS id, CAST(root AS VARCHAR) AS root, CAST(version AS INTEGER) AS version, likes, likes - lag(likes) OVER (PARTITION BY root ORDER BY version) AS change_likes FROM e""")
+def snapshot_edit_chains(spark, sf):
+    """Chains of 1 to 20 versions; a snapshot tells its own id and the one before only."""
+    ev = fx.table(spark, sf, "events").where("event_id is not null")
+    here, own = F.expr("event_id % 20 < 1 + (event_id div 20) % 20 and event_id % 20 > 0"), F.col("event_id").cast("string")
+    history = F.when(here, F.array((F.col("event_id") - 1).cast("string"), own)).otherwise(F.array(own))
+    data = F.struct(own.alias("id"), history.alias("edit_history_tweet_ids"), F.struct((F.col("event_id") * 37 % 101).alias("like_count")).alias("public_metrics"))
+    lines = ev.select(F.to_json(F.struct(own.alias("snapshot_id"), own.alias("post_id"), F.struct(data.alias("data")).alias("raw"))).alias("value"))
+    posts = S.snapshot_to_posts(S.read_snapshots(lines)).select("id", "history", "likes")
+    chains = N.edit_chains(posts)
+    return N.metric_changes(posts.join(chains, "id").select("id", "root", "version", "likes"), "root", ["version"], ["likes"])
+
+
+@query("snapshot_links", """SELECT CAST(event_id AS VARCHAR) AS id, 'url' AS kind, 'https://h' || CAST(event_id % 7 AS VARCHAR) || '.test/' || CAST(event_id AS VARCHAR) AS target, CAST(NULL AS VARCHAR) AS text FROM events WHERE event_id % 3 > 0
+UNION ALL SELECT CAST(event_id AS VARCHAR), 'url', 'https://t.test/' || CAST(event_id AS VARCHAR), NULL FROM events WHERE event_id % 3 = 2
+UNION ALL SELECT CAST(event_id AS VARCHAR), 'quoted', CAST(user_id AS VARCHAR), 'post of ' || CAST(user_id AS VARCHAR) FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT CAST(event_id AS VARCHAR), 'replied_to', CAST(event_id + 1 AS VARCHAR), NULL FROM events WHERE event_id % 5 = 0""")
+def snapshot_links(spark, sf):
+    """Urls of texts and long texts, repeated ones once, and references to posts that are included or aren't."""
+    ev = fx.table(spark, sf, "events")
+    own, m = F.col("event_id").cast("string"), lambda k: F.col("event_id") % k
+    short = F.concat(F.lit("https://t.test/"), own)
+    link = lambda expanded: F.struct(short.alias("url"), expanded.alias("expanded_url"))
+    long = link(F.concat(F.lit("https://h"), m(7).cast("string"), F.lit(".test/"), own))
+    note = F.when(m(3) == 2, F.struct(F.struct(F.array(long, link(F.lit(None).cast("string"))).alias("urls")).alias("entities")))
+    refers = F.array_compact(F.array(F.when(m(2) == 0, F.struct(F.col("user_id").cast("string").alias("id"), F.lit("quoted").alias("type"))), F.when(m(5) == 0, F.struct((F.col("event_id") + 1).cast("string").alias("id"), F.lit("replied_to").alias("type")))))
+    others = F.array(F.struct(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("post of "), F.col("user_id").cast("string")).alias("text")))
+    data = F.struct(own.alias("id"), F.when(m(3) > 0, F.struct(F.array(long, long).alias("urls"))).alias("entities"), note.alias("note_tweet"), refers.alias("referenced_tweets"))
+    lines = ev.select(F.to_json(F.struct(own.alias("snapshot_id"), own.alias("post_id"), F.struct(data.alias("data"), F.struct(others.alias("tweets")).alias("includes")).alias("raw"))).alias("value"))
+    posts = S.snapshot_to_posts(S.read_snapshots(lines))
+    urls = posts.select("id", F.lit("url").alias("kind"), F.explode("urls").alias("target"), F.lit(None).cast("string").alias("text"))
+    return urls.unionByName(posts.select("id", F.explode("refers").alias("r")).select("id", F.col("r.type").alias("kind"), F.col("r.id").alias("target"), "r.text"))
+
+
 @query("write_report", f"WITH {fx.POSTS}, e AS (SELECT unnest(labels) AS label FROM posts) SELECT label, count(*) AS n FROM e GROUP BY 1")
 def write_report(spark, sf):
     path = S.shared_path(spark, "report")

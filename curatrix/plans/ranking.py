@@ -46,3 +46,21 @@ def ranked(df: DataFrame, *order: Column | list, name: str = "rank", keys: list[
     """Appends the 0-based rank in the whole order (by keys): columns or lists of them, one after the other."""
     columns = [c for part in order for c in (part if isinstance(part, list) else [part])]
     return running_sums(df, keys or [], columns, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
+
+
+def previous_values(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Appends, for each name in values, `previous_<name>` of the row before in the order, by keys; null on a key's first row.
+
+    A key of any size is cut into ranges. A boundary between ranges cuts one key at most, so there are no more rows to carry over than ranges.
+    """
+    names = df.columns
+    ranges = staged(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    held = F.struct(*values)
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
+    ends = ranges.groupBy(*keys, "__range").agg(F.max_by(held, F.struct(*order)).alias("__last"))
+    carried = ends.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__range"))).where("__carried is not null")
+    carried = carried.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__range").alias("__r"), "__carried")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys], F.col("__range") == F.col("__r"))
+    rows = ranges.withColumn("__before", F.lag(held).over(inside)).join(F.broadcast(carried), same, "left")
+    before = F.coalesce("__before", "__carried")
+    return rows.select(*names, *[before[v].alias(f"previous_{v}") for v in values])

@@ -105,14 +105,23 @@ def read_snapshots(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def snapshot_to_posts(snapshots: DataFrame) -> DataFrame:
-    """Posts of payloads: the long text if there is one, author by id from the users included."""
+    """Posts of payloads: the long text if there is one, author by id from the users included, edit ids from the oldest on,
+    urls of text and long text (expanded ones, if told) once each, and referenced posts with their text if they are included."""
     get = lambda path, kind="string": F.try_variant_get("raw", f"$.{path}", kind)
+    listed = lambda path, kind: F.coalesce(get(path, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
     users = get("includes.users", "array<struct<id:string,username:string>>")
     author = F.get(F.transform(F.filter(users, lambda u: u["id"] == F.col("author_id")), lambda u: u["username"]), 0)
-    rows = snapshots.withColumn("author_id", get("data.author_id"))
+    link = "struct<url:string,expanded_url:string>"
+    links = F.concat(listed("data.entities.urls", link), listed("data.note_tweet.entities.urls", link))
+    urls = F.array_distinct(F.array_compact(F.transform(links, lambda u: F.coalesce(u["expanded_url"], u["url"]))))
+    others = listed("includes.tweets", "struct<id:string,text:string>")
+    told = lambda r: F.get(F.transform(F.filter(F.col("others"), lambda t: t["id"] == r["id"]), lambda t: t["text"]), 0)
+    references = F.transform(F.col("referred"), lambda r: F.struct(r["type"].alias("type"), r["id"].alias("id"), told(r).alias("text")))
+    rows = snapshots.withColumns({"author_id": get("data.author_id"), "others": others, "referred": listed("data.referenced_tweets", "struct<id:string,type:string>")})
     return rows.select(
         get("data.id").alias("id"), F.coalesce(get("data.note_tweet.text"), get("data.text")).alias("text"), get("data.created_at").alias("created_at"),
         F.lower(author).alias("handle"), get("data.public_metrics.like_count", "long").alias("likes"), "retrieved_at",
+        listed("data.edit_history_tweet_ids", "string").alias("history"), urls.alias("urls"), references.alias("refers"),
     )
 
 
