@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.plans.ranking import previous_values, running_sums
 
-def coordinated_bursts(posts: DataFrame, text: str, handle: str, at: str, width: str = "10 minutes", least: int = 2) -> DataFrame:
-    """(digest, start, n_posts, n_handles) of texts that several accounts post within a window."""
-    rows = posts.groupBy(F.md5(text).alias("digest"), F.window(at, width).alias("w")).agg(F.count("*").alias("n_posts"), F.count_distinct(handle).alias("n_handles"))
-    return rows.where(F.col("n_handles") >= least).select("digest", F.col("w.start").alias("start"), "n_posts", "n_handles")
+
+def bursts(posts: DataFrame, what: str, handle: str, at: str, gap: str = "10 minutes", least: int = 2) -> DataFrame:
+    """(what, start, end, n_posts, n_handles) of runs of posts with the same `what` that several accounts take part in.
+
+    A run ends where nothing follows within the gap, wherever that is: no window's edge cuts it. Posts of one `what`, however many, are
+    ordered and counted by ranges. Null texts, hosts or times take no part.
+    """
+    rows = posts.select(F.col(what).alias("what"), F.col(handle).alias("handle"), F.col(at).alias("at")).where("what is not null and at is not null")
+    ordered = previous_values(rows, ["what"], ["at", "handle"], ["at"])
+    begins = F.col("previous_at").isNull() | (F.col("at") >= F.col("previous_at") + F.expr(f"interval {gap}"))
+    runs = running_sums(ordered, ["what"], ["at", "handle"], {"run": begins.cast("long")})
+    out = runs.groupBy("what", "run").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("n_posts"), F.count_distinct("handle").alias("n_handles"))
+    return out.where(F.col("n_handles") >= least).select(F.col("what").alias(what), "start", "end", "n_posts", "n_handles")
+
+
+def coordinated_bursts(posts: DataFrame, text: str, handle: str, at: str, gap: str = "10 minutes", least: int = 2) -> DataFrame:
+    """bursts() of equal texts, told by their digest."""
+    return bursts(posts.withColumn("digest", F.md5(text)), "digest", handle, at, gap, least)
+
+
+def link_bursts(posts: DataFrame, urls: str, handle: str, at: str, gap: str = "10 minutes", least: int = 2) -> DataFrame:
+    """bursts() of links to the same host; a post counts once for each host."""
+    hosts = F.array_distinct(F.array_compact(F.transform(urls, lambda u: F.lower(F.try_parse_url(u, F.lit("HOST"))))))
+    return bursts(posts.withColumn("host", F.explode(hosts)), "host", handle, at, gap, least)
 
 
 def shared_hosts(rows: DataFrame, url: str, account: str, least: int = 2) -> DataFrame:

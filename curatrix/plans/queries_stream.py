@@ -134,10 +134,21 @@ def near_duplicate_clusters(spark, sf):
     return near.near_duplicate_clusters(fx.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("coordinated_bursts", """SELECT md5(text) AS digest, count(*) AS n_posts, count(DISTINCT source) AS n_handles FROM documents GROUP BY md5(text), doc_id // 10 HAVING count(DISTINCT source) >= 2""")
+def _runs(what: str, source: str) -> str:
+    return f"""WITH p AS ({source}), q AS (SELECT *, lag(t) OVER (PARTITION BY {what} ORDER BY t, handle) AS before FROM p), r AS (SELECT *, sum(CASE WHEN before IS NULL OR t >= before + 600 THEN 1 ELSE 0 END) OVER (PARTITION BY {what} ORDER BY t, handle ROWS UNBOUNDED PRECEDING) AS run FROM q)
+SELECT {what}, min(t) AS start, max(t) AS "end", count(*) AS n_posts, count(DISTINCT handle) AS n_handles FROM r GROUP BY {what}, run HAVING count(DISTINCT handle) >= 2"""
+
+
+@query("coordinated_bursts", _runs("digest", "SELECT md5(text) AS digest, source AS handle, 1704067200 + doc_id * 60 AS t FROM documents"))
 def coordinated_bursts(spark, sf):
     posts = fx.table(spark, sf, "documents").withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60))
-    return K.coordinated_bursts(posts, "text", "source", "at").select("digest", "n_posts", "n_handles")
+    return K.coordinated_bursts(posts, "text", "source", "at").withColumns({c: F.unix_timestamp(c) for c in ("start", "end")})
+
+
+@query("coordinated_link_bursts", _runs("host", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, page_id % 50 AS handle, 1704067200 + page_id * 97 AS t FROM pages"))
+def coordinated_link_bursts(spark, sf):
+    posts = fx.table(spark, sf, "pages").select(F.array("url", "url").alias("urls"), (F.col("page_id") % 50).alias("account"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 97).alias("at"))
+    return K.link_bursts(posts, "urls", "account", "at").withColumns({c: F.unix_timestamp(c) for c in ("start", "end")})
 
 
 @query("shared_infrastructure", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, count(DISTINCT page_id % 50) AS n_accounts, count(*) AS n_urls FROM pages GROUP BY 1 HAVING count(DISTINCT page_id % 50) >= 2")

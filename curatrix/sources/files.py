@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.labels import constants, normalize_change_labels
@@ -88,6 +88,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", place.alias("line_no"))
 
 
+def lines_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): line counts a file's lines from 1, blank ones too, in any number of splits.
+
+    A split's rows are neighbours in one task, so a row's place in its split is its distance from the split's first row. One pass counts the
+    lines of each split, sums before a split come from that table (a row for each split), and no line is moved.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    splits = staged(rows.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("n")), "splits")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = splits.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(places, ["file", "start"]).select("value", "file", (F.col("row") + F.col("shift")).alias("line"))
+
+
 def read_change_list(spark: SparkSession, path: str) -> DataFrame:
     """(id, new_labels, valid) of lines `id label[ ,label]`; # begins a comment; the last line of an id holds."""
     lines = numbered_lines(spark, path).withColumn("value", F.trim(F.regexp_replace("value", "#.*$", ""))).where("value <> ''")
