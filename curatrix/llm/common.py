@@ -112,7 +112,8 @@ def with_columns_from_batches(
     """
     bounded_batches(df.sparkSession)
     keep = without(df, [f.name for f in fields])
-    marked = keep.select("*", *[df[f"`{c}`"].alias(f"__in{k}") for k, c in enumerate(inputs)])
+    own = uuid.uuid4().hex  # so that no column of the user's has the name of an input's copy
+    marked = keep.select("*", *[df[f"`{c}`"].alias(f"__in{k}_{own}") for k, c in enumerate(inputs)])
     names, extra = keep.columns, len(inputs)
     schema = T.StructType([*keep.schema.fields, *fields])
 

@@ -39,7 +39,10 @@ PARTS = 16
 ROUNDS = 3
 #: Words that count fully towards a score; beyond them the mean is scaled to as many.
 EVIDENCE_WORDS = 50
-LONGEST_PIECE = 12
+#: Characters of the public vocabulary's longest pieces; a model goes by the longest of its own.
+LONGEST_PIECE = 16
+#: Words of up to so many characters have sums that doubles can hold; those of longer ones are summed as logarithms, so many characters at once.
+PLAIN_CHARS, LOG_CHARS = 64, 200_000
 #: Words of up to so many characters are scored side by side, and so many at once; longer ones by themselves.
 SIDE_BY_SIDE, WORDS_AT_ONCE = 40, 20_000
 #: Cells (words by languages) of the cache of a Python worker; when full it starts anew.
@@ -63,7 +66,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(k).replace("▁", "_").lower() for k in range(model.get_piece_size())}
-    return sorted(p for p in pieces if regex.fullmatch(r"_?[\p{L}\p{M}]+", p) and len(p) <= LONGEST_PIECE)
+    return sorted(p for p in pieces if regex.fullmatch(r"_?[\p{L}\p{M}]+", p))
 
 
 class PieceModel:
@@ -72,6 +75,7 @@ class PieceModel:
         self.languages, self.pieces = languages, pieces
         self.weights = weights
         self.index = {p: k for k, p in enumerate(pieces) if p != "_"}
+        self.longest = max(map(len, self.index), default=1)
         # pieces by hashes: sorted, and a table of which high bits there are
         hashes = np.array([self._hash(p) for p in self.index], np.uint64)
         order = np.argsort(hashes)
@@ -106,7 +110,7 @@ class PieceModel:
         h = np.ones(len(begin), np.uint64)
         starts, ends, pieces = [], [], []
         single = np.zeros(len(codes), bool)
-        for size in range(1, LONGEST_PIECE + 1):
+        for size in range(1, self.longest + 1):
             if size > 1:
                 keep = room >= size
                 begin, room, h = begin[keep], room[keep], h[keep]
@@ -131,7 +135,7 @@ class PieceModel:
     @staticmethod
     def steps(far: np.ndarray) -> list[np.ndarray]:
         """Indices of arcs that are equally far, near ones first; in their order."""
-        order = np.argsort(far.astype(np.uint16), kind="stable")
+        order = np.argsort(far, kind="stable")
         return np.split(order, np.flatnonzero(np.diff(far[order])) + 1) if len(order) else []
 
     def forward_many(self, words: list[str]) -> np.ndarray:
@@ -152,11 +156,11 @@ class PieceModel:
         sums: list[np.ndarray] = [np.ones(len(self.languages)), other]
         scale = np.zeros(len(self.languages))
         for end in range(2, len(text) + 1):
-            found = [(start, k) for start in range(max(0, end - LONGEST_PIECE), end) if (k := index(text[start:end])) is not None]
+            found = [(start, k) for start in range(max(0, end - self.longest), end) if (k := index(text[start:end])) is not None]
             total = sum((sums[start - end] * self.weights[k] for start, k in found), np.zeros(len(self.languages)))
             if not any(start == end - 1 for start, _ in found):
                 total = total + sums[-1] * other
-            sums = [*sums[1 - LONGEST_PIECE :], total]
+            sums = [*sums[-self.longest :], total]
             if end % 24 == 0:
                 top = np.maximum(np.max(sums, axis=0), 1e-300)
                 scale += np.log(top)
@@ -168,7 +172,7 @@ class PieceModel:
         """Expected piece counts of each language's words: forward and backward sums over the arcs."""
         out = np.zeros_like(self.weights)
         for language, words in enumerate(counts):
-            weights, listed = self.weights[:, language], sorted(w for w in words if len(w) <= 64)
+            weights, listed = self.weights[:, language], sorted(w for w in words if len(w) <= PLAIN_CHARS)
             for k in range(0, len(listed), WORDS_AT_ONCE):
                 part = listed[k : k + WORDS_AT_ONCE]
                 start, end, piece, at, word = self.arcs(part)
@@ -181,12 +185,33 @@ class PieceModel:
                 whole, times = alpha[at[1:] - 1], np.array([words[w] for w in part], float)
                 share = np.where(whole > 0, times / np.where(whole > 0, whole, 1), 0)
                 np.add.at(out[:, language], piece, share[word] * alpha[start] * beta[end] * weights[piece])
+            self.expected_long([w for w in words if len(w) > PLAIN_CHARS], words, weights, out[:, language])
         return out
 
+    def expected_long(self, listed: list[str], times: Counter, weights: np.ndarray, out: np.ndarray) -> None:
+        """Adds what words of any length have: the same sums, as logarithms."""
+        with np.errstate(divide="ignore"):
+            logs = np.log(weights)
+        while listed:
+            part, size = [], 0
+            while listed and (not part or size + len(listed[-1]) <= LOG_CHARS):
+                size += len(listed[-1])
+                part.append(listed.pop())
+            start, end, piece, at, word = self.arcs(part)
+            alpha, beta = np.full(at[-1] + 1, -np.inf), np.full(at[-1] + 1, -np.inf)
+            alpha[at[:-1]] = beta[at[1:] - 1] = 0.0
+            for step in self.steps(end - at[word]):
+                np.logaddexp.at(alpha, end[step], alpha[start[step]] + logs[piece[step]])
+            for step in self.steps(at[word + 1] - 1 - end):
+                np.logaddexp.at(beta, start[step], beta[end[step]] + logs[piece[step]])
+            whole = alpha[at[1:] - 1]
+            share = np.exp(alpha[start] + beta[end] + logs[piece] - np.where(np.isfinite(whole), whole, np.inf)[word])
+            np.add.at(out, piece, share * np.array([times[w] for w in part], float)[word])
+
     @classmethod
     def fit(cls, counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> PieceModel:
-        languages = sorted(counts)
-        used = {("_" + w)[a:b] for words in counts.values() for w in words for a in range(len(w) + 1) for b in range(a + 1, min(a + LONGEST_PIECE, len(w) + 1) + 1)}
+        languages, longest = sorted(counts), max(map(len, pieces), default=1)
+        used = {("_" + w)[a:b] for words in counts.values() for w in words for a in range(len(w) + 1) for b in range(a + 1, min(a + longest, len(w) + 1) + 1)}
         pieces = [p for p in pieces if p in used]
         start = np.full((len(pieces) + 1, len(languages)), 1.0)
         model = cls(languages, pieces, start / start.sum(axis=0))
