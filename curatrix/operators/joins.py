@@ -73,14 +73,3 @@ def reconcile(index: DataFrame, actual: DataFrame, key: str, compared: list[str]
     for c in compared:
         status = status.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), f"{c} differs")
     return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias(key), status.otherwise("ok").alias("status"))
-
-
-def audit_files(manifest: DataFrame, files: DataFrame, largest: int = 30 << 20) -> DataFrame:
-    """(path, problem) of manifest (path, size_bytes, sha256) against files read as binary (path, length, content)."""
-    real = files.select(F.col("path").alias("real"), F.col("length"), F.sha2("content", 256).alias("digest"))
-    out = manifest.join(real, manifest.path == real.real, "full_outer")
-    problem = (
-        F.when(F.col("real").isNull(), "missing").when(F.col("path").isNull(), "untracked").when(F.col("size_bytes") != F.col("length"), "size differs")
-        .when(F.col("sha256") != F.col("digest"), "digest differs").when(F.col("length") > largest, "too large")
-    )
-    return out.select(F.coalesce("path", "real").alias("path"), problem.alias("problem")).where("problem is not null")

@@ -9,6 +9,8 @@ from curatrix.operators import counts as C
 from curatrix.operators import joins as J
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
+from curatrix.sources import files as S
+from curatrix.sources import stored as Z
 
 _SPLITS = [name for name, _ in fx.SPLITS]
 
@@ -100,16 +102,30 @@ def manifest_reconcile(spark, sf):
     return J.reconcile(index, actual, "run_id", ["n"])
 
 
-@query("file_audit", """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN strlen(text) + 1 ELSE strlen(text) END AS n, CASE WHEN doc_id % 10 = 2 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 3),
-r AS (SELECT doc_id, strlen(text) AS n, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 4)
-SELECT CAST(coalesce(m.doc_id, r.doc_id) AS VARCHAR) AS path, CASE WHEN r.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'untracked' WHEN m.n <> r.n THEN 'size differs' WHEN m.h <> r.h THEN 'digest differs' ELSE 'too large' END AS problem
-FROM m FULL OUTER JOIN r ON m.doc_id = r.doc_id WHERE r.doc_id IS NULL OR m.doc_id IS NULL OR m.n <> r.n OR m.h <> r.h OR r.n > 20000""")
+_AUDITED = """b AS (SELECT doc_id // 16 AS b, string_agg(coalesce(text, '') || CASE WHEN doc_id // 16 % 10 = 2 THEN ' ' ELSE chr(10) END, '' ORDER BY doc_id) || CASE WHEN doc_id // 16 % 10 = 1 THEN 'x' ELSE '' END AS content FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (SELECT b % 10 AS r, CASE WHEN b % 10 = 6 THEN 'model/' ELSE 'data/' END || CAST(b AS VARCHAR) || '.bin' AS path, strlen(content) AS length, sha256(content) AS sha256 FROM b),
+p AS (SELECT path, 'missing' AS problem FROM f WHERE r = 3 UNION ALL SELECT path, 'untracked' FROM f WHERE r = 4 UNION ALL SELECT path, 'size differs' FROM f WHERE r = 1 UNION ALL SELECT path, 'digest differs' FROM f WHERE r IN (1, 2)
+UNION ALL SELECT path, 'too large' FROM f WHERE r = 6 AND length > 20000 UNION ALL SELECT '../' || path, 'bad path' FROM f WHERE r = 5)"""
+
+
+@query("file_audit", f"WITH {_AUDITED} SELECT p.path, problem, f.length, f.sha256 FROM p LEFT JOIN f ON p.path = f.path AND r <> 3")
 def file_audit(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
-    size, digest = F.octet_length("text"), F.sha2("text", 256)
-    manifest = docs.where("doc_id % 10 <> 3").select("path", F.when(F.col("doc_id") % 10 == 1, size + 1).otherwise(size).alias("size_bytes"), F.when(F.col("doc_id") % 10 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(digest).alias("sha256"))
-    files = docs.where("doc_id % 10 <> 4").select("path", size.alias("length"), F.col("text").cast("binary").alias("content"))
-    return J.audit_files(manifest, files, largest=20_000)
+    """All texts as files of 16; the manifest is of what was written. Then files change, are added and left out, and what lies there is read."""
+    root, kept = S.shared_path(spark, "audited"), F.col("b") % 10
+    docs = fx.table(spark, sf, "documents").where("doc_id is not null").withColumn("b", F.expr("doc_id div 16"))
+    place = F.concat(F.when(kept == 6, "model/").otherwise("data/"), F.col("b").cast("string"), F.lit(".bin"))
+    rows = docs.select("b", place.alias("path"), F.col("doc_id").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    first = Z.write_files(rows.withColumn("content", F.concat("text", F.lit("\n"))).where(kept != 3), root)
+    # some are written again: of the same size with other bytes, or with a byte more
+    more = rows.groupBy("b", "path").agg((F.max("part") + 1).alias("part"), F.lit("x").alias("content")).where(kept == 1)
+    Z.write_files(rows.where(kept.isin(1, 2)).select("b", "path", "part", F.concat("text", F.when(kept == 2, " ").otherwise("\n")).alias("content")).unionByName(more, allowMissingColumns=True), root)
+    numbered = first.withColumn("b", F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long")).where(kept != 4)
+    told = numbered.select("path", F.col("length").alias("size_bytes"), "sha256")
+    lost = rows.where(kept == 3).select("path").distinct().select("path", F.lit(1).cast("long").alias("size_bytes"), F.lit("").alias("sha256"))
+    outside = numbered.where(kept == 5).select(F.concat(F.lit("../"), "path").alias("path"), F.col("length").alias("size_bytes"), "sha256")
+    files = S.staged(Z.file_digests(spark, root), "digests")
+    found = Z.audit_files(told.unionByName(lost).unionByName(outside), files, largest=20_000)
+    return found.join(files, "path", "left").select("path", "problem", "length", "sha256")
 
 
 @query("label_counts", f"WITH {SPLIT_ROWS}, e AS (SELECT split, unnest(labels) AS label FROM split_rows) SELECT split, label, count(*) AS n FROM e GROUP BY ALL")

@@ -11,6 +11,7 @@ from curatrix.operators import validation as V
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
 from curatrix.sources import files as S
+from curatrix.sources import stored as Z
 
 _KNOWN = [label for labels in TAXONOMY.values() for label in labels]
 _ONE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -127,13 +128,24 @@ def write_report(spark, sf):
     return spark.read.option("header", True).schema("label string, n long").csv(path)
 
 
-@query("dataset_snapshot", "SELECT source, count(*) AS n_rows, bit_xor(CAST(('0x' || substr(sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)), 1, 12)) AS BIGINT)) AS digest_xor FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY 1")
+@query("dataset_snapshot", """SELECT 'posts' AS snapshot_id, 1 AS number, 'documents' AS name, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM documents
+UNION ALL SELECT 'posts-v2', 2, 'documents', count(*), CAST(sum(length(text) + 1) AS BIGINT) FROM documents UNION ALL SELECT 'replies', 3, 'conversations', count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations
+UNION ALL SELECT 'replies', 3, 'documents', count(*), CAST(sum(length(text)) AS BIGINT) FROM documents""")
 def dataset_snapshot(spark, sf):
-    from curatrix.operators.counts import fingerprint
-
-    now = fingerprint(fx.table(spark, sf, "documents"), ["doc_id", "text"], ["source"])
-    indexed = now.where("source in ('src1', 'src2')")
-    return now.join(indexed.select("n_rows", "digest_sum", "digest_xor"), ["n_rows", "digest_sum", "digest_xor"], "left_anti").select("source", "n_rows", "digest_xor")
+    """Stored, stored again in another order, changed under the same name, and two tables together; then the index, and rows read back."""
+    root, docs, talk = S.shared_path(spark, "snapshots"), fx.table(spark, sf, "documents"), fx.table(spark, sf, "conversations")
+    Z.append_snapshot(spark, root, "posts", {"documents": docs})
+    Z.append_snapshot(spark, root, "posts", {"documents": docs.repartition("lang", "doc_id")})
+    Z.append_snapshot(spark, root, "posts", {"documents": docs.withColumn("text", F.concat("text", F.lit(".")))})
+    Z.append_snapshot(spark, root, "replies", {"documents": docs, "conversations": talk})
+    Z.append_snapshot(spark, root, "others", {"conversations": talk.repartition("turn"), "documents": docs})
+    index = Z.snapshot_index(spark, root).select("snapshot_id", F.col("number").cast("int").alias("number"), F.explode("tables").alias("t")).select("snapshot_id", "number", "t.name", "t.n_rows")
+    out = None
+    for entry in [("posts", "documents"), ("posts-v2", "documents"), ("replies", "conversations"), ("replies", "documents")]:
+        sums = Z.read_snapshot(spark, root, *entry).agg(F.sum(F.length("text")).alias("n_characters"))
+        one = sums.select(F.lit(entry[0]).alias("snapshot_id"), F.lit(entry[1]).alias("name"), "n_characters")
+        out = one if out is None else out.unionByName(one)
+    return index.join(out, ["snapshot_id", "name"], "full_outer")
 
 
 def _payload(spark, sf):
