@@ -47,7 +47,21 @@ def largest_remainder(spark, sf):
     return P.largest_remainder(groups, "size", RATIOS, ["s"]).select("s", "split", "quota")
 
 
-@query("stratified_split", f"""WITH {fx.SCORED}, {_QUOTAS}, b AS (SELECT *, coalesce(sum(quota) OVER (PARTITION BY s ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+#: Row by row: a is what the splits have of the set, c what is left of their sizes, h the split that this row goes to.
+_DEAL = f"""g AS (SELECT s, size, row_number() OVER (ORDER BY size DESC, '["' || replace(s, '|', '","') || '"]') AS i FROM (SELECT {_SET} AS s, count(*) AS size FROM scored GROUP BY 1)),
+v AS (SELECT *, (SELECT count(*) FROM scored) * ratio AS x FROM (VALUES (1, 'train', 0.6e0), (2, 'valid', 0.1e0), (3, 'calib', 0.05e0), (4, 'holdout', 0.25e0)) v(place, split, ratio)),
+z AS (SELECT place, floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, place DESC) <= (SELECT count(*) FROM scored) - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS room FROM v),
+m AS (SELECT unnest([1, 2, 3, 4]) AS p), walk AS (
+  SELECT i, 0 AS k, size, [0, 0, 0, 0]::BIGINT[] AS a, (SELECT list(CAST(room AS BIGINT) ORDER BY place) FROM z) AS c, 0 AS h FROM g WHERE i = 1
+  UNION ALL
+  SELECT i, k, size, list_transform(a, lambda x, j: x + CASE WHEN j = h THEN 1 ELSE 0 END), list_transform(c, lambda x, j: x - CASE WHEN j = h THEN 1 ELSE 0 END), h FROM (
+    SELECT o.i, o.k, o.size, o.a, o.c, (SELECT p FROM m WHERE o.c[p] > 0 ORDER BY [0.6e0, 0.1e0, 0.05e0, 0.25e0][p] * o.size - o.a[p] DESC, o.c[p] DESC, p LIMIT 1) AS h FROM (
+      SELECT CASE WHEN k < w.size THEN w.i ELSE n.i END AS i, CASE WHEN k < w.size THEN k + 1 ELSE 1 END AS k, CASE WHEN k < w.size THEN w.size ELSE n.size END AS size, CASE WHEN k < w.size THEN a ELSE [0, 0, 0, 0]::BIGINT[] END AS a, c
+      FROM walk w LEFT JOIN g n ON n.i = w.i + 1 WHERE k < w.size OR n.i IS NOT NULL) o)
+), q AS (SELECT g.s, v.place, v.split, coalesce(d.n, 0) AS quota FROM g CROSS JOIN v LEFT JOIN (SELECT i, h, count(*) AS n FROM walk WHERE h > 0 GROUP BY 1, 2) d ON d.i = g.i AND d.h = v.place)"""
+
+
+@query("stratified_split", f"""WITH RECURSIVE {fx.SCORED}, {_DEAL}, b AS (SELECT *, coalesce(sum(quota) OVER (PARTITION BY s ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
 r AS (SELECT id, {_SET} AS s, row_number() OVER (PARTITION BY {_SET} ORDER BY md5(id || ':42'), id) - 1 AS r FROM scored) SELECT id, split FROM r JOIN b ON r.s = b.s AND r.r >= before AND r.r < before + quota""")
 def stratified_split(spark, sf):
     return P.stratified_split(fx.scored(spark, sf).select("id", "multi"), "multi", "id", RATIOS).select("id", "split")
