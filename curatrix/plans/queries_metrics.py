@@ -11,6 +11,7 @@ from curatrix.functions import text as X
 from curatrix.functions.labels import CLASSES
 from curatrix.operators import metrics as M
 from curatrix.operators import rules
+from curatrix.operators import sweep as W
 from curatrix.operators import thresholds as T
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
@@ -294,13 +295,52 @@ def threshold_transfer(spark, sf):
     return rounded(out, "fpr", "recall")
 
 
-@query("hyperparam_sweep_table", f"""WITH {_long_sql(('', 'B', 'C'))}, g AS (SELECT unnest([0.5, 0.7, 0.9]::DOUBLE[]) AS cut), c AS (SELECT model, cut, label, count(*) FILTER (WHERE y = 1 AND score >= cut) AS tp, count(*) FILTER (WHERE y = 0 AND score >= cut) AS fp, sum(y) AS pos, count(*) - sum(y) AS neg FROM long, g GROUP BY ALL)
+@query("score_grid_table", f"""WITH {_long_sql(('', 'B', 'C'))}, g AS (SELECT unnest([0.5, 0.7, 0.9]::DOUBLE[]) AS cut), c AS (SELECT model, cut, label, count(*) FILTER (WHERE y = 1 AND score >= cut) AS tp, count(*) FILTER (WHERE y = 0 AND score >= cut) AS fp, sum(y) AS pos, count(*) - sum(y) AS neg FROM long, g GROUP BY ALL)
 SELECT model, cut, label, tp, fp, round({_DIV('tp', 'pos')}, 9) AS recall, round({_DIV('fp', 'neg')}, 9) AS fpr FROM c""")
-def hyperparam_sweep_table(spark, sf):
+def score_grid_table(spark, sf):
     out = T.grid_counts(_long(spark, sf, ("", "B", "C")), ["model", "label"], "score", F.col("positive"), [0.5, 0.7, 0.9]).withColumnRenamed("threshold", "cut")
     return rounded(out.withColumn("recall", S.safe_div(F.col("tp"), F.col("pos"))).withColumn("fpr", S.safe_div(F.col("fp"), F.col("neg"))), "recall", "fpr").drop("pos", "neg")
 
 
+def _sweep_sql(salts=("", "B", "C")):
+    hold = " UNION ALL ".join(f"SELECT 'm{x}' AS model, doc_id, p_scam, p_topic, gold_scam = 1 AS y1, gold_topic = 1 AS y2 FROM m{x}" for x in salts)
+    tuned = _TUNE.format(target="CASE WHEN label = 'scam' THEN 0.02e0 WHEN model LIKE '%/strict' THEN 0.03e0 ELSE 0.2e0 END").replace("FROM long", "FROM cal")
+    counts = ", ".join(f"count(*) FILTER (WHERE y{k} AND h{k}) AS tp{k}, count(*) FILTER (WHERE NOT y{k} AND h{k}) AS fp{k}, count(*) FILTER (WHERE y{k}) AS n{k}" for k in (1, 2, 3))
+    told = ", ".join(
+        f"t{k} AS {c}_threshold, round(f{k}, 9) AS {c}_calib_fpr, round({_DIV(f'tp{k}', f'tp{k} + fp{k}')}, 9) AS {c}_precision, round({_DIV(f'tp{k}', f'n{k}')}, 9) AS {c}_recall, round({_DIV(f'fp{k}', f'n - n{k}')}, 9) AS {c}_fpr"
+        for k, c in ((1, "scam"), (2, "topic_crypto"))
+    )
+    f1 = " + ".join(_DIV(f"2 * tp{k}", f"tp{k} + fp{k} + n{k}") for k in (1, 2, 3))
+    return f"""WITH {_long_sql(salts)}, cal AS (SELECT model || '/' || policy AS model, label, score, y FROM long, (VALUES ('strict'), ('relaxed')) p(policy) WHERE {fx.split_sql()} = 'calib'), {tuned},
+best AS (SELECT model, label, threshold, {_DIV('fp', 'neg')} AS fpr FROM ok WHERE place = 1), thr AS (SELECT model AS k, max(threshold) FILTER (WHERE label = 'scam') AS t1, max(threshold) FILTER (WHERE label <> 'scam') AS t2, max(fpr) FILTER (WHERE label = 'scam') AS f1, max(fpr) FILTER (WHERE label <> 'scam') AS f2 FROM best GROUP BY 1),
+hold AS ({hold}), cells AS (SELECT k, t1, t2, f1, f2, y1, y2, NOT y1 AND NOT y2 AS y3, p_scam >= t1 AS h1, p_topic >= t2 AS h2, p_scam < t1 AND p_topic < t2 AS h3 FROM hold JOIN thr ON split_part(k, '/', 1) = model WHERE {fx.split_sql()} = 'holdout'),
+agg AS (SELECT k, t1, t2, f1, f2, count(*) AS n, avg(CASE WHEN y1 = h1 AND y2 = h2 THEN 1e0 ELSE 0e0 END) AS same, {counts} FROM cells GROUP BY ALL)
+SELECT split_part(k, '/', 1) AS model, split_part(k, '/', 2) AS policy, {told}, round({_DIV('2 * (tp1 + tp2 + tp3)', 'tp1 + tp2 + tp3 + fp1 + fp2 + fp3 + n1 + n2 + n3')}, 9) AS micro_f1, round(({f1}) / 3, 9) AS macro_f1, round(same, 9) AS exact_match, n FROM agg"""
+
+
+def _round_sweep(df):
+    return rounded(df, *[c for c in df.columns if c not in ("model", "policy", "n") and not c.endswith("_threshold")])
+
+
+@query("sweep_policies", _sweep_sql())
+def sweep_policies(spark, sf):
+    """Thresholds by policy and metrics of three models' scores."""
+    parts = [fx.with_split(fx.scored(spark, sf, x)).select("split", F.lit(f"m{x}").alias("model"), _scam().alias("y_scam"), _topic().alias("y_topic_crypto"), F.col("p_scam").alias("s_scam"), F.col("p_topic").alias("s_topic_crypto")) for x in ("", "B", "C")]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    found = W.policy_thresholds(rows.where("split = 'calib'"), W.POLICIES, ("scam", "topic_crypto"))
+    return _round_sweep(W.sweep_metrics(rows.where("split = 'holdout'"), found, ("scam", "topic_crypto")))
+
+
+#: Kinds of features, strength of the penalty, and weights of classes.
+SWEPT = [W.Candidate("all"), W.Candidate("words", ("words",)), W.Candidate("words_chars_reg10", ("words", "chars"), reg=0.1), W.Candidate("pairs_plain", ("words", "pairs"), weighted=False)]
+
+
+@query("hyperparam_sweep_table")
+def hyperparam_sweep_table(spark, sf):
+    """Models fitted on train, thresholds set on calib, rows of holdout reported."""
+    return _round_sweep(W.sweep(fx.with_split(fx.scored(spark, sf)).select("text", "multi", "split"), "text", "multi", "split", SWEPT))
+
+
 @query("bakeoff_rank", f"""WITH {_long_sql(('', 'B', 'C'))}, c AS (SELECT model, count(*) FILTER (WHERE label = 'scam' AND y = 1 AND score >= 0.5e0) AS stp, count(*) FILTER (WHERE label = 'scam' AND y = 0 AND score >= 0.5e0) AS sfp, count(*) FILTER (WHERE label = 'scam' AND y = 1) AS pos, count(*) FILTER (WHERE label = 'scam' AND y = 0) AS neg,
   count(*) FILTER (WHERE y = 1 AND score >= 0.5e0) AS tp, count(*) FILTER (WHERE score >= 0.5e0) AS hits, sum(y) AS ys FROM long GROUP BY 1),
 k AS (SELECT *, ({_DIV('2 * stp', 'stp + sfp + pos')} + {_DIV('2 * (tp - stp)', 'hits - stp - sfp + ys - pos')}) / 2 AS macro FROM c)

@@ -87,7 +87,7 @@ def near_threshold_band(spark, sf):
     return G.near_threshold(fx.scored(spark, sf), "p_scam", 0.5, 0.05).select("id", "p_scam")
 
 
-@query("ngram_features", """WITH t AS (SELECT doc_id, length(lower(text)) AS size, len(list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda w: w <> '')) AS words FROM documents WHERE text IS NOT NULL)
+@query("ngram_features", """WITH d AS (SELECT doc_id, coalesce(lower(text), '') AS text FROM documents), t AS (SELECT doc_id, length(text) AS size, len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')) AS words FROM d)
 SELECT doc_id, CAST(words + greatest(words - 1, 0) + greatest(size - 1, 0) + greatest(size - 2, 0) + greatest(size - 3, 0) + greatest(size - 4, 0) AS BIGINT) AS n_grams FROM t""")
 def ngram_features(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text")
