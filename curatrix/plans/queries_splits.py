@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as X
+from curatrix.operators import balance as B
 from curatrix.operators import splits as P
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
@@ -132,11 +133,26 @@ def topk_reports(spark, sf):
     return predicted(spark, sf).where("gold <> label").orderBy(F.desc("p_scam"), "id").limit(50).select("id", "p_scam")
 
 
-@query("label_balanced_sample", f"WITH {fx.SCORED}, r AS (SELECT id, gold, row_number() OVER (PARTITION BY gold ORDER BY md5(id || ':42'), id) - 1 AS r, count(*) OVER () AS n FROM scored) SELECT id, gold FROM r WHERE r < floor(n * 0.1e0)")
-def label_balanced_sample(spark, sf):
+@query("capped_sample", f"WITH {fx.SCORED}, r AS (SELECT id, gold, row_number() OVER (PARTITION BY gold ORDER BY md5(id || ':42'), id) - 1 AS r, count(*) OVER () AS n FROM scored) SELECT id, gold FROM r WHERE r < floor(n * 0.1e0)")
+def capped_sample(spark, sf):
     return P.balanced_sample(fx.scored(spark, sf).select("id", "gold"), "gold", "id", 0.1)
 
 
+@query("label_balanced_sample")
+def label_balanced_sample(spark, sf):
+    """Clean rows that the model takes for scam are the hard negatives."""
+    rows = fx.scored(spark, sf).select("id", "labels", "p_scam")
+    return B.balanced_sample(rows, "labels", F.col("p_scam") >= 0.5, "id").select("id", "kind", F.round("weight", 6).alias("weight"))
+
+
+@query("mixing_shares", f"""WITH {fx.SCORED}, e AS (SELECT count(*) AS n FROM (SELECT unnest(labels) AS label FROM posts) GROUP BY label), a AS (SELECT count(*) AS t, count(*) FILTER (WHERE len(labels) = 0) AS c, count(*) FILTER (WHERE len(labels) = 0 AND p_scam >= 0.5e0) AS h, (SELECT max(n) FROM e) AS m FROM scored),
+s AS (SELECT 'clean' AS bucket, c AS n, c / t AS share, 0.7e0 AS low, 0.85e0 AS high FROM a UNION ALL SELECT 'positive', t - c, (t - c) / t, 0.15e0, 0.3e0 FROM a UNION ALL SELECT 'hard of clean', h, coalesce(h / nullif(c, 0), 0), 0.2e0, 0.4e0 FROM a UNION ALL SELECT 'commonest label', m, m / t, 0e0, 0.1e0 FROM a)
+SELECT bucket, n, round(share, 9) AS share, low, high, CASE WHEN share < low - 1e-9 THEN 'below' WHEN share > high + 1e-9 THEN 'above' ELSE 'ok' END AS status FROM s""")
+def mixing_shares(spark, sf):
+    out = B.shares(fx.scored(spark, sf), "labels", F.col("p_scam") >= 0.5)
+    return out.select("bucket", "n", F.round("share", 9).alias("share"), F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "status")
+
+
 @query("domain_holdout_split", "SELECT page_id, CASE WHEN CAST(('0x' || substr(md5(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || ':42'), 1, 4)) AS BIGINT) < 16384 THEN 'holdout' ELSE 'train' END AS split FROM pages")
 def domain_holdout_split(spark, sf):
     return P.host_split(fx.table(spark, sf, "pages").withColumn("urls", F.array("url")), "urls", 0.25).select("page_id", "split")
