@@ -105,6 +105,22 @@ def validate_schema(rows: DataFrame, taxonomy: list[str], by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count_if(ok).alias("valid"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("errors"))
 
 
+def validate_run_index(index: DataFrame, manifests: DataFrame, run_count: int) -> DataFrame:
+    """(run_id, rule) of an index (run_id, file_count, total_bytes; counts may be null) against manifests of the same columns, and of the
+    number of runs that the index claims: that finding has no run_id. Repeated runs of the index are a finding each; a null run_id is one of no name."""
+    said = manifests.groupBy(F.col("run_id").alias("r")).agg(F.max("file_count").alias("c"), F.max("total_bytes").alias("b"))
+    both = with_repeated(index.select("run_id", "file_count", "total_bytes", F.lit(True).alias("listed")), "run_id").join(said, F.col("run_id") == F.col("r"), "full_outer")
+    listed, there = F.coalesce("listed", F.lit(False)), F.col("r").isNotNull()
+    rows = both.withColumn("run_id", F.coalesce("run_id", "r"))
+    found = findings(rows, "run_id", [
+        ("error", "without a name", listed & F.col("run_id").isNull()), ("error", "no such run", listed & F.col("run_id").isNotNull() & ~there), ("error", "not in the index", ~listed & there),
+        ("error", "index file count", there & (F.col("file_count") != F.col("c"))), ("error", "index total bytes", there & (F.col("total_bytes") != F.col("b"))),
+        ("error", "listed twice", F.col("repeated")),
+    ]).drop("severity")
+    number = index.agg(F.count("*").alias("n")).where(F.col("n") != run_count).select(F.lit(None).cast(index.schema["run_id"].dataType).alias("run_id"), F.lit("run count").alias("rule"))
+    return found.unionByName(number)
+
+
 def validate_manifests(files: DataFrame, stated: DataFrame) -> DataFrame:
     """(run_id, rule) of manifests (run_id, file_count, total_bytes) against their files (run_id, size_bytes, sha256)."""
     actual = files.groupBy(F.col("run_id").alias("r")).agg(F.count("*").alias("c"), F.sum("size_bytes").alias("b"), F.count_if(~F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("bad"))

@@ -10,7 +10,7 @@ from curatrix.operators import training as R
 from curatrix.operators import wordpiece as W
 from curatrix.plans import fixtures as fx
 from curatrix.plans.catalog import query
-from curatrix.sources.files import staged
+from curatrix.sources.files import shared_path, staged
 from curatrix.streaming import flags as G
 
 _U = fx.uniform_sql("doc_id", "scam")
@@ -107,6 +107,14 @@ def train_ova_classifier(spark, sf):
     return R.score_posts(docs, "text", trained).select("doc_id", "gold", "split", "p_clean", "p_topic_crypto", "p_scam")
 
 
+@query("score_posts")
+def score_posts(spark, sf):
+    """Posts scored with a model that was stored and read back."""
+    docs, path = _labelled(spark, sf), shared_path(spark, "model")
+    R.save_trained(R.train_one_vs_rest(docs.where("split = 'train'"), "text", "multi"), path)
+    return R.score_posts(docs, "text", R.load_trained(spark, path)).select("doc_id", "p_clean", "p_topic_crypto", "p_scam")
+
+
 @query("two_stage_classifier")
 def two_stage_classifier(spark, sf):
     docs = _labelled(spark, sf)

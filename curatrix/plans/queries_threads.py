@@ -291,3 +291,15 @@ def validate_manifests(spark, sf):
     stated = stated.withColumn("file_count", F.col("file_count") + F.when(F.col("run_id") == "src1", 1).otherwise(0)).withColumn("total_bytes", F.col("total_bytes") - F.when(F.col("run_id") == "src2", 1).otherwise(0))
     stated = stated.withColumn("c", F.explode(F.sequence(F.lit(1), F.when(F.col("run_id") == "src5", 2).otherwise(1)))).drop("c")
     return V.validate_manifests(files, stated)
+
+
+@query("validate_run_index", """WITH f AS (SELECT source AS run_id FROM documents GROUP BY 1)
+SELECT CASE WHEN run_id = 'src6' THEN 'ghost' ELSE run_id END AS run_id, rule FROM f JOIN (VALUES ('src1', 'index file count'), ('src2', 'index total bytes'), ('src3', 'not in the index'), ('src4', 'listed twice'), ('src4', 'listed twice'), ('src6', 'no such run')) r(k, rule) ON run_id = k
+UNION ALL SELECT 'src6', 'not in the index' FROM f WHERE run_id = 'src6' UNION ALL SELECT NULL, 'run count'""")
+def validate_run_index(spark, sf):
+    """The index miscounts files of src1 and bytes of src2, lacks src3, has src4 twice, another name for src6, and claims a run too many."""
+    docs, run = fx.table(spark, sf, "documents"), F.col("run_id")
+    manifests = S.staged(docs.groupBy(F.col("source").alias("run_id")).agg(F.count("*").alias("file_count"), F.sum(F.octet_length("text")).alias("total_bytes")), "manifests")
+    index = manifests.where(run != "src3").select(F.when(run == "src6", "ghost").otherwise(run).alias("run_id"), (F.col("file_count") + (run == "src1").cast("int")).alias("file_count"), (F.col("total_bytes") - (run == "src2").cast("int")).alias("total_bytes"))
+    index = index.unionByName(index.where("run_id = 'src4'").withColumn("file_count", F.lit(None).cast("long")))
+    return V.validate_run_index(index, manifests, index.count() + 1)

@@ -1,6 +1,7 @@
 """Exclusion of labels, several labels a row, two stages, and the order of candidates."""
 
 from curatrix.operators import thresholds, training
+from curatrix.sources.files import shared_path
 
 
 def test_excluded_labels_go_and_rows_left_without_any(spark):
@@ -24,6 +25,10 @@ def test_stages_are_models_of_their_own(spark):
     trained = training.train_one_vs_rest(df, "text", "labels", excluded=["promo"])
     scored = training.score_posts(df, "text", trained).where("array_contains(labels, 'clean')").collect()
     assert all(r.p_clean > 0.5 for r in scored)
+    path = shared_path(spark, "model")
+    training.save_trained(trained, path)
+    again = training.score_posts(df, "text", training.load_trained(spark, path))
+    assert sorted(again.select("k", "p_scam", "p_clean").collect()) == sorted(training.score_posts(df, "text", trained).select("k", "p_scam", "p_clean").collect())
     meta = training.run_metadata(df, "labels", "r1", trained, ["promo"]).first()
     assert (meta.n_rows, meta.n_changed, meta.excluded) == (48, 12, ["promo"])
     assert sorted(meta.classes) == ["clean", "scam", "topic_crypto"]
