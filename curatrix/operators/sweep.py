@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.scores import safe_div
 from curatrix.operators.thresholds import tune_fpr
-from curatrix.operators.training import BUCKETS, ngram_pipeline, with_chars
+from curatrix.operators.training import BLOCK_MB, BUCKETS, feature_rows, ngram_pipeline, row_by_row, with_chars
 from curatrix.sources.files import staged
 
 #: Kinds of features that a candidate may use, and the columns that hold them.
@@ -38,7 +38,7 @@ def feature_table(rows: DataFrame, text: str, labels: str, keep: Sequence[str],
     chars = with_chars(rows, text)
     whole = ngram_pipeline(text).fit(chars).transform(chars)
     marks = [F.coalesce(F.array_contains(labels, c), F.lit(False)).alias(f"y_{c}") for c in classes]
-    return staged(whole.select(*keep, *marks, *PARTS.values()), "features")
+    return feature_rows(whole.select(*keep, *marks, *PARTS.values()), "features")
 
 
 def fit_candidates(train: DataFrame, candidates: Sequence[Candidate], classes: Sequence[str]) -> dict[tuple[str, str], object]:
@@ -54,7 +54,8 @@ def fit_candidates(train: DataFrame, candidates: Sequence[Candidate], classes: S
             weight = F.when(F.col(f"y_{c}"), total / (2 * n)).otherwise(total / (2 * (total - n))) if one.weighted else F.lit(1.0)
             target = ready.select("__f", F.col(f"y_{c}").cast("double").alias("__y"), weight.alias("__w"))
             names = {"featuresCol": "__f", "labelCol": "__y", "weightCol": "__w", "probabilityCol": "__p", "predictionCol": "__h", "rawPredictionCol": "__r"}
-            models[one.name, c] = LogisticRegression(regParam=one.reg, maxIter=one.iterations, **names).fit(target)
+            with row_by_row(train.sparkSession):
+                models[one.name, c] = LogisticRegression(regParam=one.reg, maxIter=one.iterations, maxBlockSizeInMB=BLOCK_MB, **names).fit(target)
     return models
 
 
@@ -126,6 +127,7 @@ def sweep(rows: DataFrame, text: str, labels: str, split: str, candidates: Seque
     """sweep_metrics of candidates that are fitted on rows of split train, with thresholds from calib, on holdout."""
     features = feature_table(rows.where(F.col(split).isin("train", "calib", "holdout")), text, labels, [split], classes)
     models = fit_candidates(features.where(F.col(split) == "train"), candidates, classes)
-    scored = staged(score_candidates(features.where(F.col(split) != "train"), candidates, models, [split], classes), "scores")
+    with row_by_row(rows.sparkSession):
+        scored = staged(score_candidates(features.where(F.col(split) != "train"), candidates, models, [split], classes), "scores")
     found = staged(policy_thresholds(scored.where(F.col(split) == "calib"), policies, classes), "policy-thresholds")
     return sweep_metrics(scored.where(F.col(split) == "holdout"), found, classes)
