@@ -32,6 +32,30 @@ def alternation(terms: list[str]) -> str:
     return "|".join(re.sub(r"([-.])", r"[\1]", t) for t in terms)
 
 
+def by_beginnings(terms: list[str]) -> str:
+    """The alternation of plain terms with common beginnings told once, so that a place in a text is held against a few letters, not all terms.
+
+    It takes the same term at the same place: terms of unlike first letters exclude each other, those of a letter keep their order, and
+    nothing moves past a term that ends.
+    """
+    parts: list[str] = []
+    groups: dict[str, list[str]] = {}
+
+    def close() -> None:
+        for c, rests in groups.items():
+            parts.append((f"[{c}]" if c in "-." else c) + (by_beginnings(rests) if any(rests) else ""))
+        groups.clear()
+
+    for term in terms:
+        if term:
+            groups.setdefault(term[0], []).append(term[1:])
+        else:
+            close()
+            parts.append("")
+    close()
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def exclude_labels(df: DataFrame, excluded: list[str], labels: str = "labels") -> DataFrame:
     """Rows without these labels, those that have none left dropped; `changed` tells which rows lost some."""
     left = F.array_except(labels, constants(excluded))
@@ -59,13 +83,15 @@ def min_chars(df: DataFrame, text: str = "text", least: int = 8) -> DataFrame:
 def relabel_reasons(text: Column, addresses: Column, terms: list[str] = CRYPTO_TERMS) -> Column:
     """Why a clean post may be about crypto, in a fixed order, or ''."""
     text = F.replace(F.coalesce(text, F.lit("")), F.lit("₿"), F.lit("b"))
-    word = F.lower(F.regexp_extract(text, rf"(?iU)\b({alternation(terms)})\b", 1))
-    bags = text.rlike(r"(?iU)\bbags?\b") & ~text.rlike(rf"(?iU)\b({'|'.join(PLAIN_BAGS)})\b")
+    plain = all(re.fullmatch("[a-z0-9 .-]+", t) for t in terms)
+    word = F.lower(F.regexp_extract(text, rf"(?iU)\b({by_beginnings(terms) if plain else alternation(terms)})\b", 1))
+    # what a pattern needs at least is cheaper to look for than the boundary it begins with
+    bags = F.lower(text).contains("bag") & text.rlike(r"(?iU)\bbags?\b") & ~text.rlike(rf"(?iU)\b({'|'.join(PLAIN_BAGS)})\b")
     found = [
         F.when(F.size(addresses) > 0, F.lit("has_addresses")),
-        F.when(word != "", F.concat(F.lit("keyword:"), word)),
+        F.transform(F.filter(F.array(word), lambda w: w != ""), lambda w: F.concat(F.lit("keyword:"), w)),  # looked for once
         F.when(text.rlike(r"(?U)\$[A-Za-z]{2,10}\b"), F.lit("ticker_pattern")),
-        F.when(text.rlike(r"(?U)\b0x[a-fA-F0-9]{40}\b"), F.lit("eth_address")),
+        F.when(text.contains("0x") & text.rlike(r"(?U)\b0x[a-fA-F0-9]{40}\b"), F.lit("eth_address")),
         F.when(bags, F.lit("crypto_bags_slang")),
     ]
     return F.concat_ws(", ", *found)
@@ -73,13 +99,19 @@ def relabel_reasons(text: Column, addresses: Column, terms: list[str] = CRYPTO_T
 
 def suggest_relabel(df: DataFrame, terms: list[str] = CRYPTO_TERMS, text: str = "text", labels: str = "labels", addresses: str = "addresses") -> DataFrame:
     """Clean posts with a reason to look at them again."""
-    return pure_clean(df, labels).withColumn("reason", relabel_reasons(F.col(text), F.col(addresses), terms)).where("reason <> ''")
+    reason = relabel_reasons(F.col(text), F.col(addresses), terms)
+    # exploded, so that patterns run once a row: a filter on a column would be told anew below it
+    return pure_clean(df, labels).withColumn("reason", F.explode(F.filter(F.array(reason), lambda x: x != "")))
 
 
-def subgroup_flags(df: DataFrame, text: str, url: Column, seen: Column) -> DataFrame:
-    """Appends `subgroups`: short, with_url or without_url, seen_handle or unseen_handle, all."""
-    names = F.array_compact(F.array(
-        F.lit("all"), F.when(F.length(text) < 40, F.lit("short")), F.when(url, F.lit("with_url")).otherwise(F.lit("without_url")),
+def subgroups(short: Column, url: Column, seen: Column) -> Column:
+    """The names of a post's subgroups: all, short, with_url or without_url, seen_handle or unseen_handle."""
+    return F.array_compact(F.array(
+        F.lit("all"), F.when(short, F.lit("short")), F.when(url, F.lit("with_url")).otherwise(F.lit("without_url")),
         F.when(F.coalesce(seen, F.lit(False)), F.lit("seen_handle")).otherwise(F.lit("unseen_handle")),
     ))
-    return df.withColumn("subgroups", names)
+
+
+def subgroup_flags(df: DataFrame, text: str, url: Column, seen: Column) -> DataFrame:
+    """Appends `subgroups`."""
+    return df.withColumn("subgroups", subgroups(F.length(text) < 40, url, seen))

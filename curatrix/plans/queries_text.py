@@ -214,7 +214,10 @@ f AS (SELECT t.doc_id, length(t.text) < 40 AS short, regexp_matches(t.text, '(?i
 SELECT 'all' AS subgroup, count(*) AS n FROM f UNION ALL SELECT 'short', count(*) FILTER (WHERE short) FROM f HAVING count(*) FILTER (WHERE short) > 0
 UNION ALL SELECT CASE WHEN url THEN 'with_url' ELSE 'without_url' END, count(*) FROM f GROUP BY 1 UNION ALL SELECT CASE WHEN seen THEN 'seen_handle' ELSE 'unseen_handle' END, count(*) FROM f GROUP BY 1""")
 def subgroup_flags(spark, sf):
-    df = fx.with_split(fx.posts(spark, sf))
-    seen = df.where("split = 'train' and lang <> 'es'").select("lang").distinct().withColumn("seen", F.lit(True))
-    flagged = rules.subgroup_flags(df.join(seen, "lang", "left"), "text", X.has_url(F.col("text")), F.col("seen"))
-    return flagged.select(F.explode("subgroups").alias("subgroup")).groupBy("subgroup").agg(F.count("*").alias("n"))
+    # flags are told where a text is read, and counted before rows of a language meet: no text is moved
+    docs = fx.with_split(fx.table(spark, sf, "documents")).select("doc_id", "lang", "split", (F.length("text") < 40).alias("short"), X.has_url(F.col("text")).alias("url"))
+    rows = docs.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left")
+    seen = docs.where("split = 'train' and lang <> 'es'").select("lang").distinct().withColumn("seen", F.lit(True))
+    counts = rows.groupBy("lang", "short", "url").agg(F.count("*").alias("n")).join(seen, "lang", "left")
+    flagged = counts.select("n", F.explode(rules.subgroups(F.col("short"), F.col("url"), F.col("seen"))).alias("subgroup"))
+    return flagged.groupBy("subgroup").agg(F.sum("n").alias("n"))
