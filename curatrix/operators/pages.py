@@ -13,6 +13,9 @@ SKIPPED = ["script", "style", "noscript", "input", "textarea", "select", "option
 # Elements without an end tag.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
+#: Bytes of an Arrow batch of pages, of blocks that leave Python at once, and of a block's row besides its characters.
+BATCH_BYTES, OUT_BYTES, ROW_BYTES = 4 << 20, 1 << 20, 200
+
 
 class Blocks(HTMLParser):
     """Collects text nodes outside skipped and editable elements."""
@@ -46,13 +49,29 @@ def blocks_of(html: str | None, least: int = 20) -> list[str]:
 
 
 def page_blocks(pages: DataFrame, key: str, html: str, least: int = 20) -> DataFrame:
-    """(key, block_no, text): text nodes of at least so many characters, in order; a page without any has no row."""
+    """(key, block_no, text): text nodes of at least so many characters, in order; a page without any has no row.
+
+    Batches of pages are bounded by bytes where the session has no bound, and blocks leave Python before OUT_BYTES of them have piled up, a page's at least.
+    """
     kind = pages.schema[key].dataType.simpleString()
+    bounded = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if pages.sparkSession.conf.get(bounded, None) is None:
+        pages.sparkSession.conf.set(bounded, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            keys, places, texts = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(places, pa.int64()), pa.array(texts, pa.string())], names=[key, "block_no", "text"])
+
         for batch in batches:
-            rows = [(k, n, t) for k, page in zip(batch.column(0), batch.column(1), strict=True) for n, t in enumerate(blocks_of(page.as_py(), least))]
-            keys = pa.array([k.as_py() for k, _, _ in rows], batch.schema.field(0).type)
-            yield pa.RecordBatch.from_arrays([keys, pa.array([n for _, n, _ in rows], pa.int64()), pa.array([t for *_, t in rows], pa.string())], names=[key, "block_no", "text"])
+            rows, held, of = [], 0, batch.schema.field(0).type
+            for k, page in zip(batch.column(0), batch.column(1), strict=True):
+                for n, t in enumerate(blocks_of(page.as_py(), least)):
+                    rows.append((k.as_py(), n, t))
+                    held += ROW_BYTES + len(t)
+                if held > OUT_BYTES:
+                    yield packed(rows, of)
+                    rows, held = [], 0
+            yield packed(rows, of)
 
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, block_no long, text string")
