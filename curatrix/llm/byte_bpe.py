@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,12 @@ LEAF_BYTES = 16
 LEAF_IDS = 1 << 16
 #: Strings up to this many bytes are merged by looking through all pairs, longer ones by a heap of pairs.
 SHORT_BYTES = 64
-#: Entries of the piece cache of a Python worker; when full it starts anew.
+#: Entries of each of the two generations of a Python worker's piece cache, and of its cache of pairs, which starts anew when full.
 CACHE_ENTRIES = 120_000
+#: Stands for the rank of a pair that makes no token.
+_NONE = (1 << 31) - 1
+#: Leaves that are merged side by side, and bytes of the texts whose new pieces are.
+LEAVES, TOGETHER_BYTES = 8192, 1 << 20
 
 
 class TreeCodec:
@@ -41,6 +46,7 @@ class TreeCodec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.fits_cache: dict[tuple[int, int], bool] = {}
+        self.pairs: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def load(cls, path: str) -> TreeCodec:
@@ -51,22 +57,18 @@ class TreeCodec:
         """Merges the leftmost pair of least rank until none is left."""
         if len(data) > SHORT_BYTES:
             return self.merge_long(data)
-        rank = self.ranks.get
+        rank, none = self.ranks.get, _NONE
         parts = [data[k : k + 1] for k in range(len(data))]
-        scores = [rank(parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]
-        while True:
-            best, at = None, -1
-            for k, score in enumerate(scores):
-                if score is not None and (best is None or score < best):
-                    best, at = score, k
-            if best is None:
-                return [self.ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        scores = [rank(data[k : k + 2], none) for k in range(len(parts) - 1)]
+        while scores and (best := min(scores)) != none:
+            at = scores.index(best)
+            parts[at] += parts.pop(at + 1)
             del scores[at]
             if at < len(scores):
-                scores[at] = rank(parts[at] + parts[at + 1])
+                scores[at] = rank(parts[at] + parts[at + 1], none)
             if at:
-                scores[at - 1] = rank(parts[at - 1] + parts[at])
+                scores[at - 1] = rank(parts[at - 1] + parts[at], none)
+        return [self.ranks[p] for p in parts]
 
     def merge_long(self, data: bytes) -> list[int]:
         """merge() with a heap of pairs: about linear in the length."""
@@ -98,8 +100,7 @@ class TreeCodec:
         if known is None:
             if len(self.fits_cache) > CACHE_ENTRIES:
                 self.fits_cache.clear()
-            known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self.fits_cache[left, right] = known
+            known = self.fits_cache[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -118,6 +119,52 @@ class TreeCodec:
             if not fits_right:
                 j = min(len(right), 2 * j)
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of the tokens that pairs of tokens make, _NONE where they make none or an end is -1."""
+        if self.pairs is None:
+            made = {(a << 32) | b: rank for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None}
+            keys = np.array(sorted(made), np.int64)
+            self.pairs = np.append(keys, np.int64(-1)), np.array([*[made[k] for k in keys.tolist()], _NONE], np.int32)
+        keys, ranks = self.pairs
+        wanted = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(keys[:-1], wanted)
+        return np.where((keys[at] == wanted) & (left >= 0) & (right >= 0), ranks[at], _NONE)
+
+    def merge_many(self, leaves: list[bytes]) -> list[bytes]:
+        """merge() of strings of LEAF_BYTES at most, side by side; ids as little-endian 32-bit integers."""
+        single = np.array([self.ranks.get(bytes([k]), -1) for k in range(256)], np.int32)
+        if (single < 0).any():  # merge() tells whether the bytes that are no tokens occur
+            return [np.array(self.merge(x), "<u4").tobytes() for x in leaves]
+        out: list[bytes] = [b""] * len(leaves)
+        for first in range(0, len(leaves), LEAVES):
+            part = leaves[first : first + LEAVES]
+            size = np.array([len(x) for x in part])
+            data = np.frombuffer(b"".join([x.ljust(LEAF_BYTES, b"\0") for x in part]), np.uint8).reshape(-1, LEAF_BYTES)
+            place, row = np.arange(LEAF_BYTES + 1), np.arange(first, first + len(part))
+            # a token's row ends with places of -1
+            ids = np.full((len(part), LEAF_BYTES + 1), -1, np.int32)
+            ids[:, :-1] = np.where(place[:-1] < size[:, None], single[data], -1)
+            scores = self.pair_ranks(ids[:, :-1], ids[:, 1:])
+            while len(row):
+                at = scores.argmin(axis=1)
+                best = scores[np.arange(len(row)), at]
+                over = best == _NONE
+                if over.any():
+                    for k, tokens, n in zip(row[over].tolist(), ids[over].astype("<u4"), (ids[over] >= 0).sum(axis=1).tolist(), strict=True):
+                        out[k] = tokens[:n].tobytes()
+                    row, ids, scores, at, best = row[~over], ids[~over], scores[~over], at[~over], best[~over]
+                    if not len(row):
+                        break
+                k = np.arange(len(row))
+                ids[:, 1:-1] = np.where(place[1:-1] > at[:, None], ids[:, 2:], ids[:, 1:-1])
+                ids[k, at] = best
+                scores[:, :-1] = np.where(place[: LEAF_BYTES - 1] > at[:, None], scores[:, 1:], scores[:, :-1])
+                scores[:, -1] = _NONE
+                before = np.maximum(at - 1, 0)
+                scores[k, before] = self.pair_ranks(ids[k, before], ids[k, before + 1])
+                scores[k, at] = self.pair_ranks(best, ids[k, at + 1])
+        return out
+
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.encode_tree(data)
@@ -136,13 +183,54 @@ class TreeCodec:
         return level[0] if level else b""
 
 
-_codecs: dict[str, tuple[TreeCodec, dict[str, bytes]]] = {}
+class PieceCache:
+    """Ids of pieces, as bytes, in two generations: when the new one is full it becomes the old one. Pieces in use move on to the new one."""
+
+    def __init__(self, codec: TreeCodec):
+        self.codec = codec
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, of its pieces. Short pieces that are new are merged side by side, others come up the tree."""
+        if len(self.new) >= CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
+        coded = [list(map(self.new.get, pieces)) for pieces in texts]
+        made: dict[str, bytes] = {}
+        leaves: list[tuple[str, bytes]] = []
+        for pieces, ids in zip(texts, coded, strict=True):
+            if None in ids:
+                for piece in [p for p, c in zip(pieces, ids, strict=True) if c is None]:
+                    if piece in made:
+                        continue
+                    known = self.old.get(piece)
+                    if known is None:
+                        data = piece.encode()
+                        if len(data) <= LEAF_BYTES and data not in self.codec.ranks:
+                            leaves.append((piece, data))
+                            known = b""
+                        else:
+                            found = self.codec.encode_piece(data)
+                            known = struct.pack(f"<{len(found)}I", *found)
+                    made[piece] = known
+        made.update(zip([p for p, _ in leaves], self.codec.merge_many([d for _, d in leaves]), strict=True))
+        out = [b"".join([made[p] if c is None else c for p, c in zip(pieces, ids, strict=True)] if None in ids else ids) for pieces, ids in zip(texts, coded, strict=True)]
+        for piece, ids in made.items():
+            if len(self.new) >= 2 * CACHE_ENTRIES:
+                break
+            if len(piece) <= 64:
+                self.new[piece] = ids
+        return out
+
 
+_codecs: dict[str, tuple[TreeCodec, PieceCache]] = {}
 
-def _codec(path: str) -> tuple[TreeCodec, dict[str, bytes]]:
+
+def _codec(path: str) -> tuple[TreeCodec, PieceCache]:
     """The codec and the piece cache of this Python worker."""
     if path not in _codecs:
-        _codecs[path] = (TreeCodec.load(path), {})
+        codec = TreeCodec.load(path)
+        _codecs[path] = (codec, PieceCache(codec))
     return _codecs[path]
 
 
@@ -156,31 +244,19 @@ def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str =
         codec, cache = _codec(ranks_path)
         pieces = regex.compile(pattern).findall
 
-        class Pieces(dict):
-            """Encodes a piece when it is first asked for."""
-
-            def __missing__(self, piece: str) -> bytes:
-                known = cache.get(piece)
-                if known is None:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    known = np.array(codec.encode_piece(piece.encode()), "<u4").tobytes()
-                    if len(piece) <= 64:
-                        cache[piece] = known
-                return known
-
-        lookup, fallback = cache.get, Pieces().__missing__
-
         def step(texts: pa.Array) -> list[pa.Array]:
-            ids, decoded = [], []
+            ids: list[bytes] = []
+            found: list[list[str]] = []
+            held = 0
             for value in texts:
-                found = pieces(value.as_py() or "")
-                coded = [lookup(p) for p in found]
-                if None in coded:
-                    coded = [fallback(p) if c is None else c for p, c in zip(found, coded, strict=True)]
-                data = b"".join(coded)
-                ids.append(data)
-                decoded.append(codec.decode(np.frombuffer(data, "<u4").tolist()))
+                text = value.as_py() or ""
+                found.append(pieces(text))
+                held += len(text)
+                if held >= TOGETHER_BYTES:
+                    ids += cache.encode(found)
+                    found, held = [], 0
+            ids += cache.encode(found)
+            decoded = [codec.decode(np.frombuffer(data, "<u4").tolist()) for data in ids]
             return [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
 
         return step

@@ -46,3 +46,23 @@ def test_query(spark, sf_dir, reference):
         ids = np.array(reference.encode_ordinary(docs[r.doc_id] or ""), "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_leaves_side_by_side_equal_merging_one_by_one():
+    codec, rng = byte_bpe.TreeCodec.load(byte_bpe.default_ranks()[0]), random.Random(2)
+    leaves = ["".join(rng.choice("aeiounthré e") for _ in range(rng.randint(1, 16))).encode()[:16] for _ in range(10_000)]
+    leaves += [bytes(rng.choice(b"aab\xc3\xa9\x80\xff\x00 10") for _ in range(rng.randint(1, 16))) for _ in range(10_000)] + [b"", b"a" * 16, b"\0" * 16]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.merge_many(leaves)] == [codec.merge(x) for x in leaves]
+
+
+def test_pieces_in_use_outlive_a_full_cache(monkeypatch):
+    codec = byte_bpe.TreeCodec.load(byte_bpe.default_ranks()[0])
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 40)
+    cache, told = byte_bpe.PieceCache(codec), []
+    many = codec.merge_many
+    monkeypatch.setattr(codec, "merge_many", lambda leaves: told.extend(leaves) or many(leaves))
+    for k in range(50):
+        pieces = [" qqxzv", *[f"zz{k}q{j}" for j in range(10)]]
+        assert cache.encode([pieces]) == [b"".join(np.array(codec.encode_piece(p.encode()), "<u4").tobytes() for p in pieces)]
+    assert told.count(b" qqxzv") == 1
+    assert len(cache.new) + len(cache.old) <= 4 * byte_bpe.CACHE_ENTRIES
