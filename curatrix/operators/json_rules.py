@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.labels import constants
 from curatrix.operators.threads import ROLES
 from curatrix.operators.validation import CATEGORIES, PRIORITIES
+from curatrix.sources.files import staged
 
 Rule = tuple[str, str, Column]
 
@@ -77,27 +78,34 @@ def optional(v: Column, fields: Sequence[str], *kinds: str) -> list[Rule]:
 
 
 def found(rows: DataFrame, line: str, rules: list[Rule], item: str | None = None) -> DataFrame:
-    """(line, item, severity, rule) for each rule that holds."""
+    """(line, item, severity, rule) for each rule that holds. An outer explode: for an inner one Spark asks beforehand, by all rules once more, whether a row has any."""
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(n).alias("rule"))) for s, n, c in rules]))
     place = F.col(item) if item else F.lit(None)
-    return rows.select(line, place.cast("int").alias("item"), F.explode(broken).alias("f")).select(line, "item", "f.*")
+    return rows.select(line, place.cast("int").alias("item"), F.explode_outer(broken).alias("f")).where("f is not null").select(line, "item", "f.*")
 
 
-def parsed(lines: DataFrame, value: str, line: str, blank: str | None = "warning") -> tuple[DataFrame, DataFrame]:
-    """(line, v) of lines that hold an object, and findings on those that don't. Without `blank`, blank lines pass."""
-    v = F.try_parse_json(value)
-    rows = lines.select(line, F.col(value).alias("value"), v.alias("v"))
-    empty = ~filled(F.col("value"))
+def parsed(lines: DataFrame, value: str, line: str, blank: str | None = "warning") -> tuple[DataFrame, list[Rule]]:
+    """(line, state, v), v null but for lines that hold an object, and the rules on other lines. Without `blank`, blank lines pass.
+
+    No line is filtered out, so that each is parsed once: a filter would parse it for itself.
+    """
+    read = lines.select(line, F.col(value).alias("value"), F.try_parse_json(value).alias("v"))
     is_object = F.coalesce(F.schema_of_variant("v").rlike("^OBJECT"), F.lit(False))
-    rules: list[Rule] = [("error", "broken JSON", ~empty & F.col("v").isNull()), ("error", "record is not an object", ~empty & F.col("v").isNotNull() & ~is_object)]
+    state = F.when(~filled(F.col("value")), "blank").when(F.col("v").isNull(), "broken").when(is_object, "object").otherwise("other")
+    rules: list[Rule] = [("error", "broken JSON", F.col("state") == "broken"), ("error", "record is not an object", F.col("state") == "other")]
     if blank:
-        rules.append((blank, "blank line", empty))
-    return rows.where(is_object & ~empty).select(line, "v"), found(rows, line, rules)
+        rules.append((blank, "blank line", F.col("state") == "blank"))
+    told = read.select(line, state.alias("state"), "v")
+    return told.select(line, "state", F.when(F.col("state") == "object", F.col("v")).alias("v")), rules
+
+
+def on(condition: Column, rules: list[Rule]) -> list[Rule]:
+    return [(severity, name, condition & rule) for severity, name, rule in rules]
 
 
 def repeats(rows: DataFrame, line: str, key: Column, rule: str, spare_first: bool) -> DataFrame:
-    """Findings on keys that several lines have: on all of those, or on all but the first. Counted where they are; only keys that repeat meet their lines again."""
-    keyed = rows.select(line, key.alias("key")).where("key is not null")
+    """Findings on keys that several lines have: on all of those, or on all but the first. Keys are staged, so that lines are parsed once for them; only keys that repeat meet their lines again."""
+    keyed = staged(rows.select(line, key.alias("key")), "json-keys").where("key is not null")
     again = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(line).alias("first")).where("n > 1").select("key", "first")
     both = keyed.join(again, "key")
     if spare_first:
@@ -118,8 +126,7 @@ def label_rules(v: Column, taxonomy: Sequence[str]) -> list[Rule]:
 def thread_findings(lines: DataFrame, value: str, line: str, taxonomy: Sequence[str]) -> DataFrame:
     """Reply threads: rules on the record, on each of its posts, and on how posts hang together."""
     rows, broken = parsed(lines, value, line)
-    v = F.col("v")
-    posts = items(v, "tweets")
+    v, posts = F.col("v"), F.col("posts")
     has = F.coalesce(F.size(posts) > 0, F.lit(False))
     record: list[Rule] = [
         ("error", "id is not a filled string", ~filled(text(v, "id"))), ("error", "platform is not x", ~F.coalesce(text(v, "platform") == "x", F.lit(False))),
@@ -128,14 +135,18 @@ def thread_findings(lines: DataFrame, value: str, line: str, taxonomy: Sequence[
         ("error", "tweets missing", ~there(v, "tweets") | is_kind(v, "tweets", "null")), ("error", "tweets is no filled list", there(v, "tweets") & ~is_kind(v, "tweets", "null") & ~has),
         *optional(v, ["notes"], "string"), *label_rules(v, taxonomy),
     ]
-    ids = F.transform(posts, lambda p: F.trim(text(p, "status_id")))
-    known = F.filter(ids, lambda x: x.isNotNull())
+    known = F.filter(F.transform(posts, lambda p: F.trim(text(p, "status_id"))), lambda x: x.isNotNull())
     roles = F.transform(posts, lambda p: text(p, "role"))
     record += [
         ("error", "no ai reply", has & ~F.coalesce(F.array_contains(roles, "ai_reply"), F.lit(False))),
-        ("error", "duplicate status id", F.size(F.array_distinct(known)) < F.size(known)),
+        ("error", "duplicate status id", F.size(F.array_distinct("ids")) < F.size("ids")),
     ]
-    each = rows.select(line, F.coalesce(known, F.array().cast("array<string>")).alias("ids"), F.posexplode(posts).alias("at", "p")).withColumn("item", F.col("at") + 1)
+    # a row for the record, at 0, and one for each post: rules on both are held against a line that is parsed once
+    whole = rows.select(line, "state", "v", items(v, "tweets").alias("posts"))
+    whole = whole.select("*", known.alias("ids"), F.concat(F.array(F.lit(None).cast("variant")), F.coalesce(posts, F.array().cast("array<variant>"))).alias("parts"))
+    each = whole.select(line, "state", "v", "posts", "ids", F.posexplode_outer("parts").alias("at", "p"))
+    first = F.col("at") == 0
+    each = each.select(line, "state", "at", "ids", "p", *[F.when(first, F.col(c)).alias(c) for c in ("v", "posts")], F.when(~first, F.col("at")).alias("item"))
     p = F.col("p")
     own, parent = text(p, "status_id"), text(p, "parent_status_id")
     bad_parent = there(p, "parent_status_id") & ~is_kind(p, "parent_status_id", "null") & ~filled(parent)
@@ -153,8 +164,8 @@ def thread_findings(lines: DataFrame, value: str, line: str, taxonomy: Sequence[
         *optional(p, ["metrics"], "object"), ("warning", "unknown metric", F.size(F.array_except(metrics, constants(METRICS))) > 0),
         *[("error", f"metrics.{f} is no count", metrics.isNotNull() & there(p, f"metrics.{f}") & ~is_count(p, f"metrics.{f}")) for f in METRICS],
     ]
-    post = [("error", "post is not an object", ~is_object), *[(s, n, is_object & c) for s, n, c in post]]
-    out = broken.unionByName(found(rows, line, record)).unionByName(found(each, line, post, "item"))
+    post = [("error", "post is not an object", ~is_object), *on(is_object, post)]
+    out = found(each, line, [*on(first, [*broken, *on(F.col("state") == "object", record)]), *on(~first, post)], "item")
     return out.unionByName(repeats(rows, line, F.when(filled(text(v, "id")), F.trim(text(v, "id"))), "duplicate id", spare_first=False))
 
 
@@ -174,7 +185,7 @@ def account_findings(lines: DataFrame, value: str, line: str, taxonomy: Sequence
         *[("error", f"{f} is no date", there(v, f) & ~F.coalesce(F.length(text(v, f)) >= 10, F.lit(False))) for f in ("created_at", "collected_at")],
     ]
     again = repeats(rows, line, F.when(handle != "", F.lower(handle)), "duplicate handle", spare_first=True)
-    return broken.unionByName(found(rows, line, rules)).unionByName(again)
+    return found(rows, line, [*broken, *on(F.col("state") == "object", rules)]).unionByName(again)
 
 
 @dataclass(frozen=True)
@@ -254,4 +265,4 @@ def snapshot_findings(lines: DataFrame, value: str, line: str) -> DataFrame:
         ("error", "reference of another type", F.exists(references, lambda x: there(x, "type") & ~F.coalesce(text(x, "type").isin(REFERENCES), F.lit(False)))),
         ("error", "reference with a wrong id", F.exists(references, lambda x: there(x, "id") & ~F.coalesce(text(x, "id").rlike(DIGITS), F.lit(False)))),
     ]
-    return broken.unionByName(found(rows, line, rules))
+    return found(rows, line, [*broken, *on(F.col("state") == "object", rules)])

@@ -38,3 +38,11 @@ def test_empty_table(spark):
     lines = spark.createDataFrame([], "line long, value string")
     for found in (json_rules.thread_findings(lines, "value", "line", ["scam"]), json_rules.account_findings(lines, "value", "line", ["scam"]), json_rules.snapshot_findings(lines, "value", "line")):
         assert found.columns == ["line", "item", "severity", "rule"] and found.count() == 0
+
+
+@pytest.mark.parametrize("findings", [lambda x: json_rules.thread_findings(x, "value", "line", ["scam"]), lambda x: json_rules.account_findings(x, "value", "line", ["scam"]), lambda x: json_rules.snapshot_findings(x, "value", "line")])
+def test_lines_are_parsed_once(spark, findings):
+    lines = spark.range(4).selectExpr("id AS line", "if(id % 2 = 0, concat('{\"id\":\"', id, '\"}'), '[') AS value")
+    found = findings(lines)
+    assert found.count() > 0
+    assert str(found._jdf.queryExecution().optimizedPlan().toString()).count("parseJson") <= 2  # one parse names it twice at most
