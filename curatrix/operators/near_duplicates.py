@@ -2,8 +2,8 @@
 
 A post's set are its distinct five-word shingles (fewer words: all of them as one), as 64-bit hashes. Equal texts are one
 to begin with. Each hash falls into one of BANDS x ROWS bins by its low bits; the least hash of each bin is the signature (a one-permutation
-min-hash), ROWS bins a band, and posts whose bands agree meet in a bucket. All of that is relational: rows of hashes,
-grouped by post and bin, then by post and band; nothing is held by the driver or by one task.
+min-hash), ROWS bins a band, and posts whose bands agree meet in a bucket. A post's bands are told where its set is read; only
+they are dealt out, and the sets that pairs name. Nothing is held by the driver or by one task.
 
 Members of a bucket are compared with a center, not with each other; centers differ by band. Those that are no near
 duplicates of it form the bucket's next round, with a center among them. Two posts of similarity J agree in a band with
@@ -16,10 +16,15 @@ Buckets and centers of any size are spread: rows of a bucket by a salt, pairs of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.plans.components import components
 from curatrix.sources.files import staged
@@ -29,6 +34,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, ROUNDS = 16, 5, 4
 #: Tasks that a bucket's rows are spread over; pairs of a center that stay together; copies from which a text counts as hot.
 SALTS, CENTER_PAIRS, HOT_COPIES = 8, 1000, 100_000
+#: Rows of digests (32 bytes, and a key at most) that are broadcast; bytes of hashes that a task works through at once.
+FEW, BATCH_BYTES = 400_000, 4 << 20
 
 
 def shingled(posts: DataFrame, text: str, words: int = WORDS) -> DataFrame:
@@ -41,16 +48,57 @@ def shingled(posts: DataFrame, text: str, words: int = WORDS) -> DataFrame:
 
 
 def bands(sets: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, size, band, bucket): of each band that has a hash, a digest of its bins' least hashes."""
+    """(key, size, band, bucket): of each band that has a hash, a digest of its bins' least hashes. Told where a set is read: hashes don't move."""
     bins = n_bands * rows
-    hashes = sets.select("key", F.size("hashes").alias("size"), F.explode("hashes").alias("h")).withColumn("bin", F.pmod("h", F.lit(bins)))
+    bounded = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if sets.sparkSession.conf.get(bounded, None) is None:
+        sets.sparkSession.conf.set(bounded, str(BATCH_BYTES))
     # a second hash orders a bin's members: what put them into the bin doesn't
-    least = hashes.groupBy("key", "size", "bin").agg(F.min(F.xxhash64("h", F.lit(1))).alias("least"))
-    return least.groupBy("key", "size", (F.col("bin") / rows).cast("int").alias("band")).agg(F.bit_xor(F.xxhash64("bin", "least")).alias("bucket"))
+    hashed = sets.select("key", "hashes", F.transform("hashes", lambda h: F.xxhash64(h, F.lit(1))).alias("order"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, whole.num_rows * BATCH_BYTES // max(1, whole.nbytes))
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                h, order = (pc.list_flatten(batch.column(k)).to_numpy(zero_copy_only=False) for k in (1, 2))
+                own = np.repeat(np.arange(len(size)), size) * bins + h % bins
+                at = np.lexsort((order, own))
+                own, order = own[at], order[at]
+                least = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+                own, order = own[least], order[least].view(np.uint64)
+                mixed = _mixed(order ^ _mixed((own % bins + 1).astype(np.uint64)))
+                band = own // rows  # of all rows: a set has n_bands of them
+                first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]][: len(band)])
+                bucket = np.bitwise_xor.reduceat(mixed, first) if len(first) else mixed
+                row = band[first] // n_bands
+                columns = [batch.column(0).take(pa.array(row)), pa.array(size[row], pa.int32()), pa.array(band[first] % n_bands, pa.int32()), pa.array(bucket.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "band", "bucket"])
+
+    return hashed.mapInArrow(run, T.StructType([sets.schema["key"], *T._parse_datatype_string("size int, band int, bucket long").fields]))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def at_most(rows: DataFrame, most: int) -> bool:
+    """Whether a staged table has so many rows at most, so that it may be broadcast."""
+    return rows.limit(most + 1).count() <= most
+
+
+def named_by(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that pairs (staged) name, staged: those are few, and the others stay where they are as long as the names may be broadcast."""
+    names = staged(pairs.select(F.explode(F.array("member", "center")).alias("key")).distinct(), "near-names")
+    return staged(sets.join(F.broadcast(names) if at_most(names, FEW) else names, "key", "left_semi"), "near-named")
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (member, center) whose sets are similar. The pairs of a center are dealt out to as many tasks as they need."""
+    """The pairs (member, center; staged) whose sets are similar. The pairs of a center are dealt out to as many tasks as they need."""
+    sets = named_by(pairs, sets)
     salts = pairs.groupBy("center").agg(F.ceil(F.count("*") / CENTER_PAIRS).cast("int").alias("salts"))
     dealt = pairs.join(salts, "center").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")).drop("salts")
     middle = sets.join(salts, F.col("key") == F.col("center")).select("center", F.col("hashes").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -63,15 +111,18 @@ def links(sets: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     """(member, center): near duplicates, each a pair that shares a bucket. sets: (key, hashes), staged, keys distinct."""
     open_ = staged(bands(sets, n_bands, rows), "near-bands")
     found = []
+    # digests are half as long as bytes, but centers are drawn by their hexadecimal form
+    name = F.lower(F.hex("key")) if isinstance(sets.schema["key"].dataType, T.BinaryType) else F.col("key")
     for _ in range(rounds):
-        order = F.struct(F.xxhash64("key", "band").alias("o"), F.col("key").alias("center"), F.col("size").alias("center_size"))
+        order = F.struct(F.xxhash64(name, "band").alias("o"), F.col("key").alias("center"), F.col("size").alias("center_size"))
         centers = open_.groupBy("band", "bucket").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1")
         spread = centers.select("band", "bucket", "c.center", "c.center_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         rows_ = open_.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["band", "bucket", "salt"]).where("key <> center")
         rows_ = staged(rows_.select("key", "size", "band", "bucket", "center", "center_size"), "near-members")
         # sets of unlike sizes can't be similar
         alike = F.least("size", "center_size") >= similarity * F.greatest("size", "center_size")
-        good = staged(checked(rows_.where(alike).select(F.col("key").alias("member"), "center").distinct(), sets, similarity), "near-links")
+        pairs = staged(rows_.where(alike).select(F.col("key").alias("member"), "center").distinct(), "near-pairs")
+        good = staged(checked(pairs, sets, similarity), "near-links")
         found.append(good)
         done = good.select(F.col("member").alias("key"), "center")
         open_ = staged(rows_.join(done, ["key", "center"], "left_anti").select("key", "size", "band", "bucket"), "near-open")
@@ -87,12 +138,19 @@ def near_duplicate_clusters(posts: DataFrame, key: str, text: str, similarity: f
     """
     rows = posts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null")
     worded = rows.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\S"))
-    digest = F.sha2("text", 256)
+    digest = F.unhex(F.sha2("text", 256))
     texts = worded.groupBy(digest.alias("digest")).agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     texts = staged(texts, "near-texts")
-    # a text's own row is read where it is: its first key's, so that no text moves for a group of copies
-    firsts = worded.withColumn("digest", digest).join(texts.select("digest", F.col("first").alias("key")), ["digest", "key"]).dropDuplicates(["key", "digest"])
-    sets = staged(shingled(firsts.select("digest", "text"), "text").select(F.col("digest").alias("key"), "hashes"), "near-sets")
+    # a text's own row is read where it is: its first key's, so that no text moves for a group of copies; nor does one without a copy
+    marked, copied = worded.withColumn("digest", digest), staged(texts.where("copies > 1").select("digest", F.col("first").alias("key")), "near-copied")
+    if at_most(copied, FEW):
+        firsts = marked.join(F.broadcast(copied.select("digest")), "digest", "left_anti").select("digest", "text")
+        again = marked.join(F.broadcast(copied), ["digest", "key"])
+    else:
+        firsts, again = None, marked.join(texts.select("digest", F.col("first").alias("key")), ["digest", "key"])
+    again = again.dropDuplicates(["key", "digest"]).select("digest", "text")
+    firsts = again if firsts is None else firsts.unionByName(again)
+    sets = staged(shingled(firsts, "text").select(F.col("digest").alias("key"), "hashes"), "near-sets")
     same = components(links(sets, similarity), "member", "center")
     found = texts.join(same.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     total = found.groupBy("root").agg(F.min("first").alias("cluster"), F.sum("copies").alias("n"))

@@ -100,3 +100,26 @@ def test_components_of_chains_and_rings(spark):
     links = [(k, k + 1) for k in range(100, 163)] + [(7, 3), (3, 9), (9, 7), (5, 5), (None, 1), (2, None)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**{k: 100 for k in range(100, 164)}, 3: 3, 7: 3, 9: 3, 5: 5}
+
+
+def test_only_bands_and_named_sets_are_dealt_out(spark, texts, monkeypatch):
+    sets = near.staged(near.shingled(spark.createDataFrame([(k, t) for k, t in texts.items() if shingles(t)], "key long, text string"), "text"), "test-sets")
+    met = near.bands(sets)
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    # plainly: the least second hash of each bin, bands by all of their bins
+    want = {}
+    for r in sets.select("key", F.expr("transform(hashes, h -> struct(pmod(h, 80) AS bin, xxhash64(h, 1) AS least)) AS h")).collect():
+        least = {}
+        for b, x in r.h:
+            least[b] = min(x, least.get(b, x))
+        for band in range(16):
+            if own := tuple((b, least[b]) for b in range(5 * band, 5 * band + 5) if b in least):
+                want[r.key, band] = own
+    got = {(r.key, r.band): r.bucket for r in met.collect()}
+    assert got.keys() == want.keys() and len(set(zip([want[k] for k in got], got.values(), strict=True))) == len(set(got.values())) == len({(k[1], want[k]) for k in got})
+    pairs = near.staged(sets.limit(3).select(F.col("key").alias("member"), F.col("key").alias("center")), "test-pairs")
+    assert near.named_by(pairs, sets).count() == 3
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = sorted(map(tuple, near.near_duplicate_clusters(df, "doc_id", "text").collect()))
+    monkeypatch.setattr(near, "FEW", 1)
+    assert sorted(map(tuple, near.near_duplicate_clusters(df, "doc_id", "text").collect())) == want
