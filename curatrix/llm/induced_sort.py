@@ -194,7 +194,7 @@ def sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarr
     """
     n, width = len(names), 1
     order = np.argsort(names)  # equal ones may come in any order, so sorts need not be stable
-    key, at, shared, rank, levels = names[order], order, np.arange(n), np.empty(n, np.int64), []
+    key, at, shared, rank, levels = names[order], order, np.arange(n), np.empty(n, np.int32), []
     while True:
         head = np.r_[True, key[1:] != key[:-1]]
         rank = rank.copy()
@@ -204,7 +204,7 @@ def sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarr
         if width >= depth or not len(shared):
             return order, levels
         at = order[shared]
-        key = rank[at] * (n + 1)
+        key = rank[at].astype(np.int64) * (n + 1)
         inside = at + width < n
         key[inside] += rank[at[inside] + width] + 1
         turn = np.argsort(key)
@@ -219,12 +219,13 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray
     Suffixes that agree on `depth` symbols may come in any order, and values may be lower than the true ones only beyond `depth`.
     """
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int32)))
+    step = np.sign(np.diff(text.astype(np.int16))).astype(np.int8)
     # the type of a run of equal symbols is that of its end
-    index = np.where(step != 0, np.arange(n - 1), n - 1)
+    index = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     index = np.minimum.accumulate(index[::-1])[::-1]
     small = np.ones(n, bool)
-    small[:-1] = np.r_[step, 1][index] > 0
+    small[:-1] = np.r_[step, np.int8(1)][index] > 0
+    del step, index  # here and below: what isn't needed any more goes before the next large arrays come
     star = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
     if not len(star):
         star = np.array([n - 1], np.int32)
@@ -233,6 +234,7 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray
     is_star = np.zeros(n, bool)
     is_star[star] = True
     ordered = rough[is_star[rough]]
+    del rough, is_star
     place = np.full(n, 0, np.int32)
     place[star] = np.arange(len(star))
     after = np.r_[star[1:], n - 1].astype(np.int32)
@@ -249,6 +251,7 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray
         k += 1
     names = np.empty(len(star), np.int64)
     names[place[ordered]] = np.cumsum(np.r_[0, ~same])
+    del ordered, place, after, length, a, b, same, left
     # the reduced string; an S* substring advances by one symbol at least
     order, levels = sort_names(names, depth // 2 + 1)  # S* suffixes are two symbols apart at least
     sorted_stars = star[order]
@@ -261,7 +264,9 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int) -> tuple[np.ndarray
         i[hit] += width
         j[hit] += width
     known = (star[i] - star[order[:-1]]).astype(np.int32)
+    del levels, rank, inside, hit
     lcp = np.r_[np.int32(0), known + common_prefix(text, star[i], star[j], depth)].astype(np.int32)
+    del i, j, known, order, names, star
     return induce(text, small, sorted_stars, lcp, symbols, depth)
 
 

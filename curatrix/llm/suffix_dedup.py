@@ -44,7 +44,7 @@ PASSAGE_BYTES = 250
 #: Unlike spans of an anchor from which on its windows are dealt anew, and how many windows go together then.
 HOT, GRIDS = 64, (17, 1)
 #: Bytes that a shard sorts at once.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _CHUNK = (1 << 18) - 4096
 _U = np.uint64
 #: Multipliers of a 64-bit finalizer, and an odd base (fixed values).

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -49,3 +50,17 @@ def test_repeated_windows():
         counts = Counter(s[k : k + window] for s in spans for k in range(len(s) - window + 1))
         for span, got in zip(spans, induced_sort.repeated_windows(spans, window), strict=True):
             assert got.tolist() == [counts[span[k : k + window]] > 1 for k in range(len(span) - window + 1)]
+
+
+def test_memory_of_a_shard():
+    """Arrays go before the next ones come: 50 bytes for each byte of a shard at most."""
+    rng = random.Random(5)
+    base = [bytes(rng.choices(b"etaoin shrdlu", k=420)) for _ in range(200)]
+    spans = [(b := rng.choice(base))[(k := rng.randrange(80)) : k + 330] + bytes(rng.choices(b"abc", k=5)) for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        twice = induced_sort.repeated_windows(spans, 250)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert any(x.any() for x in twice) and peak < 50 * sum(map(len, spans))
