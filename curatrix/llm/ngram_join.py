@@ -13,7 +13,9 @@
    of their deltas D(x) = x ^ c and D(y) = y ^ c, so the deltas of two similar members overlap, and their prefixes (in an
    order that ends with common elements) meet. If one of them is similar to c, the other is within the ring of twice H
    around c: there both meet by the deltas from c, which are small. If neither is, both meet by prefixes of their own sets
-   (deltas from the empty set), one list for each set however many buckets it is in. Prefix elements deal the members out;
+   (deltas from the empty set), one list for each set however many buckets it is in. The order is by how many deltas have
+   an element, counted exactly, rarest first: a set of which many elements are its own meets nothing. Prefix elements deal
+   the members out;
    each meeting is again compared with one member first, and only sets outside the meeting's largest component are
    compared pair by pair.
 
@@ -36,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import bounded_broadcast, by_bytes, discard, release, staged, table, trimmed
@@ -47,9 +49,9 @@ _U = np.uint64
 _M1, _M2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 #: What comparing a pair costs, in rows of the index.
 PAIR_COST = 4.0
-#: Which elements are common is told from a sample: so many of them, or this share if that is more. The most common ones count,
-#: so many in all at most. This sets an order only: results don't depend on it.
-ORDER_SAMPLE, ORDER_SHARE, MOST_COMMON = 1 << 22, 1 / 64, 1 << 19
+#: Which elements are common is told from a sample: so many of them, or this share if that is more. Those count that so many
+#: of the sample share, the most common ones, so many in all at most. This sets an order only: results don't depend on it.
+ORDER_SAMPLE, ORDER_SHARE, COMMON, MOST_COMMON = 1 << 22, 1 / 64, 256, 1 << 19
 #: Least bins of the counts by which pairs are told apart before their sets are compared; larger sets have a bin for two elements.
 BINS = 64
 
@@ -328,7 +330,7 @@ def keyed(around: int, elements: np.ndarray) -> np.ndarray:
 
 
 def common_keys(deltas: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of elements that several of a sample of deltas share, the most common ones, and their counts; MOST_COMMON at most."""
+    """Keys of elements that COMMON or more of a sample of deltas share, the most common ones, and their counts; MOST_COMMON at most."""
     total = deltas.agg(F.sum(F.size("delta"))).first()[0] or 0
     share = min(1.0, max(ORDER_SHARE, ORDER_SAMPLE / max(1, total)))
 
@@ -338,8 +340,8 @@ def common_keys(deltas: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield _record("key", keyed(around.as_py(), delta.values.to_numpy().view(np.uint64)).view(np.int64))
 
     drawn = deltas.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(1 << 20)) < int(share * (1 << 20))).where(F.size("delta") > 0)
-    counts = staged(drawn.select("around", "delta").mapInArrow(trimmed(run), "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-common")
-    least, there = 2, 0
+    counts = staged(drawn.select("around", "delta").mapInArrow(trimmed(run), "key long").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON), "ngram-common")
+    least, there = COMMON, 0
     for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect():  # 64 rows at most
         there += r["count"]
         if there > MOST_COMMON:
@@ -353,28 +355,40 @@ def common_keys(deltas: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(deltas: DataFrame) -> DataFrame:
-    """(key, place, node, size, d) of deltas (around, node, size, most, delta): the first `most` elements of each delta.
+    """(key, place, node, size, d) of deltas (around, node, size, most, delta): the first `most` elements of each delta, but
+    those that no other delta has: they meet nothing, and only their number counts, for the places of the others.
 
-    Common elements come last, the most common at the end: any order serves that is one order for all deltas from one set,
-    and with this one prefixes seldom meet by chance.
+    Rare elements come first, by the number of deltas from one set that have them, counted over all deltas; those that a sample
+    tells to be common come last, the most common at the end. Any order serves that is one order for all deltas from one set.
+    With this one, deltas that have many elements of their own meet nothing, and others seldom meet by chance.
     """
     shared = deltas.sparkSession.sparkContext.broadcast(common_keys(deltas))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
-            for around, node, size, most, delta in zip(*batch.columns, strict=True):
+            for around, node, delta in zip(*batch.columns, strict=True):
                 key = keyed(around.as_py(), delta.values.to_numpy().view(np.uint64))
-                often = np.zeros(len(key), np.int64)
+                often, deal = np.zeros(len(key), np.int64), key
                 if len(common):
                     at = np.minimum(np.searchsorted(common, key), len(common) - 1)
                     often = np.where(common[at] == key, counts[at], 0)
-                first = key[np.lexsort((key, often))][: most.as_py()]
-                k = len(first)
-                yield _record("key place node size d", first.view(np.int64), np.arange(1, k + 1, dtype=np.int32), np.full(k, node.as_py()), np.full(k, size.as_py()), np.full(k, len(key)))
-
-    rows = deltas.where(F.size("delta") > 0).select("around", "node", "size", "most", "delta")
-    return rows.mapInArrow(trimmed(run), "key long, place int, node long, size long, d long")
+                    # a common element's deltas need not meet to be counted: they are dealt out by their own names
+                    deal = np.where(often > 0, keyed(node.as_py(), key), key)
+                yield _record("deal key often around node", deal.view(np.int64), key.view(np.int64), often, np.full(len(key), around.as_py()), np.full(len(key), node.as_py()))
+
+    deltas = deltas.where(F.size("delta") > 0)
+    rows = deltas.select("around", "node", "delta").mapInArrow(trimmed(run), "deal long, key long, often long, around long, node long")
+    met = F.count("*").over(Window.partitionBy("deal"))
+    rank = F.when(F.col("often") > 0, F.col("often") + (1 << 40)).otherwise(met)
+    told = rows.select("key", "around", "node", rank.alias("rank")).where("rank > 1")
+    # a delta that comes twice counts twice, with all its elements: a set drops them again, and the order stays one order
+    others = told.groupBy("around", "node").agg(F.sort_array(F.collect_set(F.struct("rank", "key"))).alias("others"))
+    each = deltas.select("around", "node", "size", F.col("most").cast("int").alias("most"), F.size("delta").alias("d")).distinct()
+    alone = F.col("d") - F.size("others")
+    first = others.join(each, ["around", "node"]).where(alone < F.col("most"))
+    first = first.select("node", "size", "d", alone.alias("alone"), F.posexplode(F.slice("others", F.lit(1), F.col("most") - alone)).alias("at", "other"))
+    return first.select(F.col("other.key").alias("key"), (F.col("alone") + F.col("at") + 1).alias("place"), "node", "size", F.col("d").cast("long").alias("d"))
 
 
 def prefix_meetings(rows: DataFrame, label: DataFrame, percent: int) -> DataFrame:

@@ -116,3 +116,57 @@ def test_components(spark):
             break
     assert got == parent
     assert components(df.limit(0)).count() == 0
+
+
+def _deltas(spark, sets, most, twice=()):
+    rows = [(0, k, len(s), most, [int(e) for e in s]) for k, s in enumerate(sets)]
+    return spark.createDataFrame(rows + [rows[k] for k in twice], "around long, node long, size long, most long, delta array<long>").repartition(5)
+
+
+def test_prefixes_begin_with_what_few_sets_have(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ORDER_SAMPLE", 1)  # the sample tells nothing of elements that a few sets have
+    rng = random.Random(5)
+    pool = rng.sample(range(10**6), 200)
+    sets = [[10**6 + 100 * k + j for j in range(15 if k % 3 else 30)] + rng.sample(pool, 60) for k in range(30)]
+    keys = [ngram_join.keyed(0, np.array(s, np.uint64)).view(np.int64).tolist() for s in sets]
+    held = {}
+    for key in {x for s in keys for x in s}:
+        held[key] = sum(key in s for s in keys)
+    expected = set()
+    for k, s in enumerate(keys):
+        first = sorted(s, key=lambda x: (held[x], x))[:20]
+        expected |= {(x, at + 1, k, len(s), len(s)) for at, x in enumerate(first) if held[x] > 1}
+    got = ngram_join.prefixes(_deltas(spark, sets, 20)).select("key", "place", "node", "size", "d").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == expected
+    assert {r.node % 3 for r in got} == {1, 2}  # sets with more elements of their own than `most` meet nothing
+
+
+def test_similar_sets_meet_whatever_is_common(spark, monkeypatch):
+    """Prefixes of similar sets share an element within the places that their difference allows, with common elements and repeated rows."""
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    rng = random.Random(6)
+    sets = []
+    for _ in range(8):
+        base = rng.sample(range(400), 50)
+        sets += [sorted({*rng.sample(base, rng.randint(40, 50)), *rng.sample(range(400), rng.randint(0, 6))}) for _ in range(6)]
+    rows = ngram_join.prefixes(_deltas(spark, sets, 51, twice=(0, 7, 7))).collect()
+    assert len(rows) == len(set(rows))
+    places = {}
+    for r in rows:
+        places.setdefault(r.node, {})[r.key] = r.place
+    for a in range(len(sets)):
+        for b in range(a):
+            h = 20 * (len(sets[a]) + len(sets[b])) // 180
+            if len({*sets[a]} ^ {*sets[b]}) <= h:
+                gap = len(sets[a]) - len(sets[b])
+                both = places[a].keys() & places[b].keys()
+                assert any(places[b][k] <= (h - gap) // 2 + 1 and places[a][k] <= (h + gap) // 2 + 1 for k in both)
+
+
+def test_equals_all_pairs_whatever_the_order(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ORDER_SAMPLE", 1)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    rng = random.Random(7)
+    texts = near_copies(rng, 6, 30, (8, 60), 14)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, texts[9])]
+    check(spark, rows, 3, 80)
