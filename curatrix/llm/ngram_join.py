@@ -52,6 +52,8 @@ PAIR_COST = 4.0
 #: Which elements are common is told from a sample: so many of them, or this share if that is more. Those count that so many
 #: of the sample share, the most common ones, so many in all at most. This sets an order only: results don't depend on it.
 ORDER_SAMPLE, ORDER_SHARE, COMMON, MOST_COMMON = 1 << 22, 1 / 64, 256, 1 << 19
+#: Deltas are first held against each other by so many times the share of elements that two similar sets may differ in.
+ALONE_SHARE = 2
 #: Least bins of the counts by which pairs are told apart before their sets are compared; larger sets have a bin for two elements.
 BINS = 64
 
@@ -354,6 +356,34 @@ def common_keys(deltas: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.uint64)[order], c[order]
 
 
+def crowded(deltas: DataFrame, percent: int) -> DataFrame:
+    """(around, node) of the deltas (around, node, size, most, delta) that may meet another delta from their set.
+
+    A delta with `most` elements that no other one has is similar to none. Most deltas show that by the elements of a share of
+    the universe, so only these are dealt out, each with its delta's name; the deltas that don't are left to prefixes().
+    """
+    shared = deltas.sparkSession.sparkContext.broadcast(common_keys(deltas)[0])
+    limit = min(1 << 32, (ALONE_SHARE * (100 - percent) << 32) // 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            for around, node, delta in zip(*batch.columns, strict=True):
+                key = keyed(around.as_py(), delta.values.to_numpy().view(np.uint64))
+                key = key[key >> _U(32) < _U(limit)]
+                if len(common):  # no delta is alone with these
+                    key = key[common[np.minimum(np.searchsorted(common, key), len(common) - 1)] != key]
+                yield _record("key around node", key.view(np.int64), np.full(len(key), around.as_py()), np.full(len(key), node.as_py()))
+
+    met = deltas.where(F.size("delta") > 0)
+    rows = met.select("around", "node", "delta").mapInArrow(trimmed(run), "key long, around long, node long").repartition("key")
+    # a key has its around in it; a delta that comes twice is one delta
+    own = rows.groupBy("key").agg(F.min("around").alias("around"), F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    alone = own.groupBy("around", "node").agg(F.count("*").alias("alone"))
+    each = met.select("around", "node", "most").distinct()
+    return each.join(alone, ["around", "node"], "left").where("alone is null or alone < most").select("around", "node")
+
+
 def prefixes(deltas: DataFrame) -> DataFrame:
     """(key, place, node, size, d) of deltas (around, node, size, most, delta): the first `most` elements of each delta, but
     those that no other delta has: they meet nothing, and only their number counts, for the places of the others.
@@ -499,7 +529,15 @@ def components_of(docs: DataFrame, classes: DataFrame, n: int, percent: int, cla
         own = sets.join(bounded_broadcast(far, 16), "node").select(
             F.lit(0).cast("long").alias("around"), "node", F.size("elements").cast("long").alias("size"), (F.floor(F.size("elements") * (100 - percent) / 100) + 1).alias("most"), F.col("elements").alias("delta")
         )
-        rows = staged(prefixes(staged(from_center, "ngram-deltas")).unionByName(prefixes(own)), "ngram-prefixes")
+        deltas = staged(from_center, "ngram-deltas")
+        about_centers = staged(prefixes(deltas), "ngram-prefixes")
+        discard(deltas)
+        release(spark)  # before the next shuffle
+        left = staged(crowded(own, percent).select("node"), "ngram-crowded")
+        release(spark)
+        own = own.join(bounded_broadcast(left, 16), "node").select(*own.columns)
+        rows = staged(about_centers.unionByName(prefixes(own)), "ngram-prefixes")
+        discard(about_centers)
         shared = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("first")).where("rows > 1")
         met = staged(rows.join(shared.drop("rows"), "key"), "ngram-met")
         discard(rows)

@@ -170,3 +170,34 @@ def test_equals_all_pairs_whatever_the_order(spark, monkeypatch):
     texts = near_copies(rng, 6, 30, (8, 60), 14)
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, texts[9])]
     check(spark, rows, 3, 80)
+
+
+def test_sets_that_are_mostly_their_own_are_not_dealt_out_whole(spark, monkeypatch):
+    """Lonely sets are told by a share of their elements; those that are similar to another one, or of which all is shared, stay."""
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    rng = random.Random(8)
+    pool = rng.sample(range(10**6), 100)
+    lonely = [[10**6 + 1000 * k + j for j in range(80)] + rng.sample(pool, 20) for k in range(30)]
+    pairs = []
+    for k in range(10):
+        base = [10**8 + 1000 * k + j for j in range(100)]
+        pairs += [base, base[:-8] + [10**9 + 100 * k + j for j in range(8)]]
+    shared = [rng.sample(pool, 60) for _ in range(5)]
+    sets = lonely + pairs + shared
+    # a set that comes twice is still one
+    left = ngram_join.crowded(_deltas(spark, sets, 21, twice=(0, 1, 30)), 80).collect()
+    assert sorted(r.node for r in left) == list(range(30, len(sets)))
+
+
+def test_equals_all_pairs_whatever_share_tells_lonely_sets(spark, monkeypatch):
+    rng = random.Random(9)
+    phrase = [f"p{k}" for k in range(12)]
+    texts = near_copies(rng, 5, 30, (8, 60), 14) + [" ".join(phrase + [f"own{k}x{j}" for j in range(16)]) for k in range(80)]
+    rng.shuffle(texts)
+    dealt = []
+    prefixes = ngram_join.prefixes
+    monkeypatch.setattr(ngram_join, "prefixes", lambda deltas: (dealt.append(deltas.where("around = 0").count()), prefixes(deltas))[1])
+    for share in (0, 2, 5):
+        monkeypatch.setattr(ngram_join, "ALONE_SHARE", share)
+        check(spark, list(enumerate(texts)), 5, 80)
+    assert len(dealt) == 6 and dealt[1] > dealt[3] >= dealt[5]
