@@ -435,5 +435,6 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Removed are repeats of 400 bytes; n_repeated counts the bytes of repeats of PASSAGE_BYTES, so that shorter passages of over 50 words are seen."""
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400, shorter=PASSAGE_BYTES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")

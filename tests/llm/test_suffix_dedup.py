@@ -72,3 +72,17 @@ def test_chunks_of_very_long_texts(monkeypatch):
     parts = suffix_dedup.spans_of(texts, 400, 128)
     anchor = lambda spans: {(number, start + k): (key, start + at) for number, key, _, _, start, n, at in np.array(spans).T.tolist() for k in range(n)}
     assert anchor(whole) == anchor(parts) and len(anchor(whole)) == len(data) - 399 + 5000 - 399 + 1
+
+
+def test_query_tells_passages_of_over_fifty_words(spark, tmp_path):
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"{rng.randrange(16**5):05x}" for _ in range(n))
+    passage = fresh(51)  # 305 bytes
+    texts = [f"{fresh(30)} {passage} {fresh(30)}" if k % 3 == 0 else fresh(90) for k in range(30)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    least = len(passage.encode())
+    assert {i for i, r in got.items() if r.n_repeated} == set(range(0, 30, 3)) and all(least <= got[i].n_repeated < least + 20 for i in range(0, 30, 3))
+    # what is removed is the contract's: repeats of 400 bytes
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.values()), key=str) == brute(list(enumerate(texts)), 400)
+    assert not any(r.n_removed for r in got.values())
