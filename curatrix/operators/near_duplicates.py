@@ -1,4 +1,4 @@
-"""Clusters of near-duplicate posts: banded min-hashes, exact checks of what meets, and connected components.
+"""Clusters of near-duplicate posts: banded min-hashes, an exact join of what they leave apart, and connected components.
 
 A post's set are its distinct five-word shingles (fewer words: all of them as one), as 64-bit hashes. Equal texts are one
 to begin with. Each hash falls into one of BANDS x ROWS bins by its low bits; the least hash of each bin is the signature (a one-permutation
@@ -7,9 +7,13 @@ they are dealt out, and the sets that pairs name. Nothing is held by the driver
 
 Members of a bucket are compared with a center, not with each other; centers differ by band. Those that are no near
 duplicates of it form the bucket's next round, with a center among them. Two posts of similarity J agree in a band with
-probability J ** ROWS about, so a pair at the threshold of 0.8 meets in some of the 16 bands with probability 0.998. What meets in a bucket without being
-compared in ROUNDS rounds is left to the other bands; pairs that are reported are always checked on whole sets. So recall is lowest for large
-groups most of whose pairs lie just below the threshold (150 posts of pairwise similarity 0.73: a quarter found their cluster's smallest key).
+probability J ** ROWS about, so a pair at the threshold of 0.8 meets in some of the 16 bands with probability 0.998. Pairs that are
+reported are always checked on whole sets.
+
+What bands and ROUNDS rounds leave apart is then found exactly (left_apart), so clusters are those of all pairs. Only pairs of unlike
+components are of use by then. A set may have a fifth of its elements for itself at most to be similar to any; only sets that pass this are dealt
+out. Elements that a component has for itself come first in their order, then rare ones, common ones last; two similar sets of unlike
+components share an element within the first size - ceil(0.8 x size) + 1. Sets that do are compared, unless what these beginnings share and what is left is too little.
 
 Buckets and centers of any size are spread: rows of a bucket by a salt, pairs of a center by its number of pairs.
 """
@@ -22,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +40,8 @@ BANDS, ROWS, ROUNDS = 16, 5, 4
 SALTS, CENTER_PAIRS, HOT_COPIES = 8, 1000, 100_000
 #: Rows of digests (32 bytes, and a key at most) that are broadcast; bytes of hashes that a task works through at once.
 FEW, BATCH_BYTES = 400_000, 4 << 20
+#: Sets are first held against each other by so many times the share of elements that two similar ones may differ in.
+ALONE_SHARE = 2
 
 
 def shingled(posts: DataFrame, text: str, words: int = WORDS) -> DataFrame:
@@ -107,14 +113,12 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return dealt.join(own, "member").join(middle, ["center", "salt"]).where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("member", "center")
 
 
-def links(sets: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(member, center): near duplicates, each a pair that shares a bucket. sets: (key, hashes), staged, keys distinct."""
+def met(sets: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """(member, center): near duplicates that share a bucket; not all of them, nor are they all in one component. sets as in links."""
     open_ = staged(bands(sets, n_bands, rows), "near-bands")
     found = []
-    # digests are half as long as bytes, but centers are drawn by their hexadecimal form
-    name = F.lower(F.hex("key")) if isinstance(sets.schema["key"].dataType, T.BinaryType) else F.col("key")
     for _ in range(rounds):
-        order = F.struct(F.xxhash64(name, "band").alias("o"), F.col("key").alias("center"), F.col("size").alias("center_size"))
+        order = F.struct(F.xxhash64("key", "band").alias("o"), F.col("key").alias("center"), F.col("size").alias("center_size"))
         centers = open_.groupBy("band", "bucket").agg(F.min(order).alias("c"), F.count("*").alias("n")).where("n > 1")
         spread = centers.select("band", "bucket", "c.center", "c.center_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         rows_ = open_.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["band", "bucket", "salt"]).where("key <> center")
@@ -131,6 +135,53 @@ def links(sets: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def spare(size: Column, similarity: float) -> Column:
+    """How many of its elements a set's similar partner may lack."""
+    return F.floor((1 - similarity) * size + 1e-9)  # never one too few by rounding: what is told by it is checked
+
+
+def alone(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key) of sets that are similar to no other: in a part of all hashes, which is the same for all, too many of their elements are in no other set."""
+    part = F.pmod(F.xxhash64("h", F.lit(2)), F.lit(1000)) < min(1000, round(1000 * ALONE_SHARE * (1 - similarity)))
+    own = sets.select("key", F.explode("hashes").alias("h")).where(part).groupBy("h").agg(F.min("key").alias("key"), F.count("*").alias("n")).where("n = 1")
+    many = own.groupBy("key").agg(F.count("*").alias("n"))
+    return many.join(sets.select("key", F.size("hashes").alias("size")), "key").where(F.col("n") > spare(F.col("size"), similarity)).select("key")
+
+
+def left_apart(sets: DataFrame, same: DataFrame, similarity: float) -> DataFrame:
+    """(member, center): a pair of near duplicates for each two components (same: node, root) that have any. sets as in links."""
+    lone = staged(alone(sets, similarity), "near-alone")
+    rest = sets.where(F.size("hashes") > 0).join(F.broadcast(lone) if at_most(lone, FEW) else lone, "key", "left_anti")
+    roots = rest.select("key").join(same.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    rest = staged(rest.select("key", "hashes").join(roots, "key"), "near-rest")
+    held = rest.select("key", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    # elements of one component alone tell it from all others, as those of one set do
+    counts = held.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h", "n")
+    ordered = held.join(counts, "h").groupBy("key", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
+    ordered = ordered.withColumns({"before": F.col("size") - F.size("order"), "width": spare(F.col("size"), similarity).cast("int") + 1}).where("before < width")
+    first = ordered.withColumn("order", F.slice("order", F.lit(1), F.col("width") - F.col("before")))
+    first = staged(first.select("key", "root", "size", "before", "width", F.element_at("order", -1).alias("last"), F.col("order.h").alias("ahead")), "near-ahead")
+    at = first.select("key", "root", "size", "before", F.posexplode("ahead").alias("place", "h")).withColumn("left", F.col("size") - F.col("before") - F.col("place"))
+    x, y = (at.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "size", "left")]) for side in "xy")
+    # from the first element that two sets share, they can share no more than either has left
+    enough = lambda most: most * (1 + similarity) + 1e-9 >= similarity * (F.col("size_x") + F.col("size_y"))
+    pairs = staged(x.join(y, "h").where((F.col("root_x") < F.col("root_y")) & enough(F.least("left_x", "left_y"))).select("key_x", "key_y").distinct(), "near-meeting")
+    # of the set whose beginning ends first, they share what both beginnings have, and no more than what it has left
+    x, y = (first.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "width", "last", "ahead")]) for side in "xy")
+    most = F.size(F.array_intersect("ahead_x", "ahead_y")) + F.when(F.col("last_x") <= F.col("last_y"), F.col("size_x") - F.col("width_x")).otherwise(F.col("size_y") - F.col("width_y"))
+    pairs = pairs.join(x, "key_x").join(y, "key_y").where(enough(most)).select(F.col("key_x").alias("member"), F.col("key_y").alias("center"))
+    good = checked(staged(pairs, "near-apart"), rest.drop("root"), similarity)
+    of = lambda side: rest.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
+    one = good.join(of("member"), "member").join(of("center"), "center").groupBy("member_root", "center_root").agg(F.min(F.struct("member", "center")).alias("p"))
+    return one.select("p.member", "p.center")
+
+
+def links(sets: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """(member, center): near duplicates whose components are those of all pairs. sets: (key, hashes), staged, keys distinct."""
+    first = staged(met(sets, similarity, n_bands, rows, rounds), "near-met")
+    return first.unionByName(left_apart(sets, components(first, "member", "center"), similarity))
+
+
 def near_duplicate_clusters(posts: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """(key, cluster, n): one row for each post with a key; cluster is the smallest key that near duplicates lead to, n the posts in it.
 
@@ -150,9 +201,11 @@ def near_duplicate_clusters(posts: DataFrame, key: str, text: str, similarity: f
         firsts, again = None, marked.join(texts.select("digest", F.col("first").alias("key")), ["digest", "key"])
     again = again.dropDuplicates(["key", "digest"]).select("digest", "text")
     firsts = again if firsts is None else firsts.unionByName(again)
-    sets = staged(shingled(firsts, "text").select(F.col("digest").alias("key"), "hashes"), "near-sets")
-    same = components(links(sets, similarity), "member", "center")
-    found = texts.join(same.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    # sets go by numbers, a fourth of a digest: what is told of elements by the million carries them
+    sets = staged(shingled(firsts.withColumn("key", F.monotonically_increasing_id()), "text").select("digest", "key", "hashes"), "near-sets")
+    same = components(links(sets.select("key", "hashes"), similarity), "member", "center")
+    known = sets.select("digest", "key").join(same.withColumnRenamed("node", "key"), "key", "left").select("digest", F.coalesce("root", "key").alias("root"))
+    found = texts.join(known, "digest")
     total = found.groupBy("root").agg(F.min("first").alias("cluster"), F.sum("copies").alias("n"))
     known = staged(found.join(total, "root").select("digest", "cluster", "n", "copies"), "near-known")
     own = worded.select("key", digest.alias("digest"))

@@ -123,3 +123,23 @@ def test_only_bands_and_named_sets_are_dealt_out(spark, texts, monkeypatch):
     want = sorted(map(tuple, near.near_duplicate_clusters(df, "doc_id", "text").collect()))
     monkeypatch.setattr(near, "FEW", 1)
     assert sorted(map(tuple, near.near_duplicate_clusters(df, "doc_id", "text").collect())) == want
+
+
+def test_clusters_are_those_of_all_pairs(spark, texts, monkeypatch):
+    """Pairs that no band shows, or that a bucket's rounds don't reach, were left apart."""
+    distinct = {k: t for k, t in texts.items() if shingles(t)}
+    sets = near.staged(near.shingled(spark.createDataFrame(list(distinct.items()), "key long, text string"), "text"), "test-sets")
+    want = roots(distinct, all_links(distinct))
+    assert roots(distinct, map(tuple, near.links(sets, n_bands=1, rounds=1).collect())) == want
+    monkeypatch.setattr(near, "FEW", 1)
+    assert roots(distinct, map(tuple, near.links(sets, n_bands=1, rows=80, rounds=1).collect())) == want
+
+
+def test_sets_that_are_alone_are_similar_to_none(spark, texts):
+    distinct = {k: t for k, t in texts.items() if shingles(t)}
+    sets = near.staged(near.shingled(spark.createDataFrame(list(distinct.items()), "key long, text string"), "text"), "test-sets")
+    linked = {k for pair in all_links(distinct) for k in pair}
+    found = {r.key for r in near.alone(sets, 0.8).collect()}
+    assert found and not found & linked
+    for similarity in (0.3, 0.5, 0.95):
+        assert not {r.key for r in near.alone(sets, similarity).collect()} & {k for pair in all_links(distinct, similarity) for k in pair}
