@@ -1,4 +1,4 @@
-"""Sweeps: candidates fitted over one table of features, thresholds by policy on calibration rows, one pass of metrics over the holdout."""
+"""Sweeps: candidates fitted together over one table of packed features, thresholds by policy on calibration rows, one pass of metrics over the holdout."""
 
 from __future__ import annotations
 
@@ -6,20 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.scores import safe_div
+from curatrix.operators.logistic import PACKED, LogisticModel, LogisticRegression, fit_together, packed_entries, scores
 from curatrix.operators.thresholds import tune_fpr
-from curatrix.operators.training import BLOCK_MB, BUCKETS, feature_rows, ngram_pipeline, row_by_row, with_chars
+from curatrix.operators.training import BUCKETS, balanced, packed_rows
 from curatrix.sources.files import staged
 
-#: Kinds of features that a candidate may use, and the columns that hold them.
-PARTS = {"words": "__words_tf", "pairs": "__pairs_tf", "chars": "__chars_tf"}
+#: Kinds of features that a candidate may use, and where they lie among all.
+PARTS = {part: (k * BUCKETS, (k + 1) * BUCKETS) for k, part in enumerate(("words", "pairs", "chars"))}
 #: False-positive rates that a policy grants each label on the calibration rows.
 POLICIES = {"strict": {"scam": 0.02, "topic_crypto": 0.03}, "relaxed": {"scam": 0.02, "topic_crypto": 0.2}}
 
@@ -34,52 +31,32 @@ class Candidate:
 
 
 def feature_table(rows: DataFrame, text: str, labels: str, keep: Sequence[str], classes: Sequence[str]) -> DataFrame:
-    """(keep, y_<class>, one vector for each of PARTS), written once: all candidates are fitted and scored from it. Null labels are none."""
-    chars = with_chars(rows, text)
-    whole = ngram_pipeline(text).fit(chars).transform(chars)
+    """(keep, y_<class>, packed counts of all PARTS), written once: all candidates are fitted and scored from it. Null labels are none."""
     marks = [F.coalesce(F.array_contains(labels, c), F.lit(False)).alias(f"y_{c}") for c in classes]
-    return feature_rows(whole.select(*keep, *marks, *PARTS.values()), "features")
+    return packed_rows(rows, text, [*keep, *marks], "features")
 
 
-def fit_candidates(train: DataFrame, candidates: Sequence[Candidate], classes: Sequence[str]) -> dict[tuple[str, str], object]:
-    """(candidate, class): the feature assembly and model; classes whose rows are all of one kind have none."""
+def fit_candidates(train: DataFrame, candidates: Sequence[Candidate], classes: Sequence[str]) -> dict[tuple[str, str], LogisticModel]:
+    """(candidate, class): the model; classes whose rows are all of one kind have none. All models take their steps in the same passes."""
     counts = train.agg(F.count("*").alias("rows"), *[F.count_if(f"y_{c}").alias(c) for c in classes]).first()
-    models = {}
-    for one in candidates:
-        ready = _assembly(one).transform(train)
-        for c in classes:
-            n, total = counts[c], counts["rows"]
-            if not 0 < n < total:
-                continue
-            weight = F.when(F.col(f"y_{c}"), total / (2 * n)).otherwise(total / (2 * (total - n))) if one.weighted else F.lit(1.0)
-            target = ready.select("__f", F.col(f"y_{c}").cast("double").alias("__y"), weight.alias("__w"))
-            names = {"featuresCol": "__f", "labelCol": "__y", "weightCol": "__w", "probabilityCol": "__p", "predictionCol": "__h", "rawPredictionCol": "__r"}
-            with row_by_row(train.sparkSession):
-                models[one.name, c] = LogisticRegression(regParam=one.reg, maxIter=one.iterations, maxBlockSizeInMB=BLOCK_MB, **names).fit(target)
-    return models
-
-
-def _assembly(one: Candidate):
-    hints = [VectorSizeHint(inputCol=PARTS[p], size=BUCKETS, handleInvalid="optimistic") for p in one.parts]
-    empty = None  # stages that learn nothing need no rows to be fitted on
-    return Pipeline(stages=[*hints, VectorAssembler(inputCols=[PARTS[p] for p in one.parts], outputCol="__f")]).fit(empty)
-
-
-def score_candidates(features: DataFrame, candidates: Sequence[Candidate], models: dict[tuple[str, str], object], keep: Sequence[str], classes: Sequence[str]) -> DataFrame:
+    total = counts["rows"]
+    wanted = {
+        (one.name, c): LogisticRegression(f"y_{c}", len(PARTS) * BUCKETS, balanced(counts[c], total) if one.weighted else (1.0, 1.0), one.reg, one.iterations, tuple(PARTS[p] for p in one.parts))
+        for one in candidates
+        for c in classes
+        if 0 < counts[c] < total
+    }
+    return dict(zip(wanted, fit_together(train, list(wanted.values())), strict=True)) if wanted else {}
+
+
+def score_candidates(features: DataFrame, candidates: Sequence[Candidate], models: dict[tuple[str, str], LogisticModel], keep: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """(keep, model, y_<class>, s_<class>): a row for each row and candidate, from one reading of the features; 0 where there is no model."""
-    out, cells = features, []
-    for k, one in enumerate(candidates):
-        out = _assembly(one).transform(out)
-        scores = []
-        for c in classes:
-            score = F.lit(0.0)
-            if (one.name, c) in models:
-                out = models[one.name, c].transform(out).withColumn(f"__s_{k}_{c}", vector_to_array("__p")[1]).drop("__p", "__h", "__r")
-                score = F.col(f"__s_{k}_{c}")
-            scores.append(score.alias(f"s_{c}"))
-        out = out.drop("__f")
-        cells.append(F.struct(F.lit(one.name).alias("model"), *scores))
-    return out.select(*keep, *[f"y_{c}" for c in classes], F.explode(F.array(*cells)).alias("c")).select(*keep, *[f"y_{c}" for c in classes], "c.*")
+    at = {k: n for n, k in enumerate(models)}
+    told = lambda one, c: (F.col("__s")[at[one.name, c]] if (one.name, c) in at else F.lit(0.0)).alias(f"s_{c}")
+    cells = [F.struct(F.lit(one.name).alias("model"), *[told(one, c) for c in classes]) for one in candidates]
+    marks = [f"y_{c}" for c in classes]
+    out = features.select(*keep, *marks, scores(packed_entries, list(models.values()))(F.struct(*PACKED)).alias("__s"))
+    return out.select(*keep, *marks, F.explode(F.array(*cells)).alias("c")).select(*keep, *marks, "c.*")
 
 
 def policy_thresholds(calib: DataFrame, policies: dict[str, dict[str, float]], classes: Sequence[str]) -> DataFrame:
@@ -127,7 +104,6 @@ def sweep(rows: DataFrame, text: str, labels: str, split: str, candidates: Seque
     """sweep_metrics of candidates that are fitted on rows of split train, with thresholds from calib, on holdout."""
     features = feature_table(rows.where(F.col(split).isin("train", "calib", "holdout")), text, labels, [split], classes)
     models = fit_candidates(features.where(F.col(split) == "train"), candidates, classes)
-    with row_by_row(rows.sparkSession):
-        scored = staged(score_candidates(features.where(F.col(split) != "train"), candidates, models, [split], classes), "scores")
+    scored = staged(score_candidates(features.where(F.col(split) != "train"), candidates, models, [split], classes), "scores")
     found = staged(policy_thresholds(scored.where(F.col(split) == "calib"), policies, classes), "policy-thresholds")
     return sweep_metrics(scored.where(F.col(split) == "holdout"), found, classes)
